@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quayline.functions.text import words_of
 
+MAX_BLOCKS = 16_384
+
 
 def words(lines: DataFrame, text: str = "text") -> DataFrame:
     return lines.select(F.explode(words_of(text)).alias("word"))
@@ -16,52 +19,48 @@ def word_count(lines: DataFrame, text: str = "text") -> DataFrame:
     return words(lines, text).groupBy("word").agg(F.count("*").alias("n"))
 
 
-def _block_of(column: str, bounds: list[float]) -> Column:
-    """Index of the range of ``bounds`` the value falls into."""
-    if not bounds:
-        return F.lit(0)
-    edges = F.lit(bounds)
-    return F.size(F.filter(edges, lambda edge: edge <= F.col(column)))
+def in_blocks(lines: DataFrame, order: str, blocks: int) -> DataFrame:
+    """Adds ``block``: the lines cut into about equal ranges of the numeric column ``order``.
+
+    The cut points are quantiles, one number per block, so uneven or sparse keys do not make
+    uneven blocks.  They are fixed before the plan is built: every use of the result agrees.
+    """
+    probabilities = [i / blocks for i in range(1, blocks)]
+    cuts = sorted(set(lines.approxQuantile(order, probabilities, 0.5 / blocks))) if probabilities else []
+    if not cuts:
+        return lines.withColumn("block", F.lit(0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    cut = Bucketizer(splits=splits, inputCol=order, outputCol="block").transform(lines)
+    return cut.withColumn("block", F.col("block").cast("int"))
 
 
 def running_word_count(
-    lines: DataFrame, order: str = "doc_id", text: str = "text", blocks: int = 64
+    lines: DataFrame, order: str = "doc_id", text: str = "text", blocks: int | None = None
 ) -> DataFrame:
     """For every word occurrence, how often the word has occurred up to and including it, in
     the order of the numeric column ``order`` (unique per line) and the position in the line.
 
-    A window over all occurrences of a word would put a frequent word into one task.  Lines
-    are therefore cut into ``blocks`` ranges of about equal size and the count is put together
-    from the total of the earlier blocks (a window over at most ``blocks`` rows per word), the
-    total of the earlier lines of the block, and the place within the line.  Use more blocks
-    for more data; they only bound the size of a group, the result is the same.
+    A window over all occurrences of a word would put a frequent word into one task.  The
+    count is put together from the word's total in the earlier blocks of lines (a window over
+    at most ``blocks`` rows per word) and its place within the block.  The result does not
+    depend on ``blocks``, only the size of the largest group does; the default is the
+    session's number of shuffle partitions.
     """
-    probabilities = [i / blocks for i in range(1, blocks)]
-    bounds = sorted(set(lines.approxQuantile(order, probabilities, 0.25 / blocks))) if probabilities else []
-
-    per_line = (
-        lines.select(
-            F.col(order), _block_of(order, bounds).alias("block"), F.posexplode(words_of(text)).alias("pos", "word")
-        )
-        .groupBy("word", "block", order)
-        .agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    )
-    earlier_lines = Window.partitionBy("word", "block").orderBy(order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    in_block = per_line.withColumn("lines_before", F.sum(F.size("places")).over(earlier_lines))
-
-    earlier_blocks = Window.partitionBy("word").orderBy("block").rowsBetween(
-        Window.unboundedPreceding, -1
+    if blocks is None:
+        partitions = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = min(partitions, MAX_BLOCKS)
+    occurrences = in_blocks(lines.select(order, text), order, blocks).select(
+        order, "block", F.posexplode(words_of(text)).alias("pos", "word")
     )
-    totals = (
-        per_line.groupBy("word", "block")
-        .agg(F.sum(F.size("places")).alias("block_total"))
-        .select("word", "block", F.sum("block_total").over(earlier_blocks).alias("blocks_before"))
+    earlier = Window.partitionBy("word").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        occurrences.groupBy("word", "block")
+        .agg(F.count("*").alias("n"))
+        .select("word", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     )
-    before = F.coalesce("blocks_before", F.lit(0)) + F.coalesce("lines_before", F.lit(0))
+    place = F.row_number().over(Window.partitionBy("word", "block").orderBy(order, "pos"))
     return (
-        in_block.join(totals, ["word", "block"])
-        .select(order, "word", before.alias("before"), F.posexplode("places").alias("nth", "pos"))
-        .select(order, "pos", "word", (F.col("before") + F.col("nth") + 1).cast("bigint").alias("running_count"))
+        occurrences.withColumn("place", place)
+        .join(before, ["word", "block"])
+        .select(order, "pos", "word", (F.col("before") + F.col("place")).alias("running_count"))
     )
