@@ -62,15 +62,15 @@ def open_orders_asof(orders: DataFrame, lines: DataFrame, as_of: dt.date) -> Dat
     """Open balances as of a day straight from the tables: order_key, balance, order_date.
 
     Equal to ``balances_asof`` of the ledger kept open: an order placed by then has added its
-    total and lost its shipped lines, so its balance is the revenue shipping later (or not
-    dated); an order not placed yet cannot be positive.  Both date filters reach the scans,
-    and the ledger with its second pass over the lines is not needed.
+    total and lost its shipped lines, so its balance is the revenue shipping later; an order
+    not placed yet cannot be positive.  Both date filters reach the scans, and the ledger with
+    its second pass over the lines is not needed.
     """
     day = F.lit(as_of)
     placed = orders.where(F.col("o_orderdate") <= day).select(
         F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("order_date")
     )
-    due = order_totals(lines.where((F.col("l_shipdate") > day) | F.col("l_shipdate").isNull()))
+    due = order_totals(lines.where(F.col("l_shipdate") > day))
     return (
         due.select(F.col("l_orderkey").alias("order_key"), F.col("revenue").alias("balance"))
         .where(is_open())

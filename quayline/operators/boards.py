@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quayline.functions.dates import month_start_on_or_after
@@ -11,6 +13,12 @@ def best_first() -> tuple[Column, Column]:
     return F.desc("balance"), F.asc("order_key")
 
 
+def best_per(group: str) -> Window:
+    """Best first within a group.  ``size``, the balance as DOUBLE, leads the order: it agrees
+    with the balance and settles nearly every comparison of the sort without 38-digit decimals."""
+    return Window.partitionBy(group).orderBy(F.desc("size"), *best_first())
+
+
 def with_rank(top: DataFrame, *order: Column) -> DataFrame:
     """Position 1..k of the rows of an already limited result (k rows, one partition)."""
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
@@ -26,32 +34,37 @@ def two_phase_board(balances: DataFrame, k: int = 10, buckets: int = 8) -> DataF
     """The same board with the local phase spelled out: best k per bucket of the order key,
     then best k of those.  The rank filter becomes a limit per bucket in front of the shuffle,
     so a bucket's task receives k rows from each upstream task, not the bucket."""
-    bucket = F.pmod("order_key", F.lit(buckets))
-    local = Window.partitionBy("bucket").orderBy(*best_first())
     candidates = (
         balances.where(is_open())
-        .withColumn("bucket", bucket)
-        .withColumn("local_rank", F.row_number().over(local))
+        .withColumn("bucket", F.pmod("order_key", F.lit(buckets)))
+        .withColumn("size", F.col("balance").cast("double"))
+        .withColumn("local_rank", F.row_number().over(best_per("bucket")))
         .where(F.col("local_rank") <= k)
-        .drop("bucket", "local_rank")
+        .drop("bucket", "size", "local_rank")
     )
     return with_rank(candidates.orderBy(*best_first()).limit(k), *best_first())
 
 
-def monthly_boards(history: DataFrame, last_day: Column, k: int = 10) -> DataFrame:
-    """The board of the first day of every month up to ``last_day``, in one job.
+def monthly_boards(history: DataFrame, until: dt.date | None, k: int = 10) -> DataFrame:
+    """The board of the first day of every month, in one job.
 
     ``history`` is a balance history; each open balance is repeated for the month starts it
     covers (an equality on the date then does what a range join would), and the best k per
-    date are kept, again in front of the shuffle.
+    date are kept, again in front of the shuffle.  Balances without a next date hold through
+    ``until``; in a complete ledger, where every order ends at zero, there are none and
+    ``until`` is None.
     """
     first = month_start_on_or_after(F.col("event_date"))
-    last = F.coalesce(F.date_sub("next_date", 1), last_day)
+    last = F.date_sub("next_date", 1)
+    if until is not None:
+        last = F.least(F.coalesce(last, F.lit(until)), F.lit(until))
     covered = F.when(first <= last, F.sequence(first, last, F.expr("INTERVAL 1 MONTH")))
-    best = Window.partitionBy("snapshot_date").orderBy(*best_first())
     return (
         history.where(is_open())
-        .select("order_key", "order_date", "balance", F.explode(covered).alias("snapshot_date"))
-        .withColumn("rank", F.row_number().over(best).cast("bigint"))
-        .where(F.col("rank") <= k)
+        .withColumn("size", F.col("balance").cast("double"))
+        .select("order_key", "order_date", "balance", "size", F.explode(covered).alias("snapshot_date"))
+        .withColumn("place", F.row_number().over(best_per("snapshot_date")))
+        .where(F.col("place") <= k)
+        .withColumn("rank", F.col("place").cast("bigint"))
+        .drop("size", "place")
     )

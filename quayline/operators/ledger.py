@@ -2,22 +2,28 @@
 own revenue away on its ship date.  The balance of an order as of a day is what has not
 shipped yet.
 
-``order_key`` is expected to be unique among the orders; a line without an order is no entry.
+``order_key`` is expected to be unique among the orders; a line without an order or without a
+ship date is no entry and counts in no order's amount.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quayline.functions.money import EXACT, line_revenue, line_units, round_units, sum_units, to_cents
 from quayline.operators.orders import orders_with_totals
 
 
+def dated_lines(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("l_shipdate").isNotNull())
+
+
 def ledger_entries(orders: DataFrame, lines: DataFrame, rounded: bool = False) -> DataFrame:
     """One entry per order and one per line: order_key, cust_key, amount, event_date, is_order.
 
     ``rounded`` gives the amounts of the exchange file, each rounded to cents by itself.
     """
+    lines = dated_lines(lines)
     placed = orders_with_totals(
         orders.select("o_orderkey", "o_custkey", "o_orderdate"), lines
     ).select(
@@ -55,7 +61,7 @@ def rounding_residuals(orders: DataFrame, lines: DataFrame) -> DataFrame:
     Needs no ledger: the residual is the rounded total minus the sum of the rounded lines.
     """
     units = line_units()
-    sums = lines.groupBy(F.col("l_orderkey").alias("order_key")).agg(
+    sums = dated_lines(lines).groupBy(F.col("l_orderkey").alias("order_key")).agg(
         (to_cents(sum_units(units)) - sum_units(round_units(units))).cast(EXACT).alias("residual")
     )
     keys = orders.select(F.col("o_orderkey").alias("order_key"))
@@ -65,31 +71,41 @@ def rounding_residuals(orders: DataFrame, lines: DataFrame) -> DataFrame:
 def day_deltas(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """The ledger summed per order and day: order_key, order_date, event_date, amount.
 
-    Lines are scanned once.  They are summed per order and ship date first, so the list of
-    days kept per order is bounded by the calendar no matter how many lines an order has;
-    the join brings in the order, and everything after it stays in the join's partitioning.
+    Lines are scanned once and summed per order and ship date, so what meets the orders is
+    bounded by the calendar no matter how many lines an order has.  From the join on, rows
+    stay in its partitioning: the window that totals an order, the entry the order adds on its
+    own date, and the final sum per day need no further shuffle.
     """
-    days = lines.groupBy("l_orderkey", F.col("l_shipdate").alias("event_date")).agg(
-        sum_units(line_units()).alias("amount")
-    )
-    per_order = days.groupBy(F.col("l_orderkey").alias("order_key")).agg(
-        F.sum("amount").cast(EXACT).alias("total"),
-        F.collect_list(F.struct("event_date", (-F.col("amount")).cast(EXACT).alias("amount"))).alias(
-            "shipments"
-        ),
+    days = (
+        dated_lines(lines)
+        .groupBy("l_orderkey", "l_shipdate")
+        .agg(sum_units(line_units()).alias("revenue"))
+        .select(F.col("l_orderkey").alias("order_key"), "l_shipdate", "revenue")
     )
-    zero = F.lit(0).cast(EXACT)
-    placed = orders.select(
+    placed = orders.where(F.col("o_orderdate").isNotNull()).select(
         F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("order_date")
     )
-    order_entry = F.struct(
-        F.col("order_date").alias("event_date"), F.coalesce("total", zero).alias("amount")
+    by_day = Window.partitionBy("order_key").orderBy("l_shipdate")
+    whole_order = by_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = F.coalesce(F.sum("revenue").over(whole_order).cast(EXACT), F.lit(0).cast(EXACT))
+    place = F.row_number().over(by_day)
+
+    def entry(day: str, amount: Column) -> Column:
+        return F.struct(F.col(day).alias("event_date"), amount.cast(EXACT).alias("amount"))
+
+    # the first row of an order also brings the order's own entry; an order without lines has
+    # only that
+    shipment = F.array(entry("l_shipdate", -F.col("revenue")))
+    opening = F.array(entry("order_date", F.col("total")))
+    entries = (
+        F.when(F.col("l_shipdate").isNull(), opening)
+        .when(F.col("place") == 1, F.concat(opening, shipment))
+        .otherwise(shipment)
     )
-    entries = F.concat(F.array(order_entry), F.coalesce("shipments", F.array()))
     return (
-        placed.join(per_order, "order_key", "left")
+        placed.join(days, "order_key", "left")
+        .withColumns({"total": total, "place": place})
         .select("order_key", "order_date", F.inline(entries))
-        .where(F.col("event_date").isNotNull())
         .groupBy("order_key", "order_date", "event_date")
         .agg(F.sum("amount").cast(EXACT).alias("amount"))
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from quayline.operators import balances, boards, ledger
 from quayline.operators.orders import orders_of_segment
@@ -72,9 +72,5 @@ def leaderboard_bounded(
 
 
 def leaderboard_history(tables: Tables, segment: str = SEGMENT, k: int = K) -> DataFrame:
-    """The boards of all month starts up to the last order or ship date."""
-    last_order = tables.orders.agg(F.max("o_orderdate")).scalar()
-    last_line = tables.lineitem.agg(F.max("l_shipdate")).scalar()
-    return boards.monthly_boards(
-        balance_history(tables, segment), F.greatest(last_order, last_line), k
-    )
+    """The boards of all month starts."""
+    return boards.monthly_boards(balance_history(tables, segment), until=None, k=k)

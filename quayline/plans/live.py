@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from quayline.operators import boards
-from quayline.operators.ledger import ledger_entries
+from quayline.operators.ledger import dated_lines, ledger_entries
 from quayline.operators.orders import orders_of_segment, orders_with_totals
 from quayline.plans.fulfilment import AS_OF
 from quayline.plans.shipping_priority import SEGMENT, K
@@ -59,7 +59,7 @@ def leaderboard_of_two_streams(
     spark = tables.spark
     root = fresh_dir(spark, "two-streams")
     orders = orders_of_segment(tables.orders, tables.customer, segment)
-    book = orders_with_totals(orders.select("o_orderkey"), tables.lineitem)
+    book = orders_with_totals(orders.select("o_orderkey"), dated_lines(tables.lineitem))
     book.withColumnRenamed("o_orderkey", "order_key").write.parquet(f"{root}/order-book")
     order_book = spark.read.parquet(f"{root}/order-book")
 
