@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quayline.functions.dates import month_start_on_or_after
 from quayline.operators.balances import is_open
 
+
 def best_first() -> tuple[Column, Column]:
     return F.desc("balance"), F.asc("order_key")
 

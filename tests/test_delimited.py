@@ -1,0 +1,126 @@
+import datetime as dt
+from decimal import Decimal
+
+from quayline.operators.ledger import in_ledger_order, ledger_entries
+from quayline.sources import schemas
+from quayline.sources.delimited import read_delimited, sort_rows, write_sorted
+from quayline.sources.ledger import read_ledger_text, write_ledger, write_ledger_text
+from quayline.sources.tables import Tables
+from quayline.plans import shipping_priority as sp
+from tests.conftest import random_frames
+
+CUSTOMERS = """\
+1|Ann|street 1|7|11-222|10.50|BUILDING|fine|
+2|Bob|street 2|x|11-333|not money|MACHINERY|bad number|
+
+3|Cyd|street 3
+4|Dee|street 4|7|11-444|-3.25|BUILDING|no trailing separator
+"""
+ORDERS = """\
+10|1|O|100.00|1995-03-01|1-URGENT|clerk|0|early|
+11|4|O|250.50|1995-03-15|2-HIGH|clerk|0|on the day|
+12|2|O|70.25|1995-02-01|2-HIGH|clerk|0|other segment|
+"""
+LINES = """\
+10|1|1|1|5|100.00|0.10|0.02|N|O|1995-03-16|1995-03-17|1995-03-18|none|AIR|due|
+10|1|1|2|5|50.00|0.00|0.02|N|O|1995-03-15|1995-03-17|1995-03-18|none|AIR|shipped that day|
+11|1|1|1|5|80.00|0.00|0.02|N|O|1995-04-01|1995-04-02|1995-04-03|none|AIR|order too late|
+12|1|1|1|5|90.00|0.00|0.02|N|O|1995-04-01|1995-04-02|1995-04-03|none|AIR|other segment|
+"""
+
+
+def write(path, text):
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+def test_scan_keeps_every_row(spark, tmp_path):
+    path = write(tmp_path / "customer.csv", CUSTOMERS)
+    rows = {r.c_custkey: r for r in read_delimited(spark, path, schemas.CUSTOMER).collect()}
+    assert sorted(rows) == [1, 2, 3, 4]
+    assert rows[1].c_acctbal == Decimal("10.50") and rows[1].c_comment == "fine"
+    assert rows[2].c_nationkey is None and rows[2].c_acctbal is None
+    assert rows[2].c_mktsegment == "MACHINERY"
+    assert rows[3].c_mktsegment is None
+    assert rows[4].c_acctbal == Decimal("-3.25")
+
+
+def test_reports_run_on_delimited_tables(spark, tmp_path):
+    for name, text in {"customer": CUSTOMERS, "orders": ORDERS, "lineitem": LINES}.items():
+        write(tmp_path / f"{name}.csv", text)
+    tables = Tables(spark, str(tmp_path), "delimited")
+    expected = [(10, Decimal("90.0000"), dt.date(1995, 3, 1), 0)]
+    assert [tuple(r) for r in sp.q3(tables).collect()] == expected
+    assert [tuple(r) for r in sp.q3_dataflow(tables).collect()] == expected
+
+
+def test_plain_sql_on_views(spark, tmp_path):
+    for name, text in {"customer": CUSTOMERS, "orders": ORDERS, "lineitem": LINES}.items():
+        write(tmp_path / f"{name}.csv", text)
+    Tables(spark, str(tmp_path), "delimited").create_views()
+    rows = spark.sql(
+        """
+        SELECT l_orderkey, SUM(l_extendedprice * (1 - l_discount)) AS revenue
+        FROM customer, orders, lineitem
+        WHERE c_mktsegment = 'BUILDING' AND c_custkey = o_custkey AND l_orderkey = o_orderkey
+        AND o_orderdate < DATE '1995-03-15' AND l_shipdate > DATE '1995-03-15'
+        GROUP BY l_orderkey, o_orderdate, o_shippriority
+        """
+    ).collect()
+    assert [tuple(r) for r in rows] == [(10, Decimal("90.0000"))]
+
+
+def test_sort_by_position_puts_missing_first(spark):
+    df = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (10, "a")], "k INT, s STRING")
+    assert [r.k for r in sort_rows(df, [1], ["k"]).collect()] == [2, 3, 10, 1]
+
+
+def test_sort_compares_numbers_as_text(spark):
+    df = spark.createDataFrame([(9,), (10,), (100,)], "k INT")
+    assert [r.k for r in sort_rows(df, [0]).collect()] == [10, 100, 9]
+
+
+def test_sorted_sink_is_globally_ordered(spark, tmp_path):
+    frames = random_frames(spark, 1)
+    path = str(tmp_path / "sorted")
+    write_sorted(frames.orders.repartition(7), path, ["o_orderdate"], ["o_orderkey"])
+    parts = sorted(p for p in (tmp_path / "sorted").iterdir() if p.name.startswith("part-"))
+    keys = []
+    for part in parts:
+        for line in part.read_text().splitlines():
+            fields = line.split("|")
+            keys.append((fields[2], int(fields[0])))
+    assert len(keys) == 60 and keys == sorted(keys)
+
+
+def test_ledger_text_round_trip(spark, tmp_path):
+    frames = random_frames(spark, 2)
+    path = str(tmp_path / "ledger")
+    write_ledger_text(ledger_entries(frames.orders, frames.lineitem), path)
+    expected = ledger_entries(frames.orders, frames.lineitem, rounded=True)
+    found = read_ledger_text(spark, path)
+    assert found.exceptAll(expected.select(found.columns)).count() == 0
+    assert found.count() == expected.count()
+    first = next(p for p in (tmp_path / "ledger").iterdir() if p.name.startswith("part-"))
+    key, customer, amount, when, flag = first.read_text().splitlines()[0].split("|")
+    assert len(amount.split(".")[1]) == 2 and flag in ("true", "false") and len(when) == 10
+
+
+def test_ledger_text_rejects_broken_rows(spark, tmp_path):
+    path = write(
+        tmp_path / "merged.csv",
+        "1|2|3.50|1995-01-01|true\n1|null|3.50|1995-01-01|false\n1|2|x|1995-01-01|false\n"
+        "1|2|-3.50|1995-01-02|yes\n",
+    )
+    rows = read_ledger_text(spark, path).orderBy("event_date").collect()
+    assert [(r.amount, r.is_order) for r in rows] == [(Decimal("3.5"), True), (Decimal("-3.5"), False)]
+
+
+def test_stored_ledger_keeps_the_order(spark, tmp_path):
+    frames = random_frames(spark, 3)
+    ledger = ledger_entries(frames.orders, frames.lineitem)
+    write_ledger(ledger, str(tmp_path / "ledger"))
+    stored = spark.read.parquet(str(tmp_path / "ledger"))
+    assert stored.exceptAll(ledger).count() == 0 and stored.count() == ledger.count()
+    rows = [(r.event_date, not r.is_order, r.order_key, r.amount) for r in in_ledger_order(stored).collect()]
+    assert rows == sorted(rows)

@@ -1,0 +1,93 @@
+import datetime as dt
+from decimal import Decimal
+
+from quayline.operators import orders as o
+from quayline.plans import shipping_priority as sp
+
+
+class Source:
+    """Frames in the place of stored tables."""
+
+    def __init__(self, frames):
+        self.spark, self.customer = frames.spark, frames.customer
+        self.orders, self.lineitem = frames.orders, frames.lineitem
+
+
+def test_boundary_days_are_excluded(frames):
+    f = frames(
+        [(1, "BUILDING")],
+        [(10, 1, "1995-03-14"), (11, 1, "1995-03-15")],
+        [
+            (10, 100, 0.1, "1995-03-15"),
+            (10, 50, 0.0, "1995-03-16"),
+            (11, 70, 0.0, "1995-03-20"),
+        ],
+    )
+    assert [(r.l_orderkey, r.revenue) for r in sp.q3(Source(f)).collect()] == [(10, Decimal(50))]
+    assert [(r.l_orderkey, r.revenue) for r in sp.q3_dataflow(Source(f)).collect()] == [(10, Decimal(50))]
+
+
+def test_repeated_customer_key(frames):
+    """The SQL form joins (and counts twice); the dataflow form only filters."""
+    f = frames(
+        [(1, "BUILDING"), (1, "BUILDING")], [(10, 1, "1995-01-01")], [(10, 50, 0.0, "1995-04-01")]
+    )
+    assert sp.q3(Source(f)).first().revenue == Decimal(100)
+    assert sp.q3_dataflow(Source(f)).first().revenue == Decimal(50)
+
+
+def test_worthless_lines(frames):
+    """Only the dataflow form leaves out orders without remaining revenue."""
+    f = frames([(1, "BUILDING")], [(10, 1, "1995-01-01")], [(10, 50, 1.0, "1995-04-01")])
+    assert sp.q3(Source(f)).first().revenue == 0
+    assert sp.q3_dataflow(Source(f)).count() == 0
+
+
+def test_rank_breaks_ties(frames):
+    f = frames(
+        [(1, "BUILDING")],
+        [(12, 1, "1995-01-01"), (11, 1, "1995-01-02"), (10, 1, "1995-01-02")],
+        [(k, 50, 0.0, "1995-04-01") for k in (10, 11, 12)],
+    )
+    ranked = sp.q3_ranked(Source(f)).orderBy("rank").collect()
+    assert [(r.rank, r.l_orderkey) for r in ranked] == [(1, 12), (2, 10), (3, 11)]
+    top = sp.q3_dataflow_top(Source(f), k=2).orderBy("rank").collect()
+    assert [(r.rank, r.l_orderkey) for r in top] == [(1, 10), (2, 11)]
+
+
+def test_no_customer_of_the_segment(frames):
+    f = frames([(1, "MACHINERY")], [(10, 1, "1995-01-01")], [(10, 50, 0.0, "1995-04-01")])
+    assert sp.q3(Source(f)).count() == 0 and sp.q3_dataflow(Source(f)).count() == 0
+
+
+def test_orders_of_segment_drops_unknown_customers(frames):
+    f = frames([(1, "BUILDING"), (2, "MACHINERY")], [(k, k, "1995-01-01") for k in (1, 2, 3)], [])
+    kept = o.orders_of_segment(f.orders, f.customer, "BUILDING")
+    assert [r.o_orderkey for r in kept.collect()] == [1] and kept.columns[0] == "o_custkey"
+
+
+def test_totals_default_to_zero(frames):
+    f = frames([], [(1, 1, "1995-01-01"), (2, 1, "1995-01-01")], [(1, 10.5, 0.5, "1995-01-03")])
+    totals = o.orders_with_totals(f.orders, f.lineitem)
+    assert {r.o_orderkey: r.revenue for r in totals.collect()} == {1: Decimal("5.25"), 2: Decimal(0)}
+
+
+def test_best_days(spark):
+    rows = [(k, d, 10.25) for k, d in enumerate([1, 1, 2, 3, 3, 4, 5, 6, 7])]
+    df = spark.createDataFrame(
+        [(k, dt.date(1995, 1, d), p) for k, d, p in rows],
+        "o_orderkey BIGINT, o_orderdate DATE, o_totalprice DOUBLE",
+    )
+    found = [(r.o_orderdate.day, r.order_count, r.daily_sum) for r in o.best_days(df).collect()]
+    two, one = Decimal("20.50"), Decimal("10.25")
+    assert found == [(1, 2, two), (3, 2, two), (2, 1, one), (4, 1, one), (5, 1, one)]
+
+
+def test_daily_segment_orders(frames):
+    f = frames(
+        [(1, "A"), (2, "B"), (3, "A")],
+        [(1, 1, "1995-01-01"), (2, 3, "1995-01-01"), (3, 2, "1995-01-01"), (4, 1, "1995-01-02"), (5, 9, "1995-01-02")],
+        [],
+    )
+    found = {(r.c_mktsegment, r.o_orderdate.day): r.order_count for r in o.daily_segment_orders(f.orders, f.customer).collect()}
+    assert found == {("A", 1): 2, ("B", 1): 1, ("A", 2): 1}
