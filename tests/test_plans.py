@@ -1,0 +1,98 @@
+"""The physical plans the large runs depend on."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as registry
+from quayline.sources.tables import Tables
+from quayline.storage import fresh_dir, shared_root
+
+DATA = "/root/testdata/sf0.001"
+SHUFFLED = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+STREAMS = {n for n in registry.PLANS if n.startswith("stream_")}
+BATCH = sorted(set(registry.PLANS) - STREAMS)
+
+
+@pytest.fixture(scope="module")
+def plans(spark):
+    """Plans as they are beyond the broadcast threshold."""
+    before = {k: spark.conf.get(k, None) for k in SHUFFLED}
+    for key, value in SHUFFLED.items():
+        spark.conf.set(key, value)
+    tables = Tables(spark, DATA)
+    yield {
+        name: registry.PLANS[name](tables)._jdf.queryExecution().executedPlan().toString()
+        for name in BATCH
+    }
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def scans(plan, table):
+    return [line for line in plan.splitlines() if "FileScan" in line and f"/{table}.parquet" in line]
+
+
+def shuffles(plan):
+    return re.findall(r"Exchange (hash|range|single)", plan, re.IGNORECASE)
+
+
+@pytest.mark.parametrize("name", BATCH)
+def test_no_cross_join_no_forced_broadcast_no_python(plans, name):
+    for operator in ("CartesianProduct", "BroadcastNestedLoopJoin", "BroadcastHashJoin", "Python", "InPandas"):
+        assert operator not in plans[name]
+
+
+@pytest.mark.parametrize("name", ["q3", "q3_dataflow", "q3_dataflow_top", "ledger_asof_open", "leaderboard_asof", "leaderboard_two_phase"])
+def test_date_filters_reach_the_scans(plans, spark, name):
+    found = registry.PLANS[name](Tables(spark, DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"l_shipdate#\d+ >= ", found) and re.search(r"o_orderdate#\d+ < ", found)
+    (lines,), (orders,) = scans(plans[name], "lineitem"), scans(plans[name], "orders")
+    assert "(l_shipdate#" in lines and "(o_orderdate#" in orders
+
+
+@pytest.mark.parametrize("name", ["q3", "q3_dataflow", "leaderboard_asof"])
+def test_one_line_scan_one_line_shuffle(plans, name):
+    plan = plans[name]
+    assert len(scans(plan, "lineitem")) == 1
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
+    # customers and orders by customer, orders by order, lines by order
+    assert len(shuffles(plan)) == 4
+
+
+def test_only_needed_columns_are_read(plans):
+    (line,) = scans(plans["q3"], "lineitem")
+    assert set(re.findall(r"l_\w+(?=#)", line.split("Batched")[0])) == {
+        "l_orderkey", "l_extendedprice", "l_discount", "l_shipdate",
+    }
+    (line,) = scans(plans["daily_segment_orders"], "orders")
+    assert set(re.findall(r"o_\w+(?=#)", line.split("Batched")[0])) == {"o_custkey", "o_orderdate"}
+
+
+@pytest.mark.parametrize("name", ["day_deltas", "balance_history", "bounded_asof"])
+def test_order_timelines_share_one_partitioning(plans, name):
+    plan = plans[name]
+    assert len(scans(plan, "lineitem")) == 1
+    # lines per order and day, then everything per order: two shuffles of lines, one of the
+    # segment's orders, two of the segment filter
+    assert len(shuffles(plan)) == 5
+
+
+@pytest.mark.parametrize("name", ["leaderboard_two_phase", "leaderboard_history"])
+def test_rank_limits_work_before_the_shuffle(plans, name):
+    assert re.search(r"WindowGroupLimit .* 10, Partial", plans[name])
+
+
+@pytest.mark.parametrize("name", ["q3", "leaderboard_asof", "bounded_asof", "daily_order_totals"])
+def test_top_k_gathers_k_rows_per_task(plans, name):
+    assert "TakeOrderedAndProject(limit=" in plans[name]
+
+
+def test_shared_folder_is_the_sessions(spark):
+    assert fresh_dir(spark, "x").startswith(shared_root(spark) + "/x-") or not spark.conf.get(
+        "spark.checkpoint.dir", None
+    )
+    assert fresh_dir(spark, "x") != fresh_dir(spark, "x")
