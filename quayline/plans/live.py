@@ -39,9 +39,8 @@ def leaderboard_of_ledger_stream(
     feed = entries.where(F.col("event_date") <= F.lit(until))
 
     def start(streams: dict[str, DataFrame]):
-        return live.start_day_deltas(
-            live.entry_stream(streams["ledger"]), f"{root}/deltas", f"{root}/checkpoint"
-        )
+        deltas = live.day_delta_stream(live.entry_stream(streams["ledger"]))
+        return live.start_day_deltas(deltas, f"{root}/deltas", f"{root}/checkpoint")
 
     replay(spark, {"ledger": (feed, "event_date")}, cuts, root, start)
     return boards.board(live.finished_balances(live.read_deltas(spark, f"{root}/deltas")), k)
@@ -69,8 +68,9 @@ def leaderboard_of_two_streams(
     ).where(F.col("l_shipdate") <= F.lit(until))
 
     def start(streams: dict[str, DataFrame]):
-        entries = live.union_stream(streams["orders"], streams["lines"], order_book)
-        return live.start_day_deltas(entries, f"{root}/deltas", f"{root}/checkpoint")
+        entries = live.union_stream(streams["orders"], streams["lines"])
+        deltas = live.add_order_amounts(live.day_delta_stream(entries), order_book)
+        return live.start_day_deltas(deltas, f"{root}/deltas", f"{root}/checkpoint")
 
     feeds = {"orders": (order_feed, "o_orderdate"), "lines": (line_feed, "l_shipdate")}
     replay(spark, feeds, cuts, root, start)

@@ -18,7 +18,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # broadcast is always decided by Spark against this size, never forced by a hint
     "spark.sql.autoBroadcastJoinThreshold": str(32 * MB),
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # shuffled joins whose every build partition is below this need no sort
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": str(64 * MB),
 }
 
 

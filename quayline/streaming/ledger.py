@@ -26,32 +26,23 @@ def entry_stream(ledger: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return with_event_time(entries, "event_date", delay)
 
 
-def union_stream(
-    orders: DataFrame, lines: DataFrame, order_book: DataFrame, delay: str = "0 seconds"
-) -> DataFrame:
-    """Ledger entries from an order stream and a line stream.
-
-    ``order_book`` is a static table (order_key, revenue) of the wanted orders.  It gives the
-    order entries their amount and keeps the other orders and their lines out of the state.
-    It grows with the data, so it is joined, never broadcast by hand.  Each stream has its own
-    watermark and the slower one counts, so neither can make the other's rows late.
-    """
-    placed = (
-        with_event_time(orders, "o_orderdate", delay)
-        .select(F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("event_date"), EVENT_TIME)
-        .join(order_book.select("order_key", F.col("revenue").alias("amount")), "order_key")
-        .withColumn("is_order", F.lit(True))
+def union_stream(orders: DataFrame, lines: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Ledger entries from an order stream and a line stream; order entries have no amount yet
+    (see ``add_order_amounts``).  Each stream has its own watermark and the slower one counts,
+    so neither can make the other's rows late."""
+    placed = with_event_time(orders, "o_orderdate", delay).select(
+        F.col("o_orderkey").alias("order_key"),
+        F.col("o_orderdate").alias("event_date"),
+        EVENT_TIME,
+        F.lit(0).cast(EXACT).alias("amount"),
+        F.lit(True).alias("is_order"),
     )
-    shipped = (
-        with_event_time(lines, "l_shipdate", delay)
-        .select(
-            F.col("l_orderkey").alias("order_key"),
-            F.col("l_shipdate").alias("event_date"),
-            EVENT_TIME,
-            (-line_revenue()).alias("amount"),
-        )
-        .join(order_book.select("order_key"), "order_key", "left_semi")
-        .withColumn("is_order", F.lit(False))
+    shipped = with_event_time(lines, "l_shipdate", delay).select(
+        F.col("l_orderkey").alias("order_key"),
+        F.col("l_shipdate").alias("event_date"),
+        EVENT_TIME,
+        (-line_revenue()).alias("amount"),
+        F.lit(False).alias("is_order"),
     )
     return placed.unionByName(shipped)
 
@@ -68,14 +59,28 @@ def day_delta_stream(entries: DataFrame) -> DataFrame:
     )
 
 
-def start_day_deltas(
-    entries: DataFrame, path: str, checkpoint: str, **trigger
-) -> StreamingQuery:
+def add_order_amounts(deltas: DataFrame, order_book: DataFrame) -> DataFrame:
+    """Finished deltas of ``union_stream`` with the amounts of the orders placed that day.
+
+    ``order_book`` is a static table (order_key, revenue) of the wanted orders; the others
+    drop out.  It grows with the data, so it is joined rather than broadcast by hand, and only
+    after the deltas are summed: a stateful stream has no adaptive skew handling, but here an
+    order is one row per day however many lines it has.
+    """
+    book = order_book.select("order_key", "revenue")
+    amount = F.col("amount") + F.when(F.col("order_date").isNotNull(), F.col("revenue")).otherwise(0)
+    return (
+        deltas.join(book, "order_key")
+        .withColumn("amount", amount.cast(EXACT))
+        .select("order_key", "order_date", "event_date", "amount")
+    )
+
+
+def start_day_deltas(deltas: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Appends finished deltas to a Parquet folder, exactly once.  ``trigger`` as in
     ``DataStreamWriter.trigger``; default: everything available, then stop."""
     return (
-        day_delta_stream(entries)
-        .writeStream.format("parquet")
+        deltas.writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
@@ -107,7 +112,7 @@ def opening_balances(deltas: DataFrame, opening: DataFrame | None = None) -> Dat
 
 
 def start_board_refresh(
-    entries: DataFrame, path: str, checkpoint: str, k: int = 10, **trigger
+    deltas: DataFrame, path: str, checkpoint: str, k: int = 10, **trigger
 ) -> StreamingQuery:
     """The live leaderboard: with every micro-batch the board as of the last finished day.
 
@@ -136,8 +141,7 @@ def start_board_refresh(
             )
 
     return (
-        day_delta_stream(entries)
-        .writeStream.outputMode("append")
+        deltas.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(refresh)

@@ -76,7 +76,7 @@ def test_ledger_stream_file_by_file(spark, sample, tmp_path):
     entries = ledger.ledger_entries(building(sample), sample.lineitem)
     feed_in_files(entries, "event_date", str(tmp_path / "in"))
     stream = live.entry_stream(stream_table(spark, str(tmp_path / "in"), max_files=1))
-    query = run(live.start_day_deltas(stream, str(tmp_path / "deltas"), str(tmp_path / "cp")))
+    query = run(live.start_day_deltas(live.day_delta_stream(stream), str(tmp_path / "deltas"), str(tmp_path / "cp")))
     assert len(query.recentProgress) >= 12 and dropped(query) == 0
     # the state never holds more than the days of a slice, let alone the ledger
     peak = max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"])
@@ -90,7 +90,7 @@ def test_late_rows_are_dropped_without_delay(spark, sample, tmp_path):
     entries = ledger.ledger_entries(building(sample), sample.lineitem)
     feed_in_files(entries, "event_date", str(tmp_path / "in"), newest_first=True)
     source = stream_table(spark, str(tmp_path / "in"), max_files=1)
-    query = run(live.start_day_deltas(live.entry_stream(source), str(tmp_path / "deltas"), str(tmp_path / "cp")))
+    query = run(live.start_day_deltas(live.day_delta_stream(live.entry_stream(source)), str(tmp_path / "deltas"), str(tmp_path / "cp")))
     assert dropped(query) > 0
 
 
@@ -101,7 +101,7 @@ def test_delay_covers_disorder(spark, sample, tmp_path):
     late = entries.where(entries.event_date >= SLICES[8])
     late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = live.entry_stream(stream_table(spark, str(tmp_path / "in"), max_files=1), "40 days")
-    query = run(live.start_day_deltas(stream, str(tmp_path / "deltas"), str(tmp_path / "cp")))
+    query = run(live.start_day_deltas(live.day_delta_stream(stream), str(tmp_path / "deltas"), str(tmp_path / "cp")))
     assert dropped(query) == 0
     found = live.read_deltas(spark, str(tmp_path / "deltas"))
     want = ledger.day_deltas(building(sample), sample.lineitem).where(f"event_date < DATE '{SLICES[4]}'")
@@ -114,7 +114,7 @@ def test_delimited_ledger_stream(spark, sample, tmp_path):
     feed = entries.where(entries.event_date <= UNTIL)
     write_ledger_text(feed, str(tmp_path / "in"))
     stream = live.entry_stream(stream_delimited(spark, str(tmp_path / "in"), schemas.LEDGER))
-    run(live.start_day_deltas(stream, str(tmp_path / "deltas"), str(tmp_path / "cp")))
+    run(live.start_day_deltas(live.day_delta_stream(stream), str(tmp_path / "deltas"), str(tmp_path / "cp")))
     deltas = live.read_deltas(spark, str(tmp_path / "deltas"))
     assert board_of(boards.board(live.finished_balances(deltas))) == expected_board(sample, entries)
 
@@ -131,8 +131,9 @@ def test_two_streams_and_replay(spark, sample, tmp_path):
     queries = []
 
     def start(streams):
-        entries = live.union_stream(streams["orders"], streams["lines"], order_book)
-        queries.append(live.start_day_deltas(entries, str(tmp_path / "deltas"), str(tmp_path / "cp")))
+        entries = live.union_stream(streams["orders"], streams["lines"])
+        deltas = live.add_order_amounts(live.day_delta_stream(entries), order_book)
+        queries.append(live.start_day_deltas(deltas, str(tmp_path / "deltas"), str(tmp_path / "cp")))
         return queries[-1]
 
     replay(spark, feeds, [day("1995-02-01"), day("1995-03-01")], str(tmp_path), start)
@@ -152,7 +153,7 @@ def test_board_refresh(spark, sample, tmp_path):
     entries = ledger.ledger_entries(building(sample), sample.lineitem)
     feed_in_files(entries, "event_date", str(tmp_path / "in"))
     stream = live.entry_stream(stream_table(spark, str(tmp_path / "in"), max_files=1))
-    run(live.start_board_refresh(stream, str(tmp_path / "out"), str(tmp_path / "cp"), k=5))
+    run(live.start_board_refresh(live.day_delta_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"), k=5))
     shown = spark.read.parquet(str(tmp_path / "out" / "board"))
     days = sorted(r.as_of for r in shown.select("as_of").distinct().collect())
     assert len(days) >= 8
@@ -210,7 +211,7 @@ def test_amounts_stay_exact(spark, sample, tmp_path):
     entries = ledger.ledger_entries(building(sample), sample.lineitem)
     feed_in_files(entries, "event_date", str(tmp_path / "in"))
     stream = live.entry_stream(stream_table(spark, str(tmp_path / "in")))
-    run(live.start_day_deltas(stream, str(tmp_path / "deltas"), str(tmp_path / "cp")))
+    run(live.start_day_deltas(live.day_delta_stream(stream), str(tmp_path / "deltas"), str(tmp_path / "cp")))
     total = live.read_deltas(spark, str(tmp_path / "deltas")).agg({"amount": "sum"}).first()[0]
     newest = entries.where(entries.event_date < SLICES[-1]).agg({"event_date": "max"}).first()[0]
     expected = sum((r.amount for r in entries.where(entries.event_date < newest).collect()), Decimal(0))
