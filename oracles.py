@@ -93,11 +93,11 @@ def open_balances(condition: str) -> str:
     """
 
 
-def board(balances: str, tables: str = LEDGER) -> str:
+def board(balances: str, tables: str = LEDGER, extra: str = "") -> str:
     return f"""
         WITH {tables}, balances AS ({balances})
         SELECT order_key, {amount('balance')} AS balance, {day('order_date')} AS order_date,
-               row_number() OVER (ORDER BY balances.balance DESC, order_key) AS rank
+               {extra} row_number() OVER (ORDER BY balances.balance DESC, order_key) AS rank
         FROM balances ORDER BY rank LIMIT 10
     """
 
@@ -271,6 +271,10 @@ SQL: dict[str, str] = {
         FROM occurrence
     """,
     "stream_leaderboard_asof": board(open_balances(STREAMED)),
+    "stream_leaderboard_refresh": board(
+        open_balances(STREAMED),
+        extra=f"(SELECT {day('max(event_date)')} FROM ledger WHERE {STREAMED}) AS as_of,",
+    ),
     "stream_leaderboard_two_phase": board(open_balances(STREAMED)),
     "stream_daily_segment_orders": SEGMENT_DAYS.format(
         condition="WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders)"

@@ -53,6 +53,7 @@ PLANS: dict[str, Plan] = {
     "word_count_running": lambda t: w.running_word_count(t.documents),
     # streams run to the end of the data
     "stream_leaderboard_asof": live.leaderboard_of_ledger_stream,
+    "stream_leaderboard_refresh": live.leaderboard_of_refreshes,
     "stream_leaderboard_two_phase": live.leaderboard_of_two_streams,
     "stream_daily_segment_orders": live.daily_segment_orders_stream,
     "stream_word_count": live.word_count_stream,

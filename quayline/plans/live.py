@@ -46,6 +46,28 @@ def leaderboard_of_ledger_stream(
     return boards.board(live.finished_balances(live.read_deltas(spark, f"{root}/deltas")), k)
 
 
+def leaderboard_of_refreshes(
+    tables: Tables,
+    segment: str = SEGMENT,
+    until: dt.date = AS_OF,
+    k: int = K,
+    cuts: Sequence[dt.date] = CUTS,
+) -> DataFrame:
+    """The last board a periodically refreshed leaderboard has published, with its day."""
+    spark = tables.spark
+    root = fresh_dir(spark, "board-refresh")
+    entries = ledger_entries(orders_of_segment(tables.orders, tables.customer, segment), tables.lineitem)
+    feed = entries.where(F.col("event_date") <= F.lit(until))
+
+    def start(streams: dict[str, DataFrame]):
+        deltas = live.day_delta_stream(live.entry_stream(streams["ledger"]))
+        return live.start_board_refresh(deltas, f"{root}/out", f"{root}/checkpoint", k)
+
+    replay(spark, {"ledger": (feed, "event_date")}, cuts, root, start)
+    published = spark.read.parquet(f"{root}/out/board").drop("batch")
+    return published.where(F.col("as_of") == published.agg(F.max("as_of")).scalar())
+
+
 def leaderboard_of_two_streams(
     tables: Tables,
     segment: str = SEGMENT,
