@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayline.llm import byte_bpe, packing
+from quayline.llm import byte_bpe, licenses, line_quality, packing, secret_scan, sharding, simhash, sketches, toxicity, warc
 from quayline.llm.common import documents
 
 
@@ -22,6 +22,34 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), vocabulary, packing.CAPACITY)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.grouped(documents(spark, sf_dir), simhash.SHINGLE_WORDS, simhash.MAX_BITS)
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judged(documents(spark, sf_dir))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(documents(spark, sf_dir))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(documents(spark, sf_dir))
+
+
+def op7_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir), sharding.even(sharding.SHARDS))
+
+
+def op8_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compared(documents(spark, sf_dir))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,7 +57,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 QUERIES = {
-    "op1_best_fit_packing": op1_best_fit_packing,
-    "op9_byte_bpe": op9_byte_bpe,
-}
+    query.__name__: query
+    for query in (
+        op1_best_fit_packing, op2_simhash, op3_toxicity, op4_line_quality, op5_secret_scan, op6_license_scan,
+        op7_rendezvous_shards, op8_scaled_sketch, op9_byte_bpe, op10_warc_derivatives,
+    )
+}

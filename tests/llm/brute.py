@@ -1,0 +1,182 @@
+"""The operators' results by plain loops, independent of the package."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import xxhash
+from tokenizers import Tokenizer
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def tokenizer() -> Tokenizer:
+    loaded = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    loaded.encode_special_tokens = True
+    return loaded
+
+
+def pieces(text: str | None, loaded: Tokenizer, capacity: int) -> list[tuple[int, int, int, int]]:
+    ids = np.array(loaded.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+    return [
+        (start // capacity, start, len(ids[start : start + capacity]), zlib.crc32(ids[start : start + capacity].tobytes()))
+        for start in range(0, len(ids), capacity)
+    ]
+
+
+def simhash(text: str | None) -> int:
+    words = WORD.findall(lower(text or ""))
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def roots(prints: list[tuple[int, int]], bits: int) -> dict[int, int]:
+    """fingerprint -> one fingerprint of its component, by comparing all pairs."""
+    distinct = sorted({fp for _, fp in prints})
+    parent = {fp: fp for fp in distinct}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    values = np.array(distinct, np.uint64)
+    for i, fp in enumerate(distinct):
+        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= bits).tolist():
+            parent[root(fp)] = root(distinct[i + 1 + j])
+    return {fp: root(fp) for fp in distinct}
+
+
+def components(prints: list[tuple[int, int]], bits: int) -> dict[int, int]:
+    """fingerprint -> smallest id reachable."""
+    root, smallest = roots(prints, bits), {}
+    for doc_id, fp in prints:
+        if doc_id is not None:
+            smallest[root[fp]] = min(doc_id, smallest.get(root[fp], doc_id))
+    return {fp: smallest.get(root[fp]) for fp in root}
+
+
+def quality(text: str | None) -> tuple[int, int, int, int, int]:
+    text = text or ""
+    words = WORD.findall(text)
+    windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    inside = set()
+    for i in range(len(words) - 2):
+        if windows[tuple(words[i : i + 3])] >= 2:
+            inside |= {i, i + 1, i + 2}
+    seen, repeats = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            repeats += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), repeats, len(inside)
+
+
+def kept(rows: list[tuple], texts: int, share: float, remaining: float) -> list[tuple[bool, bool]]:
+    """(base_failed, kept) of (host, text) rows."""
+
+    def normal(line):
+        return " ".join(WORD.findall(re.sub("[0-9]+", "0", lower(line))))
+
+    hosts: dict = {}
+    for host, text in rows:
+        hosts.setdefault(host, set()).add(text or "")
+    above = set()
+    for host, own in hosts.items():
+        counts = Counter(line for text in own for line in {normal(x) for x in text.split("\n")} if line)
+        above |= {(host, line) for line, n in counts.items() if n >= texts and n > share * len(own)}
+    found = []
+    for host, text in rows:
+        n, _, _, _, repeated = quality(text)
+        gone = sum(len(WORD.findall(x)) for x in (text or "").split("\n") if (host, normal(x)) in above)
+        failed = n < 50 or 100 * repeated > 50 * n
+        found.append((failed, not failed and n - gone >= remaining * n))
+    return found
+
+
+PATTERNS = {
+    "assign": re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile("(AKIA[A-Z0-9]+)"),
+    "hex": re.compile("([0-9a-f]+)"),
+}
+
+
+def base_secrets(text: str | None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) by start, then kind."""
+    least = {"assign": 6, "access": 20, "hex": 24}
+    return sorted(
+        (m.start(), order, m.end())
+        for order, (kind, pattern) in enumerate(PATTERNS.items())
+        for m in pattern.finditer(text or "")
+        if len(m[1]) >= least[kind]
+    )
+
+
+def entropy(window: str) -> float:
+    counts = np.array(list(Counter(window).values())) / len(window)
+    return float(-(counts * np.log2(counts)).sum())
+
+
+def spans_text(spans: list[tuple[int, int, int]]) -> str:
+    kinds = ["assign", "access", "hex", "entropy"]
+    return ",".join(f"{kinds[order]}:{start}:{end}" for start, order, end in sorted(spans))
+
+
+def sha(data: bytes | str) -> str:
+    return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
+
+
+def licence_words(text: str | None) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
+
+
+def licence_places(words: list[str]) -> list[tuple[int, str]]:
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    found = []
+    for phrase, label in phrases.items():
+        wanted = phrase.split()
+        found += [(i, label) for i in range(len(words)) if words[i : i + len(wanted)] == wanted]
+    return sorted(found)
+
+
+def detections(words: list[str], rules) -> set[tuple[int, int, str]]:
+    """(start, end, label) that stand, every rule tried on every text."""
+    line = " " + " ".join(words) + " "
+    found = []
+    for number, rule in enumerate(rules):
+        for m in re.finditer(f"(?<= )({rule.pattern})(?= )", line):
+            start = line[: m.start()].count(" ") - 1
+            found.append((start, start + m[0].count(" ") + 1, rule.priority, number, rule.label))
+
+    def beats(e, d):
+        nested = (e[0] <= d[0] and d[1] <= e[1]) or (d[0] <= e[0] and e[1] <= d[1])
+        return nested and (e[2], e[0] - e[1], e[3]) < (d[2], d[0] - d[1], d[3])
+
+    return {(d[0], d[1], d[4]) for d in found if not any(beats(e, d) for e in found)}
+
+
+def sketch(text: str, scale: int, width: int) -> set[int]:
+    words = WORD.findall(lower(text))
+    shingles = {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
+    hashes = {xxhash.xxh64_intdigest(s.encode()) for s in shingles}
+    low = {h for h in hashes if h < 2**64 // scale}
+    return low or ({min(hashes)} if hashes else set())
+
+
+def tiktoken_encoding():
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

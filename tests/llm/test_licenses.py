@@ -1,0 +1,59 @@
+from quayline.llm import licenses
+from quayline.llm.license_rules import ANCHORS, CONFIDENCE, LICENCES, RULES
+from tests.llm import brute
+
+TEXTS = [
+    "Released under the MIT License. MIT license, mit-license!", "This work is licensed under the GNU General Public License, version 3.",
+    "Licensed under CC BY-NC 4.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+    "compliance with the License.", "SPDX-License-Identifier: GPL-2.0-only", "SPDX-License-Identifier: BSD-3-Clause", "the mit licence",
+    "GNU Lesser General Public License version 2.1", "dual licensed under the MIT license or the Apache License 2.0",
+    "https://creativecommons.org/licenses/by-sa/4.0/", "no license here", "the apache\n\n\tlicense", "mit license mit license mit license",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy", "All rights reserved. Proprietary and confidential.",
+    "ß General  Public  License é", "under the license", "bsd 3-clause license and the zlib license",
+]
+
+
+def check(docs):
+    expected = []
+    for r in docs.select("doc_id", "text").collect():
+        words = brute.licence_words(r.text)
+        places = brute.licence_places(words)
+        starts = [i for i, _ in places]
+        base = {label for _, label in places}
+        found = brute.detections(words, RULES)
+        expected.append(
+            (str(r.doc_id), len(words), len(places), min(starts, default=None), max(starts, default=None),
+             ",".join(sorted(base)), ",".join(sorted(base | {label for _, _, label in found})))
+        )
+    rows = licenses.digests(docs).collect()
+    assert sorted((str(r.doc_id), *r[1:7]) for r in rows) == sorted(expected, key=lambda e: (e[0], *map(str, e[1:])) and e[:3])
+    assert all((r.score == 0) == (r.labels == "") and 0 <= r.score <= 1 for r in rows)
+
+
+def test_against_brute_force(spark, sample, odd, empty):
+    check(sample)
+    check(odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]))
+    check(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string"))
+    assert licenses.digests(empty).collect() == [] and licenses.digests(odd).count() == odd.count()
+
+
+def test_nested_detections(spark):
+    docs = spark.createDataFrame([(TEXTS[7],), (TEXTS[8],), (TEXTS[1],)], "text string")
+    found = [[(d.label, d.start, d.end) for d in r.license_found] for r in licenses.scanned(docs).collect()]
+    # "general public license version 2 1" is part of the lesser one's name
+    assert found[0] == [("lgpl", 0, 8)]
+    assert {label for label, _, _ in found[1]} == {"mit", "apache"}
+    assert {label for label, _, _ in found[2]} == {"gpl"}
+
+
+def test_rules_are_gated():
+    assert len(RULES) > 300 and len({x.label for x in LICENCES}) > 35
+    for rule in RULES:
+        plain = rule.pattern.replace("licen[cs]e", "license").replace("licen[cs](", "licens(")
+        assert any(anchor in plain for anchor in ANCHORS), rule
+        assert rule.priority in CONFIDENCE
+
+
+def test_no_python_on_the_executors(sample):
+    plan = licenses.digests(sample)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
