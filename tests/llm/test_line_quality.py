@@ -16,7 +16,13 @@ def test_against_brute_force(sample, odd, limits):
 
 def boiler(spark):
     """One host with a line on most of its pages, one large group of copies and one of near copies."""
-    unique = " ".join(f"u{{0}}w{i}" for i in range(60))
+    letters = str.maketrans("0123456789", "abcdefghij")  # numbers are alike in normalised lines
+
+    class unique:
+        @staticmethod
+        def format(name):
+            return " ".join(f"u{name}w{i}" for i in range(60)).translate(letters)
+
     line = "Share this Page with your 20 friends now and subscribe to our letter"
     rows = [(i, "a", f"{line}\n{unique.format(i)}") for i in range(40)]
     rows += [(100 + i, "a", f"{line}\n{line.upper()}\n" + "\n".join([line.replace("20", str(i))] * 3 + [f"own {i}"])) for i in range(3)]
