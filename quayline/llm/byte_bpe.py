@@ -23,39 +23,35 @@ from quayline.llm.common import gather, plain_strings, slices
 
 # rows of a recursion are its words' bytes times its steps: words per query, and the longest word
 # that goes through it; a longer one (a run without white space) is merged with a heap instead
-WORDS_PER_QUERY = 20_000
+WORDS_PER_QUERY = 40_000
 LONGEST_WORD = 128
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 DATABASE = {"threads": 1, "memory_limit": "400MB", "temp_directory": ""}
 # two white-space characters in a row, or one at an end: such texts are cut as a whole
 SPACED = r"^[\s\v\x{85}\pZ]|[\s\v\x{85}\pZ]$|[\s\v\x{85}\pZ]{2}"
 
+# a place is the word's number times 256 and the position in it; the rank of a merge is the id of
+# its token, so that the smallest (id, position) of a word is its leftmost pair of minimum rank
 ENCODE = """
-    WITH RECURSIVE state(step, word, pos, id, live) AS (
-        SELECT 0, word, pos, id, true FROM bytes
+    WITH RECURSIVE state(place, id, live) AS (
+        SELECT place, id, true FROM bytes
         UNION ALL (
             WITH neighbour AS (
-                SELECT step, word, pos, id, lead(id) OVER near AS next_id, lead(pos) OVER near AS next_pos
-                FROM state WHERE live WINDOW near AS (PARTITION BY word ORDER BY pos)
+                SELECT place, id, lead(id) OVER near AS next_id, lead(place) OVER near AS next_place
+                FROM state WHERE live WINDOW near AS (ORDER BY place)
             ),
-            pair AS (
-                SELECT n.*, m.id AS merged
-                FROM neighbour n LEFT JOIN merges m ON m.left_id = n.id AND m.right_id = n.next_id
-            ),
-            -- the rank of a merge is the id of its token; among equal ranks the leftmost
-            best AS (SELECT word, min(merged::BIGINT * 65536 + pos) AS chosen FROM pair GROUP BY word),
-            gone AS (
-                SELECT pair.word, next_pos AS pos FROM pair JOIN best
-                ON best.word = pair.word AND pair.pos = chosen % 65536
+            best AS (
+                SELECT place // 256 AS word, min(m.id * 256 + place % 256) AS chosen,
+                       arg_min(next_place, m.id * 256 + place % 256) AS gone
+                FROM neighbour n JOIN merges m ON m.left_id = n.id AND m.right_id = n.next_id
+                WHERE place // 256 = next_place // 256 GROUP BY place // 256
             )
-            SELECT step + 1, pair.word, pair.pos,
-                   CASE WHEN pair.pos = chosen % 65536 THEN merged ELSE id END, chosen IS NOT NULL
-            FROM pair JOIN best ON best.word = pair.word
-            LEFT JOIN gone ON gone.word = pair.word AND gone.pos = pair.pos
-            WHERE gone.pos IS NULL
+            SELECT place, CASE WHEN place % 256 = chosen % 256 THEN chosen // 256 ELSE id END, chosen IS NOT NULL
+            FROM neighbour LEFT JOIN best ON best.word = place // 256
+            WHERE gone IS NULL OR place <> gone
         )
     )
-    SELECT list(id ORDER BY pos) AS ids FROM state WHERE NOT live GROUP BY word ORDER BY word
+    SELECT list(id ORDER BY place) AS ids FROM state WHERE NOT live GROUP BY place // 256 ORDER BY place // 256
 """
 DECODE = """
     SELECT unhex(coalesce(string_agg(hex, '' ORDER BY pos), '')) AS bytes
@@ -87,7 +83,9 @@ class Vocabulary:
         self.database = duckdb.connect(config=DATABASE)
         self._table("merges", dict(zip(("left_id", "right_id", "id"), np.array(merges, np.int32).reshape(-1, 3).T)))
         self._table("tokens", {"id": list(self.ranks.values()), "hex": [token.hex() for token in self.ranks]})
+        # of whole words, and of the pattern's matches inside them
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.matches: dict[str, tuple[bytes, bytes]] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         given = pa.table({k: pa.array(v) for k, v in columns.items()})
@@ -111,13 +109,8 @@ class Vocabulary:
             lengths = np.array([len(words[i]) for i in part])
             flat = np.frombuffer(b"".join(words[i] for i in part), np.uint8)
             start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-            rows = pa.table(
-                {
-                    "word": np.repeat(np.arange(len(part), dtype=np.int32), lengths),
-                    "pos": (np.arange(len(flat)) - start).astype(np.int32),
-                    "id": self.byte_ids[flat],
-                }
-            )
+            places = np.repeat(np.arange(len(part)) * 256, lengths) + np.arange(len(flat)) - start
+            rows = pa.table({"place": places.astype(np.int32), "id": self.byte_ids[flat]})
             for i, found in zip(part, self._ask(ENCODE, "bytes", rows)):
                 ids[i] = found
         return [self.merged(w) if found is None else found for w, found in zip(words, ids)]
@@ -162,16 +155,20 @@ class Vocabulary:
 
     def words(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each text its ids (little-endian, 32 bits each) and the bytes they decode to."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+        for cache in (self.known, self.matches):
+            if len(cache) > CACHED_WORDS:
+                cache.clear()
         new = [t for t in dict.fromkeys(texts) if t not in self.known]
-        matches = [self.pattern.findall(t) for t in new]
-        distinct = list(dict.fromkeys(m.encode() for found in matches for m in found))
-        ids = self.encode(distinct)
-        own = dict(zip(distinct, zip((np.array(i, "<u4").tobytes() for i in ids), self.decode(ids) if ids else [])))
-        for text, found in zip(new, matches):
-            parts = [own[m.encode()] for m in found]
-            self.known[text] = b"".join(p[0] for p in parts), b"".join(p[1] for p in parts)
+        found = [self.pattern.findall(t) for t in new]
+        distinct = [m for m in dict.fromkeys(m for own in found for m in own) if m not in self.matches]
+        ids = self.encode([m.encode() for m in distinct])
+        plain = self.decode(ids) if ids else []
+        self.matches.update(zip(distinct, zip((np.array(i, "<u4").tobytes() for i in ids), plain)))
+        for text, own in zip(new, found):
+            if len(own) == 1:
+                self.known[text] = self.matches[own[0]]
+            else:
+                self.known[text] = b"".join(self.matches[m][0] for m in own), b"".join(self.matches[m][1] for m in own)
         return [self.known[t] for t in texts]
 
 
