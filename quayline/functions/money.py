@@ -20,8 +20,15 @@ _LOW_BITS = 30
 
 
 def cents(column: str) -> Column:
-    """A two-decimal amount (DOUBLE or DECIMAL(15,2)) as whole cents."""
-    return F.rint(F.col(column).cast("double") * 100).cast("bigint")
+    """An amount (DOUBLE or DECIMAL) as whole cents, rounded as DECIMAL(15,2) is: half away from
+    zero in decimal digits.  Amounts that have two decimals, nearly all, need no such rounding."""
+
+    def whole(amount: Column) -> Column:
+        return F.rint(amount.cast("double") * 100)
+
+    plain = F.col(column).cast("double") * 100
+    exact = whole(F.col(column).cast("decimal(15,2)"))
+    return F.when(F.abs(plain - F.rint(plain)) < 0.001, F.rint(plain)).otherwise(exact).cast("bigint")
 
 
 def line_units(price: str = "l_extendedprice", discount: str = "l_discount") -> Column:

@@ -70,7 +70,8 @@ def open_orders_asof(orders: DataFrame, lines: DataFrame, as_of: dt.date) -> Dat
     placed = orders.where(F.col("o_orderdate") <= day).select(
         F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("order_date")
     )
-    due = order_totals(lines.where(F.col("l_shipdate") > day))
+    # a line without a ship date has not shipped
+    due = order_totals(lines.where(F.col("l_shipdate").isNull() | (F.col("l_shipdate") > day)))
     return (
         due.select(F.col("l_orderkey").alias("order_key"), F.col("revenue").alias("balance"))
         .where(is_open())

@@ -2,8 +2,10 @@
 own revenue away on its ship date.  The balance of an order as of a day is what has not
 shipped yet.
 
-``order_key`` is expected to be unique among the orders; a line without an order or without a
-ship date is no entry and counts in no order's amount.
+``order_key`` is expected to be unique among the orders; a line without an order is no entry.
+A line without a ship date has not shipped: it counts in its order's amount and is no entry, so
+its order stays open.  An order without a date is not placed: neither it nor its lines are
+entries.
 """
 
 from __future__ import annotations
@@ -18,12 +20,16 @@ def dated_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("l_shipdate").isNotNull())
 
 
+def placed_orders(orders: DataFrame) -> DataFrame:
+    return orders.where(F.col("o_orderdate").isNotNull())
+
+
 def ledger_entries(orders: DataFrame, lines: DataFrame, rounded: bool = False) -> DataFrame:
     """One entry per order and one per line: order_key, cust_key, amount, event_date, is_order.
 
     ``rounded`` gives the amounts of the exchange file, each rounded to cents by itself.
     """
-    lines = dated_lines(lines)
+    orders = placed_orders(orders)
     placed = orders_with_totals(
         orders.select("o_orderkey", "o_custkey", "o_orderdate"), lines
     ).select(
@@ -37,7 +43,8 @@ def ledger_entries(orders: DataFrame, lines: DataFrame, rounded: bool = False) -
         F.col("o_orderkey").alias("order_key"), F.col("o_custkey").alias("cust_key")
     )
     shipped = (
-        lines.select(
+        dated_lines(lines)
+        .select(
             F.col("l_orderkey").alias("order_key"),
             (-line_revenue()).alias("amount"),
             F.col("l_shipdate").alias("event_date"),
@@ -58,13 +65,15 @@ def in_ledger_order(entries: DataFrame) -> DataFrame:
 def rounding_residuals(orders: DataFrame, lines: DataFrame) -> DataFrame:
     """Orders whose cents-rounded entries do not add up to zero, with what is left over.
 
-    Needs no ledger: the residual is the rounded total minus the sum of the rounded lines.
+    Needs no ledger: the residual is the rounded total minus the sum of the rounded lines that
+    have shipped.
     """
     units = line_units()
-    sums = dated_lines(lines).groupBy(F.col("l_orderkey").alias("order_key")).agg(
-        (to_cents(sum_units(units)) - sum_units(round_units(units))).cast(EXACT).alias("residual")
+    shipped = F.when(F.col("l_shipdate").isNotNull(), round_units(units)).otherwise(0)
+    sums = lines.groupBy(F.col("l_orderkey").alias("order_key")).agg(
+        (to_cents(sum_units(units)) - sum_units(shipped)).cast(EXACT).alias("residual")
     )
-    keys = orders.select(F.col("o_orderkey").alias("order_key"))
+    keys = placed_orders(orders).select(F.col("o_orderkey").alias("order_key"))
     return sums.where(F.col("residual") != 0).join(keys, "order_key", "left_semi")
 
 
@@ -76,13 +85,13 @@ def day_deltas(orders: DataFrame, lines: DataFrame) -> DataFrame:
     stay in its partitioning: the window that totals an order, the entry the order adds on its
     own date, and the final sum per day need no further shuffle.
     """
+    # one row without a date holds what an order has not shipped
     days = (
-        dated_lines(lines)
-        .groupBy("l_orderkey", "l_shipdate")
+        lines.groupBy("l_orderkey", "l_shipdate")
         .agg(sum_units(line_units()).alias("revenue"))
         .select(F.col("l_orderkey").alias("order_key"), "l_shipdate", "revenue")
     )
-    placed = orders.where(F.col("o_orderdate").isNotNull()).select(
+    placed = placed_orders(orders).select(
         F.col("o_orderkey").alias("order_key"), F.col("o_orderdate").alias("order_date")
     )
     by_day = Window.partitionBy("order_key").orderBy("l_shipdate")
@@ -93,8 +102,8 @@ def day_deltas(orders: DataFrame, lines: DataFrame) -> DataFrame:
     def entry(day: str, amount: Column) -> Column:
         return F.struct(F.col(day).alias("event_date"), amount.cast(EXACT).alias("amount"))
 
-    # the first row of an order also brings the order's own entry; an order without lines has
-    # only that
+    # the first row of an order also brings the order's own entry; it is the one without a date
+    # where there is one, or where the order has no lines
     shipment = F.array(entry("l_shipdate", -F.col("revenue")))
     opening = F.array(entry("order_date", F.col("total")))
     entries = (

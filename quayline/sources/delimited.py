@@ -9,7 +9,15 @@ SEPARATOR = "|"
 
 # PERMISSIVE keeps every row: a field that does not parse becomes null, a short row is padded
 # with nulls, the empty field behind a trailing separator is ignored, blank lines are skipped.
-OPTIONS = {"sep": SEPARATOR, "mode": "PERMISSIVE", "header": "false", "dateFormat": "yyyy-MM-dd"}
+# Blanks around a field are no part of it.
+OPTIONS = {
+    "sep": SEPARATOR,
+    "mode": "PERMISSIVE",
+    "header": "false",
+    "dateFormat": "yyyy-MM-dd",
+    "ignoreLeadingWhiteSpace": "true",
+    "ignoreTrailingWhiteSpace": "true",
+}
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -29,13 +37,18 @@ def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> No
     df.write.mode(mode).options(sep=SEPARATOR, header="false", dateFormat="yyyy-MM-dd").csv(path)
 
 
-def sort_rows(df: DataFrame, columns: list[int | str], tiebreak: list[str] = ()) -> DataFrame:
+def sort_rows(
+    df: DataFrame, columns: list[int | str], tiebreak: list[str] | None = None
+) -> DataFrame:
     """Global ascending sort by the text of ``columns`` (positions or names), missing first.
 
-    ``tiebreak`` columns follow the sort key.  They make the order repeatable, and they let
-    the range partitioner split a value that holds a large share of the rows (a single date).
+    ``tiebreak`` columns follow the sort key; the default is all others.  They make the order
+    repeatable, and they let the range partitioner split a value that holds a large share of
+    the rows (a single date).
     """
     names = [df.columns[c] if isinstance(c, int) else c for c in columns]
+    if tiebreak is None:
+        tiebreak = [c for c in df.columns if c not in names]
 
     def as_text(name: str) -> Column:
         kind = df.schema[name].dataType
@@ -47,7 +60,7 @@ def sort_rows(df: DataFrame, columns: list[int | str], tiebreak: list[str] = ())
 
 
 def write_sorted(
-    df: DataFrame, path: str, columns: list[int | str], tiebreak: list[str] = ()
+    df: DataFrame, path: str, columns: list[int | str], tiebreak: list[str] | None = None
 ) -> None:
     """Part files in global order: file n ends where file n+1 begins."""
     write_delimited(sort_rows(df, columns, tiebreak), path)

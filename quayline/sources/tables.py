@@ -8,17 +8,21 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
+from quayline.functions.dates import event_time_to_day
 from quayline.sources import schemas
 from quayline.sources.delimited import read_delimited
 
 
 def days_as_dates(df: DataFrame) -> DataFrame:
-    """Timestamp columns to DATE.  Comparisons with dates still reach the Parquet reader."""
-    stamps = {
-        f.name: F.col(f.name).cast("date")
-        for f in df.schema
-        if isinstance(f.dataType, (TimestampType, TimestampNTZType))
-    }
+    """Timestamp columns to DATE, their UTC day.  Comparisons of time-zone-free columns with dates
+    still reach the Parquet reader."""
+    stamps = {}
+    for field in df.schema:
+        if isinstance(field.dataType, TimestampNTZType):
+            stamps[field.name] = F.col(field.name).cast("date")
+        elif isinstance(field.dataType, TimestampType):
+            # a cast would take the day of the session's time zone
+            stamps[field.name] = event_time_to_day(field.name)
     return df.withColumns(stamps) if stamps else df
 
 

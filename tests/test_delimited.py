@@ -1,10 +1,12 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
+
 from quayline.operators.ledger import in_ledger_order, ledger_entries
 from quayline.sources import schemas
 from quayline.sources.delimited import read_delimited, sort_rows, write_sorted
-from quayline.sources.ledger import read_ledger_text, write_ledger, write_ledger_text
+from quayline.sources.ledger import ledger_rejects, read_ledger_text, stream_ledger_text, write_ledger, write_ledger_text
 from quayline.sources.tables import Tables
 from quayline.plans import shipping_priority as sp
 from tests.conftest import random_frames
@@ -106,16 +108,48 @@ def test_ledger_text_round_trip(spark, tmp_path):
     assert len(amount.split(".")[1]) == 2 and flag in ("true", "false") and len(when) == 10
 
 
-def test_ledger_text_rejects_broken_rows(spark, tmp_path):
-    path = write(
-        tmp_path / "merged.csv",
-        "1|2|3.50|1995-01-01|true\n1|null|3.50|1995-01-01|false\n1|2|x|1995-01-01|false\n"
-        "1|2|-3.50|1995-01-02|yes\n",
-    )
-    rows = read_ledger_text(spark, path).orderBy("event_date").collect()
+BROKEN = (
+    "1|2|3.50|1995-01-01|true\n1|null|3.50|1995-01-01|false\n1|2|x|1995-01-01|false\n"
+    "\n   \n 1 | 2 | -3.50 | 1995-01-02 | yes \n1|2\n"
+)
+
+
+def test_broken_ledger_rows_fail_or_are_listed(spark, tmp_path):
+    path = write(tmp_path / "merged.csv", BROKEN)
+    with pytest.raises(Exception, match="not a ledger entry"):
+        read_ledger_text(spark, path).collect()
+    assert sorted(r.line for r in ledger_rejects(spark, path).collect()) == ["1|2", "1|2|x|1995-01-01|false", "1|null|3.50|1995-01-01|false"]
+    rows = read_ledger_text(spark, path, skip_rejects=True).orderBy("event_date").collect()
     assert [(r.amount, r.is_order) for r in rows] == [(Decimal("3.5"), True), (Decimal("-3.5"), False)]
 
 
+def test_ledger_stream_parses_as_the_batch_reader(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write(tmp_path / "in" / "a.csv", " 1 | 2 |3.50| 1995-01-01 |TRUE\n\n1|2| -1.25 |1995-01-03| yes\n1|2|-2.25|1995-01-02|\n")
+    query = stream_ledger_text(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("ledger_text")
+    query.trigger(availableNow=True).start().awaitTermination()
+    batch = read_ledger_text(spark, str(tmp_path / "in"))
+    found = spark.table("ledger_text")
+    assert found.exceptAll(batch).count() == 0 and found.count() == batch.count() == 3
+    assert sorted((r.amount, r.is_order) for r in found.collect()) == [(Decimal("-2.25"), False), (Decimal("-1.25"), False), (Decimal("3.5"), True)]
+    write(tmp_path / "in" / "b.csv", "1|2|x|1995-01-02|true\n")
+    bad = stream_ledger_text(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("ledger_bad")
+    with pytest.raises(Exception, match="not a ledger entry"):
+        bad.trigger(availableNow=True).start().awaitTermination()
+
+
+def test_fields_are_trimmed(spark, tmp_path):
+    path = write(tmp_path / "orders.csv", " 10 | 7 |O| 12.50 | 1995-03-01 | 1-URGENT |c| 0 |x|\n")
+    row = read_delimited(spark, path, schemas.ORDERS).first()
+    assert (row.o_orderkey, row.o_custkey, row.o_totalprice) == (10, 7, Decimal("12.50"))
+    assert (str(row.o_orderdate), row.o_orderpriority) == ("1995-03-01", "1-URGENT")
+
+
+def test_sort_has_a_tiebreak(spark):
+    df = spark.createDataFrame([("x", 2, "b"), ("x", 1, "c"), ("x", 1, "a"), (None, 9, "z")], "d STRING, k INT, t STRING")
+    assert [(r.d, r.k, r.t) for r in sort_rows(df, ["d"]).collect()] == [(None, 9, "z"), ("x", 1, "a"), ("x", 1, "c"), ("x", 2, "b")]
+
+
 def test_stored_ledger_keeps_the_order(spark, tmp_path):
     frames = random_frames(spark, 3)
     ledger = ledger_entries(frames.orders, frames.lineitem)

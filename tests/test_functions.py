@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayline.functions import dates, money, text
+from quayline.sources.tables import days_as_dates
 
 
 def one(df):
@@ -92,3 +93,25 @@ def test_rank_line(spark):
     df = spark.sql("SELECT 1L AS r, 42L AS k, 1234.565BD AS v, DATE '1995-01-02' AS d")
     line = one(df.select(text.rank_line("r", "k", "v", "d")))
     assert line == "Rank  1 | orderKey:       42 | Revenue:    1234.57 | orderDate: 1995-01-02"
+
+
+@pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Tokyo"])
+def test_timestamps_become_their_utc_day(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        stamps = spark.sql("SELECT timestamp_seconds(1577923200) AS a, timestamp_seconds(1577923199) AS b, TIMESTAMP_NTZ'2020-01-02 23:59:59' AS c")
+        row = days_as_dates(stamps).first()
+        assert [str(d) for d in row] == ["2020-01-02", "2020-01-01", "2020-01-02"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_more_than_two_decimals_round_as_the_decimal_type(spark):
+    prices = ["10.005", "0.015", "1.115", "2.675", "-10.005", "33.333", "10.004999", "99999999.99", "0.1", "7"]
+    rows = spark.createDataFrame([(float(p), 0.125) for p in prices], "l_extendedprice double, l_discount double")
+    found = [r[0] for r in rows.select(money.line_revenue()).collect()]
+    half_up = [r[0] for r in rows.selectExpr("CAST(CAST(l_extendedprice AS DECIMAL(15,2)) * (1 - CAST(l_discount AS DECIMAL(15,2))) AS DECIMAL(38,4))").collect()]
+    assert found == half_up and str(found[0]) == "8.7087"
+    decimals = rows.selectExpr("CAST(l_extendedprice AS DECIMAL(20,6)) AS l_extendedprice", "CAST(l_discount AS DECIMAL(20,6)) AS l_discount")
+    assert [r[0] for r in decimals.select(money.line_revenue()).collect()] == half_up

@@ -2,6 +2,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from quayline.operators import balances, boards, ledger
 from quayline.operators.orders import orders_of_segment
@@ -34,13 +35,37 @@ def test_entries(frames):
     assert entry_rows(ledger.ledger_entries(f.orders, f.lineitem)) == sorted(f.entries())
 
 
-def test_undated_lines_are_no_entries(frames, spark):
+def test_undated_lines_keep_their_order_open(frames, spark):
     f = frames(*EDGES)
-    undated = spark.createDataFrame([(1, 9, 500.0, 0.0, None)], f.lineitem.schema)
+    undated = spark.createDataFrame([(1, 9, 500.0, 0.0, None), (1, 10, 100.0, 0.5, None)], f.lineitem.schema)
     lines = f.lineitem.unionAll(undated)
-    assert entry_rows(ledger.ledger_entries(f.orders, lines)) == sorted(f.entries())
+    expected = [(k, d, a + 550 if k == 1 and o else a, o) for k, d, a, o in f.entries()]
+    entries = ledger.ledger_entries(f.orders, lines)
+    assert entry_rows(entries) == sorted(expected)
     history = balances.balance_history(ledger.day_deltas(f.orders, lines))
-    assert all(r.balance == 0 for r in history.collect() if r.next_date is None)
+    last = {r.order_key: r.balance for r in history.collect() if r.next_date is None}
+    assert last.pop(1) == 550 and not any(last.values())
+    end = day("2010-01-01")
+    for table in (balances.balances_asof(entries, end), balances.balances_asof(ledger.day_deltas(f.orders, lines), end)):
+        assert {r.order_key: r.balance for r in table.collect() if r.balance > 0} == {1: 550}
+    assert {r.order_key: r.balance for r in balances.open_orders_asof(f.orders, lines, end).collect()} == {1: 550}
+    residuals = {r.order_key: r.residual for r in ledger.rounding_residuals(f.orders, lines).collect()}
+    rounded = {}
+    for r in ledger.ledger_entries(f.orders, lines, rounded=True).collect():
+        rounded[r.order_key] = rounded.get(r.order_key, 0) + r.amount
+    assert residuals == {k: v for k, v in rounded.items() if v}
+
+
+def test_undated_orders_are_no_entries_in_either_form(frames, spark):
+    f = frames(*EDGES)
+    orders = f.orders.withColumn("o_orderdate", F.expr("IF(o_orderkey = 1, NULL, o_orderdate)"))
+    expected = sorted(e for e in f.entries() if e[0] != 1)
+    assert entry_rows(ledger.ledger_entries(orders, f.lineitem)) == expected
+    sums = {}
+    for key, when, amount, _ in expected:
+        sums[key, when] = sums.get((key, when), Decimal(0)) + amount
+    assert {(r.order_key, r.event_date): r.amount for r in ledger.day_deltas(orders, f.lineitem).collect()} == sums
+    assert all(r.order_key != 1 for r in ledger.rounding_residuals(orders, f.lineitem).collect())
 
 
 def test_ledger_order(frames):
