@@ -149,7 +149,7 @@ SEGMENT_DAYS = f"""
     GROUP BY c_mktsegment, o_orderdate
 """
 
-# the newest day of a stream is not finished
+# the boards of a stream stand at the day before its newest entry
 STREAMED = """
     event_date < (SELECT max(event_date) FROM ledger WHERE event_date <= DATE '1998-06-30')
 """
@@ -176,6 +176,7 @@ SQL: dict[str, str] = {
                    {amount('round(revenue, 2)')} AS revenue, {day('orderdate')} AS orderdate
             FROM remaining WHERE revenue > 0
         )
+        -- fixed value: the report's line format
         SELECT rank, printf('Rank %2d | orderKey: %8d | Revenue: %10.2f | orderDate: %s',
                             rank, l_orderkey, revenue, orderdate) AS line
         FROM ranked WHERE rank <= 10
@@ -207,6 +208,13 @@ SQL: dict[str, str] = {
     "scan_delimited_customer": scan("customer", columns(CUSTOMER, True)),
     "scan_delimited_lineitem": scan("lineitem", columns(LINEITEM, True)),
     "ledger_delimited": ROUNDED,
+    "ledger_stored": ROUNDED.replace("round(amount, 2)", "amount"),
+    "orders_sorted_file": scan("orders", columns(ORDERS, True) | {"o_shippriority": "0"}),
+    "scan_delimited_untidy": f"""
+        SELECT o_orderkey, o_custkey, {amount(money('o_totalprice'))} AS o_totalprice, {day('o_orderdate')} AS o_orderdate,
+               CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority END AS o_orderpriority
+        FROM orders
+    """,
     "ledger_exact": ROUNDED.replace("round(amount, 2)", "amount"),
     "ledger_rounded": ROUNDED,
     "ledger_residuals": f"""
@@ -276,8 +284,14 @@ SQL: dict[str, str] = {
         extra=f"(SELECT {day('max(event_date)')} FROM ledger WHERE {STREAMED}) AS as_of,",
     ),
     "stream_leaderboard_two_phase": board(open_balances(STREAMED)),
-    "stream_daily_segment_orders": SEGMENT_DAYS.format(
-        condition="WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders)"
+    "stream_daily_segment_orders": SEGMENT_DAYS.format(condition=""),
+    "stream_late_orders": f"""
+        SELECT {day('o_orderdate')} AS o_orderdate, count(*) AS order_count, true AS late_dropped
+        FROM orders WHERE NOT (o_orderkey % 50 = 0 AND o_orderdate < DATE '1997-01-01')
+        GROUP BY orders.o_orderdate
+    """,
+    "stream_ledger_delimited": board(
+        open_balances(STREAMED), LEDGER.replace("coalesce(revenue, 0)", "round(coalesce(revenue, 0), 2)").replace("-revenue,", "round(-revenue, 2),")
     ),
     "stream_word_count": WORD_COUNT,
 }

@@ -34,8 +34,11 @@ PLANS: dict[str, Plan] = {
     # delimited files
     "scan_delimited": lambda t: files.delimited_scan(t, "orders"),
     "scan_delimited_customer": lambda t: files.delimited_scan(t, "customer"),
+    "scan_delimited_untidy": files.orders_untidy,
+    "orders_sorted_file": files.orders_sorted_file,
     "scan_delimited_lineitem": lambda t: files.delimited_scan(t, "lineitem"),
     "ledger_delimited": files.ledger_text,
+    "ledger_stored": files.ledger_stored,
     # ledger and balances
     "ledger_exact": fulfilment.ledger_exact,
     "ledger_rounded": fulfilment.ledger_rounded,
@@ -53,6 +56,8 @@ PLANS: dict[str, Plan] = {
     "word_count_running": lambda t: w.running_word_count(t.documents),
     # streams run to the end of the data
     "stream_leaderboard_asof": live.leaderboard_of_ledger_stream,
+    "stream_ledger_delimited": live.leaderboard_of_ledger_text,
+    "stream_late_orders": live.late_orders_stream,
     "stream_leaderboard_refresh": live.leaderboard_of_refreshes,
     "stream_leaderboard_two_phase": live.leaderboard_of_two_streams,
     "stream_daily_segment_orders": live.daily_segment_orders_stream,

@@ -9,8 +9,8 @@ from quayline.operators.ledger import ledger_entries
 from quayline.operators.orders import orders_of_segment
 from quayline.plans.shipping_priority import SEGMENT
 from quayline.sources import schemas
-from quayline.sources.delimited import read_delimited, sort_rows, write_delimited
-from quayline.sources.ledger import read_ledger_text, write_ledger_text
+from quayline.sources.delimited import SEPARATOR, read_delimited, sort_rows, write_delimited, write_sorted
+from quayline.sources.ledger import read_ledger, read_ledger_text, write_ledger, write_ledger_text
 from quayline.sources.tables import Tables
 from quayline.storage import fresh_dir
 
@@ -44,6 +44,40 @@ def ledger_text(tables: Tables, segment: str = SEGMENT) -> DataFrame:
     return read_ledger_text(tables.spark, path)
 
 
+def ledger_stored(tables: Tables, segment: str = SEGMENT) -> DataFrame:
+    """The segment's exact ledger through its stored, date-ordered table."""
+    path = fresh_dir(tables.spark, "ledger")
+    orders = orders_of_segment(tables.orders, tables.customer, segment)
+    write_ledger(ledger_entries(orders, tables.lineitem), path)
+    return read_ledger(tables.spark, path)
+
+
+def orders_sorted_file(tables: Tables) -> DataFrame:
+    """The orders through files in global date order."""
+    path = fresh_dir(tables.spark, "orders-sorted")
+    schema = schemas.TABLES["orders"]
+    write_sorted(in_layout(tables.orders, schema), path, ["o_orderdate"])
+    scanned = read_delimited(tables.spark, path, schema)
+    return scanned.select([c for c in scanned.columns if c in tables.orders.columns])
+
+
+def orders_untidy(tables: Tables, short: int = 3) -> DataFrame:
+    """The orders through a file with blanks around the fields, blank lines between the rows, a
+    separator behind them and, for every ``short``-th order, nothing behind the date."""
+    path = fresh_dir(tables.spark, "orders-untidy")
+    schema = schemas.TABLES["orders"]
+    names = StructType.fromDDL(schema).fieldNames()
+    fields = [F.concat(F.lit("  "), F.coalesce(F.col(n).cast("string"), F.lit("")), F.lit(" ")) for n in names]
+    cut = names.index("o_orderdate") + 1
+    line = F.when(F.col("o_orderkey") % short == 0, F.concat_ws(SEPARATOR, *fields[:cut])).otherwise(
+        F.concat(F.concat_ws(SEPARATOR, *fields), F.lit(SEPARATOR))
+    )
+    rows = in_layout(tables.orders, schema).select(F.explode(F.array(line, F.lit(""), F.lit("   "))).alias("value"))
+    rows.write.text(path)
+    scanned = read_delimited(tables.spark, path, schema)
+    return scanned.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
 def orders_by_date(tables: Tables) -> DataFrame:
     return sort_rows(tables.orders, ["o_orderdate"], tiebreak=["o_orderkey"])
 

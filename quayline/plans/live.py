@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from quayline.operators import boards
-from quayline.operators.ledger import dated_lines, ledger_entries
+from quayline.operators.ledger import ledger_entries, placed_orders
 from quayline.operators.orders import orders_of_segment, orders_with_totals
 from quayline.plans.fulfilment import AS_OF
 from quayline.plans.shipping_priority import SEGMENT, K
+from quayline.sources.ledger import stream_ledger_text, write_ledger_text
 from quayline.sources.tables import Tables
 from quayline.storage import fresh_dir
 from quayline.streaming import ledger as live
-from quayline.streaming.monitor import daily_segment_stream, start_daily_segment_counts
-from quayline.streaming.replay import replay
+from quayline.streaming.monitor import daily_order_stream, daily_segment_stream, start_daily_segment_counts
+from quayline.streaming.replay import ROWS_PER_PERIOD, replay
 from quayline.streaming.sources import stream_table
 from quayline.streaming.words import latest_counts, start_word_count
 
-# where a new period of arrivals begins; a large data set wants one per month or day
-CUTS = (dt.date(1997, 1, 1),)
+# the registered late feed: every so many-th order before this day arrives after all others
+LATE_KEYS = 50
+LATE_BEFORE = dt.date(1997, 1, 1)
+
+
+def _segment_ledger(tables: Tables, segment: str, until: dt.date, rounded: bool = False) -> DataFrame:
+    orders = orders_of_segment(tables.orders, tables.customer, segment)
+    entries = ledger_entries(orders, tables.lineitem, rounded)
+    return entries.where(F.col("event_date") <= F.lit(until))
 
 
 def leaderboard_of_ledger_stream(
@@ -29,20 +36,45 @@ def leaderboard_of_ledger_stream(
     segment: str = SEGMENT,
     until: dt.date = AS_OF,
     k: int = K,
-    cuts: Sequence[dt.date] = CUTS,
+    rows: int = ROWS_PER_PERIOD,
 ) -> DataFrame:
     """The board after the merged ledger has streamed in up to ``until``.  It stands at the
     last finished day, one day before the newest entry."""
     spark = tables.spark
     root = fresh_dir(spark, "ledger-stream")
-    entries = ledger_entries(orders_of_segment(tables.orders, tables.customer, segment), tables.lineitem)
-    feed = entries.where(F.col("event_date") <= F.lit(until))
 
     def start(streams: dict[str, DataFrame]):
         deltas = live.day_delta_stream(live.entry_stream(streams["ledger"]))
         return live.start_day_deltas(deltas, f"{root}/deltas", f"{root}/checkpoint")
 
-    replay(spark, {"ledger": (feed, "event_date")}, cuts, root, start)
+    replay(spark, {"ledger": (_segment_ledger(tables, segment, until), "event_date")}, root, start, rows)
+    return boards.board(live.finished_balances(live.read_deltas(spark, f"{root}/deltas")), k)
+
+
+def leaderboard_of_ledger_text(
+    tables: Tables,
+    segment: str = SEGMENT,
+    until: dt.date = AS_OF,
+    k: int = K,
+    rows: int = ROWS_PER_PERIOD,
+) -> DataFrame:
+    """The board after the ledger's exchange files (whole cents) have streamed in."""
+    spark = tables.spark
+    root = fresh_dir(spark, "ledger-text-stream")
+
+    def start(streams: dict[str, DataFrame]):
+        deltas = live.day_delta_stream(live.entry_stream(streams["ledger"]))
+        return live.start_day_deltas(deltas, f"{root}/deltas", f"{root}/checkpoint")
+
+    replay(
+        spark,
+        {"ledger": (_segment_ledger(tables, segment, until, rounded=True), "event_date")},
+        root,
+        start,
+        rows,
+        write=lambda new, path: write_ledger_text(new, path, mode="append"),
+        read=lambda spark, path, _: stream_ledger_text(spark, path),
+    )
     return boards.board(live.finished_balances(live.read_deltas(spark, f"{root}/deltas")), k)
 
 
@@ -51,19 +83,17 @@ def leaderboard_of_refreshes(
     segment: str = SEGMENT,
     until: dt.date = AS_OF,
     k: int = K,
-    cuts: Sequence[dt.date] = CUTS,
+    rows: int = ROWS_PER_PERIOD,
 ) -> DataFrame:
     """The last board a periodically refreshed leaderboard has published, with its day."""
     spark = tables.spark
     root = fresh_dir(spark, "board-refresh")
-    entries = ledger_entries(orders_of_segment(tables.orders, tables.customer, segment), tables.lineitem)
-    feed = entries.where(F.col("event_date") <= F.lit(until))
 
     def start(streams: dict[str, DataFrame]):
         deltas = live.day_delta_stream(live.entry_stream(streams["ledger"]))
         return live.start_board_refresh(deltas, f"{root}/out", f"{root}/checkpoint", k)
 
-    replay(spark, {"ledger": (feed, "event_date")}, cuts, root, start)
+    replay(spark, {"ledger": (_segment_ledger(tables, segment, until), "event_date")}, root, start, rows)
     published = spark.read.parquet(f"{root}/out/board").drop("batch")
     return published.where(F.col("as_of") == published.agg(F.max("as_of")).scalar())
 
@@ -74,20 +104,24 @@ def leaderboard_of_two_streams(
     until: dt.date = AS_OF,
     k: int = K,
     buckets: int = 8,
-    cuts: Sequence[dt.date] = CUTS,
+    rows: int = ROWS_PER_PERIOD,
 ) -> DataFrame:
     """The same board from separate order and line streams, merged per bucket of the key."""
     spark = tables.spark
     root = fresh_dir(spark, "two-streams")
-    orders = orders_of_segment(tables.orders, tables.customer, segment)
-    book = orders_with_totals(orders.select("o_orderkey"), dated_lines(tables.lineitem))
+    orders = placed_orders(orders_of_segment(tables.orders, tables.customer, segment))
+    book = orders_with_totals(orders.select("o_orderkey"), tables.lineitem)
     book.withColumnRenamed("o_orderkey", "order_key").write.parquet(f"{root}/order-book")
     order_book = spark.read.parquet(f"{root}/order-book")
 
     order_feed = orders.select("o_orderkey", "o_orderdate").where(F.col("o_orderdate") <= F.lit(until))
-    line_feed = tables.lineitem.select(
-        "l_orderkey", "l_extendedprice", "l_discount", "l_shipdate"
-    ).where(F.col("l_shipdate") <= F.lit(until))
+    # only the lines of the book's orders are staged and held in state
+    wanted = order_book.select(F.col("order_key").alias("l_orderkey"))
+    line_feed = (
+        tables.lineitem.select("l_orderkey", "l_extendedprice", "l_discount", "l_shipdate")
+        .where(F.col("l_shipdate") <= F.lit(until))
+        .join(wanted, "l_orderkey", "left_semi")
+    )
 
     def start(streams: dict[str, DataFrame]):
         entries = live.union_stream(streams["orders"], streams["lines"])
@@ -95,13 +129,13 @@ def leaderboard_of_two_streams(
         return live.start_day_deltas(deltas, f"{root}/deltas", f"{root}/checkpoint")
 
     feeds = {"orders": (order_feed, "o_orderdate"), "lines": (line_feed, "l_shipdate")}
-    replay(spark, feeds, cuts, root, start)
+    replay(spark, feeds, root, start, rows)
     balances = live.finished_balances(live.read_deltas(spark, f"{root}/deltas"))
     return boards.two_phase_board(balances, k, buckets)
 
 
-def daily_segment_orders_stream(tables: Tables, cuts: Sequence[dt.date] = CUTS) -> DataFrame:
-    """Order counts per segment of all finished days, i.e. all but the newest."""
+def daily_segment_orders_stream(tables: Tables, rows: int = ROWS_PER_PERIOD) -> DataFrame:
+    """Order counts per segment of all days: the feed is finite, so its end closes the newest."""
     spark = tables.spark
     root = fresh_dir(spark, "segment-stream")
     feed = tables.orders.select("o_orderkey", "o_custkey", "o_orderdate")
@@ -110,14 +144,37 @@ def daily_segment_orders_stream(tables: Tables, cuts: Sequence[dt.date] = CUTS)
         counts = daily_segment_stream(streams["orders"], tables.customer)
         return start_daily_segment_counts(counts, f"{root}/counts", f"{root}/checkpoint")
 
-    replay(spark, {"orders": (feed, "o_orderdate")}, cuts, root, start)
+    replay(spark, {"orders": (feed, "o_orderdate")}, root, start, rows, close=True)
     return spark.read.parquet(f"{root}/counts")
 
 
-def word_count_stream(tables: Tables) -> DataFrame:
-    """Word counts of the documents after the stream has read them all."""
+def late_orders_stream(
+    tables: Tables,
+    keys: int = LATE_KEYS,
+    before: dt.date = LATE_BEFORE,
+    rows: int = ROWS_PER_PERIOD,
+) -> DataFrame:
+    """Orders per day when every ``keys``-th order from before ``before`` arrives after all
+    others: the watermark has passed their days, so they are dropped.  ``late_dropped`` says
+    that the stream has reported so."""
+    spark = tables.spark
+    root = fresh_dir(spark, "late-stream")
+    feed = tables.orders.select("o_orderkey", "o_orderdate")
+    is_late = (F.col("o_orderkey") % keys == 0) & (F.col("o_orderdate") < F.lit(before))
+
+    def start(streams: dict[str, DataFrame]):
+        counts = daily_order_stream(streams["orders"])
+        return start_daily_segment_counts(counts, f"{root}/counts", f"{root}/checkpoint")
+
+    replay(spark, {"orders": (feed.where(~is_late), "o_orderdate")}, root, start, rows, close=True)
+    dropped = replay(spark, {"orders": (feed.where(is_late), "o_orderdate")}, root, start, rows, late=True)
+    return spark.read.parquet(f"{root}/counts").withColumn("late_dropped", F.lit(dropped > 0))
+
+
+def word_count_stream(tables: Tables, max_files: int = 100) -> DataFrame:
+    """Word counts of the documents after the stream has read them all, some files at a time."""
     spark = tables.spark
     root = fresh_dir(spark, "word-stream")
-    lines = stream_table(spark, f"{tables.path}/documents.parquet").select("text")
+    lines = stream_table(spark, f"{tables.path}/documents.parquet", max_files=max_files).select("text")
     start_word_count(lines, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
     return latest_counts(spark, f"{root}/counts")

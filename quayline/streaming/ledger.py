@@ -14,6 +14,8 @@ from quayline.functions.dates import event_time_to_day
 from quayline.functions.money import EXACT, line_revenue
 from quayline.operators import boards
 from quayline.operators.balances import is_open
+from quayline.storage import folders, remove
+from quayline.streaming.folding import Folds
 from quayline.streaming.sources import EVENT_TIME, with_event_time
 
 DELTAS = "order_key BIGINT, order_date DATE, event_date DATE, amount DECIMAL(38,4)"
@@ -102,7 +104,9 @@ def opening_balances(deltas: DataFrame, opening: DataFrame | None = None) -> Dat
     """Deltas folded into one row per order that can still matter, to stand in for them.
 
     Orders that are placed and have shipped everything drop out, so the rows are the open
-    orders (and those with lines shipped ahead of the order), not the history.
+    orders (and those with lines shipped ahead of the order), not the history.  An entry that
+    comes after its order was closed (a credit, a rounding) therefore makes a row without an
+    order date, which no board shows; it stays until an order entry with its key arrives.
     """
     return (
         finished_balances(deltas, opening)
@@ -112,33 +116,36 @@ def opening_balances(deltas: DataFrame, opening: DataFrame | None = None) -> Dat
 
 
 def start_board_refresh(
-    deltas: DataFrame, path: str, checkpoint: str, k: int = 10, **trigger
+    deltas: DataFrame, path: str, checkpoint: str, k: int = 10, every: int = 20, **trigger
 ) -> StreamingQuery:
     """The live leaderboard: with every micro-batch the board as of the last finished day.
 
-    Below ``path``, ``opening/batch=n`` holds the opening balances after batch n and
-    ``board/batch=n`` its board.  Batch n reads only batch n-1 and its own deltas, and rewrites
-    its own two folders, so a repeated batch leaves the same result and the work per refresh
-    grows with the open orders rather than the history.  A batch that finishes no day brings
-    no new board.  Pass ``processingTime="5 seconds"`` for a periodic refresh.
+    Below ``path``, ``opening`` holds the opening balances of every ``every``-th batch and the
+    deltas since, ``board/batch=n`` the board after batch n, of which the newest two are kept.
+    A refresh therefore reads the open orders and a few batches rather than the history and
+    writes its own deltas only, except for the batch that folds them.  A repeated batch
+    rewrites its own folders.  A batch that finishes no day brings no new board.  Pass
+    ``processingTime="5 seconds"`` for a periodic refresh.
     """
+    opening = Folds(f"{path}/opening", OPENING, every)
 
     def refresh(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        opening = None
-        if number > 0:
-            opening = spark.read.schema(OPENING).parquet(f"{path}/opening/batch={number - 1}")
         batch.persist()
-        as_of = batch.agg(F.max("event_date")).first()[0]
-        here = f"{path}/opening/batch={number}"
-        opening_balances(batch, opening).write.mode("overwrite").parquet(here)
-        batch.unpersist()
-        if as_of is not None:
-            placed = spark.read.schema(OPENING).parquet(here).where(F.col("order_date").isNotNull())
-            top = boards.board(placed.withColumnRenamed("amount", "balance"), k)
-            top.withColumn("as_of", F.lit(as_of)).write.mode("overwrite").parquet(
-                f"{path}/board/batch={number}"
-            )
+        try:
+            as_of = batch.agg(F.max("event_date")).first()[0]
+            opening.add(batch.select("order_key", "order_date", "amount"), number, opening_balances)
+        finally:
+            batch.unpersist()
+        if as_of is None:
+            return
+        rows = opening.before(spark, number + 1)
+        placed = opening_balances(rows).where(F.col("order_date").isNotNull())
+        top = boards.board(placed.withColumnRenamed("amount", "balance"), k)
+        top.withColumn("as_of", F.lit(as_of)).write.mode("overwrite").parquet(f"{path}/board/batch={number}")
+        older = sorted(int(name.partition("=")[2]) for name in folders(spark, f"{path}/board"))
+        for batch_number in [n for n in older if n < number][:-1]:
+            remove(spark, f"{path}/board/batch={batch_number}")
 
     return (
         deltas.writeStream.outputMode("append")

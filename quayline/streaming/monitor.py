@@ -30,6 +30,16 @@ def daily_segment_stream(orders: DataFrame, customer: DataFrame, delay: str = "0
     )
 
 
+def daily_order_stream(orders: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """New orders per one-day window, emitted when the day is final."""
+    return (
+        with_event_time(orders, "o_orderdate", delay)
+        .groupBy(F.window(EVENT_TIME, "1 day").alias("day"))
+        .agg(F.count("*").alias("order_count"))
+        .select(event_time_to_day("day.start").alias("o_orderdate"), "order_count")
+    )
+
+
 def start_daily_segment_counts(
     counts: DataFrame, path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:

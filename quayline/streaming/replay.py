@@ -1,44 +1,113 @@
-"""Stored tables as date-ordered arrivals for a stream."""
+"""Backfill: stored tables run through a stream as date-ordered arrivals."""
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quayline.storage import remove
 from quayline.streaming.sources import stream_table
 
+# months are put together to periods of at least so many rows
+ROWS_PER_PERIOD = 200_000
+# the end marker lies so far behind the last day that every earlier window has closed
+MARKER_DAYS = 2
+
+Write = Callable[[DataFrame, str], None]
+Read = Callable[[SparkSession, str, DataFrame], DataFrame]
+
+
+def _write_parquet(rows: DataFrame, path: str) -> None:
+    rows.write.mode("append").parquet(path)
+
+
+def _read_parquet(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return stream_table(spark, path, like.schema)
+
+
+def periods(feeds: dict[str, tuple[DataFrame, str]], rows: int = ROWS_PER_PERIOD) -> list[dt.date]:
+    """First months of the periods: as few months each as hold ``rows`` rows of all feeds.
+
+    One row per month comes to the driver, which the calendar bounds."""
+    months = [t.select(F.trunc(day, "month").alias("month")) for t, day in feeds.values()]
+    counts = reduce(DataFrame.unionByName, months).where("month IS NOT NULL").groupBy("month").count()
+    starts, held = [], rows
+    for month, count in sorted((r["month"], r["count"]) for r in counts.collect()):
+        if held >= rows:
+            starts.append(month)
+            held = 0
+        held += count
+    return starts
+
 
 def replay(
     spark: SparkSession,
     feeds: dict[str, tuple[DataFrame, str]],
-    cuts: Sequence[dt.date],
     root: str,
     start: Callable[[dict[str, DataFrame]], StreamingQuery],
-) -> None:
-    """Runs a stream over the feeds (name -> table and its date column), one period at a time.
-
-    A new period begins at each date of ``cuts``.  The tables are written once, partitioned by
-    period.  Then each period is appended to its feed's folder and the stream runs over what
-    is new and stops, carrying on from its checkpoint.  The files of a period may come in any
-    order since they share a micro-batch, and the state holds one period and the open days:
-    cut finer for more data.  A stream fed day by day runs the same way.
+    rows: int = ROWS_PER_PERIOD,
+    close: bool = False,
+    late: bool = False,
+    write: Write = _write_parquet,
+    read: Read = _read_parquet,
+) -> int:
+    """Runs a stream over the feeds (name -> table and its date column), one period at a time,
+    and returns how many rows the stream has dropped as late.
+
+    The periods are whole months of the data with about ``rows`` rows.  Each feed is dealt out
+    by period and written once; then each period is appended to its feed's arrivals and the stream
+    runs over what is new and stops, carrying on from its checkpoint.  The files of a
+    period may come in any order since they share a micro-batch, and the state holds one period
+    and the open days.  A stream fed day by day runs the same way.
+
+    ``close`` ends the feeds: a marker row behind the last day, zeros beside its date, moves the
+    watermark so that the newest day's windows close; its own window never does.
+    Dropped rows fail the run unless ``late`` expects them.  Staged and arrived rows are
+    removed at the end.
     """
+    starts = periods(feeds, rows)
     staged = {}
     for name, (table, day) in feeds.items():
         staged[name] = f"{root}/staged/{name}"
-        period = sum((F.when(F.col(day) >= F.lit(cut), 1).otherwise(0) for cut in cuts), F.lit(0))
-        rows = table.where(F.col(day).isNotNull()).withColumn("period", period)
-        rows.write.partitionBy("period").parquet(staged[name])
-
-    for period in range(len(cuts) + 1):
-        streams = {}
-        for name, (table, _) in feeds.items():
-            arrivals = f"{root}/arrivals/{name}"
-            stored = spark.read.schema(table.withColumn("period", F.lit(0)).schema).parquet(staged[name])
-            new = stored.where(F.col("period") == period).drop("period")
-            new.write.mode("append").parquet(arrivals)
-            streams[name] = stream_table(spark, arrivals, table.schema)
-        start(streams).awaitTermination()
+        first_days = F.lit(starts).cast("array<date>")
+        dealt = table.where(F.col(day).isNotNull()).withColumn(
+            "period", F.size(F.filter(first_days, lambda first: first <= F.col(day)))
+        )
+        # by range, so that a period is written by as many tasks as its rows ask for
+        dealt.repartitionByRange("period", F.xxhash64(*table.columns)).write.partitionBy("period").parquet(staged[name])
+
+    dropped = 0
+
+    def run() -> int:
+        query = start({n: read(spark, f"{root}/arrivals/{n}", t) for n, (t, _) in feeds.items()})
+        query.awaitTermination()
+        return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+
+    def arrive(name: str, new: DataFrame) -> None:
+        write(new.select(*feeds[name][0].columns), f"{root}/arrivals/{name}")
+
+    try:
+        for period in range(1, len(starts) + 1):
+            for name, (table, _) in feeds.items():
+                stored = spark.read.schema(table.withColumn("period", F.lit(0)).schema).parquet(staged[name])
+                arrive(name, stored.where(F.col("period") == period))
+            dropped += run()
+        if close and starts:
+            days = [t.agg(F.max(day)).first()[0] for t, day in feeds.values()]
+            end = max(d for d in days if d) + dt.timedelta(days=MARKER_DAYS)
+            for name, (table, day) in feeds.items():
+                # no nulls: a filter that a join implies would take the row before the watermark
+                marker = [F.lit("0").cast(f.dataType).alias(f.name) for f in table.drop(day).schema]
+                row = spark.range(1).select(*marker, F.lit(end).alias(day))
+                arrive(name, row)
+            dropped += run()
+    finally:
+        for part in ("staged", "arrivals"):
+            remove(spark, f"{root}/{part}")
+    if dropped and not late:
+        raise RuntimeError(f"the stream dropped {dropped} rows that came later than its watermark")
+    return dropped

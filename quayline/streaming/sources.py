@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quayline.functions.dates import day_to_event_time
 from quayline.sources.tables import days_as_dates
+from quayline.storage import is_folder
 
 EVENT_TIME = "event_ts"
 
@@ -15,12 +16,14 @@ def stream_table(
 ) -> DataFrame:
     """A table (one Parquet file or a folder of them) as a stream, timestamps as dates.  The
     schema is taken from the files already there unless given."""
-    schema = schema or spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+    if not is_folder(spark, path):
+        # as a plain path the source takes folders only: a pattern that matches the one file
+        folder, _, name = path.rpartition("/")
+        path = "/".join([folder, "".join(f"[{c}]" if c.isalnum() else f"\\{c}" for c in name)])
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    # as a plain path the source takes folders only; a pattern may match either
-    return days_as_dates(reader.parquet(f"{path[:-1]}[{path[-1]}]"))
+    return days_as_dates(reader.parquet(path))
 
 
 def with_event_time(stream: DataFrame, day: str, delay: str = "0 seconds") -> DataFrame:

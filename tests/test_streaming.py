@@ -3,6 +3,7 @@ import time
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from quayline.operators import balances, boards, ledger
 from quayline.operators.orders import daily_segment_orders, orders_of_segment, orders_with_totals
@@ -13,7 +14,8 @@ from quayline.sources.ledger import write_ledger_text
 from quayline.sources.text import read_lines, stream_lines
 from quayline.streaming import ledger as live
 from quayline.streaming.monitor import daily_segment_stream, start_daily_segment_counts
-from quayline.streaming.replay import replay
+from quayline.streaming.folding import Folds
+from quayline.streaming.replay import periods, replay
 from quayline.streaming.sources import stream_table
 from quayline.streaming.words import latest_counts, start_word_count
 from tests.conftest import day, random_frames
@@ -136,8 +138,16 @@ def test_two_streams_and_replay(spark, sample, tmp_path):
         queries.append(live.start_day_deltas(deltas, str(tmp_path / "deltas"), str(tmp_path / "cp")))
         return queries[-1]
 
-    replay(spark, feeds, [day("1995-02-01"), day("1995-03-01")], str(tmp_path), start)
+    assert periods(feeds, 1) == [day("1995-01-01"), day("1995-02-01"), day("1995-03-01")]
+    assert replay(spark, feeds, str(tmp_path), start, rows=1) == 0
     assert len(queries) == 3 and sum(dropped(q) for q in queries) == 0
+    # what was staged is gone, the results stay
+    assert not (tmp_path / "staged").exists() and not (tmp_path / "arrivals").exists()
+    # the state holds a month of order days, not the history
+    rows = max(s.numRowsTotal for q in queries for p in q.recentProgress for s in p.stateOperators)
+    days = feeds["orders"][0].selectExpr("o_orderkey AS k", "o_orderdate AS d").union(feeds["lines"][0].selectExpr("l_orderkey", "l_shipdate"))
+    monthly = days.distinct().groupBy(F.trunc("d", "month")).count().agg({"count": "max"}).first()[0]
+    assert rows <= monthly + days.select("k").distinct().count()
     deltas = live.read_deltas(spark, str(tmp_path / "deltas"))
     # the slower of the two streams decides which days are finished
     newest = min(
@@ -156,16 +166,77 @@ def test_board_refresh(spark, sample, tmp_path):
     run(live.start_board_refresh(live.day_delta_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"), k=5))
     shown = spark.read.parquet(str(tmp_path / "out" / "board"))
     days = sorted(r.as_of for r in shown.select("as_of").distinct().collect())
-    assert len(days) >= 8
+    assert len(days) == 2  # the newest two boards are kept
     for as_of in days:
         want = boards.board(balances.balances_asof(entries, as_of), 5)
         assert board_of(shown.where(shown.as_of == as_of)) == board_of(want)
-    # what is carried along is the open orders
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "opening").iterdir())
-    carried = spark.read.parquet(str(tmp_path / "out" / "opening" / f"batch={last}"))
+
+
+def test_board_refresh_keeps_few_folders_and_open_orders(spark, sample, tmp_path):
+    entries = ledger.ledger_entries(building(sample), sample.lineitem)
+    feed_in_files(entries, "event_date", str(tmp_path / "in"))
+    stream = live.entry_stream(stream_table(spark, str(tmp_path / "in"), max_files=1))
+    deltas = live.day_delta_stream(stream)
+    run(live.start_board_refresh(deltas, str(tmp_path / "out"), str(tmp_path / "cp"), k=5, every=3))
+    kept = {kind: sorted(p.name for p in (tmp_path / "out" / "opening" / kind).iterdir()) for kind in ("base", "recent")}
+    assert len(kept["base"]) <= 2 and len(kept["recent"]) <= 6
+    shown = spark.read.parquet(str(tmp_path / "out" / "board"))
+    as_of = shown.agg({"as_of": "max"}).first()[0]
+    want = boards.board(balances.balances_asof(entries, as_of), 5)
+    assert board_of(shown.where(shown.as_of == as_of)) == board_of(want)
+    carried = spark.read.parquet(str(tmp_path / "out" / "opening" / "base" / kept["base"][-1]))
     assert carried.where("order_date IS NOT NULL AND amount <= 0.01").count() == 0
 
 
+def test_folds_over_many_batches(spark, tmp_path):
+    folds = Folds(str(tmp_path / "f"), "word STRING, n BIGINT", every=4)
+
+    def add(number):
+        rows = spark.createDataFrame([("a", number), (f"w{number}", 1)], "word STRING, n BIGINT")
+        folds.add(rows, number, lambda all_rows: all_rows.groupBy("word").agg(F.max("n").alias("n")))
+
+    for number in range(14):
+        add(number)
+        if number % 5 == 0:
+            add(number)  # a repeated batch changes nothing
+        assert sum(1 for kind in (tmp_path / "f").iterdir() for _ in kind.iterdir()) <= 2 + 2 * 4
+    found = {r.word: r.n for r in folds.rows(spark).groupBy("word").agg(F.max("n").alias("n")).collect()}
+    assert found == {"a": 13, **{f"w{n}": 1 for n in range(14)}}
+
+
+def test_late_rows_fail_a_replay(spark, sample, tmp_path):
+    orders = sample.orders.select("o_orderkey", "o_custkey", "o_orderdate")
+    late = orders.where("o_orderdate < DATE'1995-01-20'")
+
+    def start(streams):
+        counts = daily_segment_stream(streams["orders"], sample.customer)
+        return start_daily_segment_counts(counts, str(tmp_path / "out"), str(tmp_path / "cp"))
+
+    assert replay(spark, {"orders": (orders, "o_orderdate")}, str(tmp_path), start, close=True) == 0
+    found, want = spark.read.parquet(str(tmp_path / "out")), daily_segment_orders(orders, sample.customer)
+    # the end of the feed closes its newest day
+    assert found.exceptAll(want).count() == 0 and want.exceptAll(found).count() == 0
+    with pytest.raises(RuntimeError, match="later than its watermark"):
+        replay(spark, {"orders": (late, "o_orderdate")}, str(tmp_path), start)
+    assert replay(spark, {"orders": (late, "o_orderdate")}, str(tmp_path), start, late=True) > 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == want.count()
+
+
+def test_stream_paths(spark, sample, tmp_path):
+    rows = sample.orders.coalesce(1)
+    rows.write.parquet(str(tmp_path / "a{b}*c" / "in"))
+    file = next((tmp_path / "a{b}*c" / "in").glob("*.parquet"))
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    odd = plain / "odd[1].parquet"
+    odd.write_bytes(file.read_bytes())
+    for path in (str(plain) + "/", str(plain), str(odd)):
+        stream = stream_table(spark, path)
+        query = stream.writeStream.format("memory").queryName("paths").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table("paths").count() == sample.orders.count()
+
+
 def test_opening_balances_replace_closed_days(spark, sample):
     deltas = ledger.day_deltas(building(sample), sample.lineitem)
     cut, as_of = day("1995-02-10"), day("1995-03-20")
@@ -203,7 +274,7 @@ def test_word_count_over_files(spark, tmp_path):
     found = {r.word: r.n for r in latest_counts(spark, str(tmp_path / "out")).collect()}
     assert found == {r.word: r.n for r in word_count(read_lines(spark, str(tmp_path / "in"))).collect()}
     # the first micro-batch had published the counts of the first file only
-    first = {r.word: r.n for r in spark.read.parquet(str(tmp_path / "out" / "batch=0")).collect()}
+    first = {r.word: r.n for r in spark.read.parquet(str(tmp_path / "out" / "base" / "batch=0")).collect()}
     assert first == {"one": 1, "two": 2, "three": 1}
 
 
