@@ -10,8 +10,22 @@ import argparse
 from pyspark.sql import SparkSession
 
 from quayline.plans.catalogue import PLANS
-from quayline.session import BASE_CONF
+from quayline.session import BASE_CONF, cluster_conf
+from quayline.sources import schemas
 from quayline.sources.tables import Tables
+from quayline.storage import stored_bytes
+
+
+def input_bytes(spark: SparkSession, data: str, suffix: str) -> int:
+    """Bytes of all tables a report may read."""
+    return sum(stored_bytes(spark, f"{data}/{name}.{suffix}") for name in [*schemas.TABLES, "documents"])
+
+
+def sized_for(spark: SparkSession, data: str, table_format: str) -> None:
+    """Shuffles, splits and the state store by the size of the input."""
+    suffix = "parquet" if table_format == "parquet" else "csv"
+    for key, value in cluster_conf(input_bytes(spark, data, suffix)).items():
+        spark.conf.set(key, value)
 
 
 def main() -> None:
@@ -27,6 +41,7 @@ def main() -> None:
     for key, value in BASE_CONF.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
+    sized_for(spark, args.data, args.format)
     PLANS[args.report](Tables(spark, args.data, args.format)).show(args.rows, truncate=False)
     spark.stop()
 

@@ -66,6 +66,29 @@ def test_skewed_join_is_split(spark, hot):
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
+def test_hot_order_is_split_in_the_ledger(spark, hot):
+    """The join of the raw lines with their orders, forced through shuffles."""
+    expected = sorted(hot.entries())
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "200",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        entries = ledger.ledger_entries(hot.orders, hot.lineitem.repartition(8))
+        assert sorted((r.order_key, r.event_date, r.amount, r.is_order) for r in entries.collect()) == expected
+        assert "skew=true" in entries._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_totals_are_summed_before_the_shuffle(hot):
     plan = order_totals(hot.lineitem)._jdf.queryExecution().executedPlan().toString()
     exchange = plan.index("Exchange hashpartitioning(l_orderkey")
