@@ -1,5 +1,258 @@
-"""The package's queries as plain SQL, where SQL can express them."""
+"""The package's queries as plain SQL, where SQL can express them.
+
+Not here: packing and byte-level BPE (tokenizers), SimHash, shards and sketches (XXH64, CRC-32) and
+the classifier; those are tested against brute force.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from quayline.llm import warc
+from quayline.llm.license_rules import ANCHORS, CONFIDENCE, RULES
+from quayline.llm.line_quality import LIMITS
+from quayline.llm.secret_scan import ALLOWED, ASSIGN, CANDIDATE, CLASSES, KINDS, SHORTEST, WINDOW
+
+WORD = r"[^\x20\x09-\x0D]+"
+A_TO_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+LINE_QUALITY = f"""
+    WITH doc AS (
+        SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS text FROM documents
+    ),
+    split AS (SELECT row, regexp_extract_all(text, '{WORD}') AS words FROM doc),
+    word AS (SELECT row, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM split),
+    windows AS (
+        SELECT row, pos, word, lead(word) OVER near AS second, lead(word, 2) OVER near AS third
+        FROM word WINDOW near AS (PARTITION BY row ORDER BY pos)
+    ),
+    repeated AS (
+        SELECT row, unnest(list(pos)) AS pos FROM windows WHERE third IS NOT NULL
+        GROUP BY row, word, second, third HAVING count(*) >= 2
+    ),
+    inside AS (
+        SELECT row, count(DISTINCT pos + step) AS n FROM repeated, (SELECT unnest([0, 1, 2]) AS step) GROUP BY row
+    ),
+    line AS (
+        SELECT row, source, text, line, len(regexp_extract_all(line, '{WORD}')) AS words,
+               trim(regexp_replace(regexp_replace(translate(line, {A_TO_Z}), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS norm
+        FROM (SELECT row, source, text, unnest(string_split(text, chr(10))) AS line FROM doc)
+        WHERE regexp_matches(line, '{WORD}')
+    ),
+    repeats AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM line GROUP BY row),
+    host AS (SELECT source, count(DISTINCT text) AS texts FROM doc GROUP BY source),
+    above AS (
+        SELECT line.source, norm FROM line JOIN host ON host.source IS NOT DISTINCT FROM line.source
+        GROUP BY line.source, norm, host.texts
+        HAVING count(DISTINCT text) >= {LIMITS.texts} AND count(DISTINCT text) > {LIMITS.share} * host.texts
+    ),
+    gone AS (
+        SELECT row, sum(words) AS n FROM line JOIN above ON above.norm = line.norm AND above.source IS NOT DISTINCT FROM line.source
+        GROUP BY row
+    ),
+    counted AS (
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+               CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+               CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+               CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(inside.n, 0) AS BIGINT) AS n_repeat_words,
+               coalesce(gone.n, 0) AS gone
+        FROM doc JOIN split USING (row) LEFT JOIN repeats USING (row) LEFT JOIN inside USING (row) LEFT JOIN gone USING (row)
+    ),
+    failed AS (
+        SELECT *, n_words < {LIMITS.words} OR n_repeat_words > {LIMITS.repeated} * n_words AS base_failed FROM counted
+    )
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND n_words - gone >= {LIMITS.remaining} * n_words AS kept
+    FROM failed
+"""
+
+
+def spans_sql(kind: str, pattern: str, value: int = 0) -> str:
+    """row, start, end and the matched value of each match: running lengths of gaps and matches."""
+    return f"""
+        SELECT row, {KINDS.index(kind)} AS kind, value, found, stop - length(found) AS start, stop AS "end"
+        FROM (
+            SELECT row, found, value, sum(length(gap) + length(found)) OVER (PARTITION BY row ORDER BY i) AS stop
+            FROM (
+                SELECT row, unnest(regexp_extract_all(text, {quoted(pattern)}, 0)) AS found,
+                       unnest(regexp_extract_all(text, {quoted(pattern)}, {value})) AS value,
+                       unnest(string_split_regex(text, {quoted(pattern)})[:-2]) AS gap,
+                       generate_subscripts(regexp_extract_all(text, {quoted(pattern)}, 0), 1) AS i
+                FROM doc WHERE regexp_matches(text, {quoted(pattern)})
+            )
+        )
+    """
+
+
+def _class_of(column: str) -> str:
+    tests = []
+    for kind in CLASSES:
+        letters = kind.alphabet.replace("-", "") + ("-" if "-" in kind.alphabet else "")
+        tests.append(f"WHEN regexp_full_match({column}, '[{letters}]+') THEN {kind.bits}")
+    return f"CASE {' '.join(tests)} END"
+
+
+SECRETS = f"""
+    WITH doc AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    base AS (
+        SELECT * FROM ({spans_sql('assign', ASSIGN, 2)}) WHERE length(value) >= {SHORTEST['assign']}
+        UNION ALL SELECT * FROM ({spans_sql('access', 'AKIA[A-Z0-9]+')}) WHERE length(value) >= {SHORTEST['access']}
+        UNION ALL SELECT * FROM ({spans_sql('hex', '[0-9a-f]{%d,}' % SHORTEST['hex'])})
+    ),
+    candidate AS ({spans_sql('entropy', CANDIDATE)}),
+    possible AS (
+        SELECT DISTINCT value, {_class_of('value')} AS bits FROM candidate
+        WHERE NOT regexp_full_match(value, {quoted('|'.join(f'({rule})' for rule in ALLOWED))})
+    ),
+    part AS (
+        SELECT value, bits, first, unnest(string_split(substr(value, first, {WINDOW}), '')) AS character
+        FROM (SELECT value, bits, unnest(generate_series(1, length(value) - {WINDOW} + 1)) AS first FROM possible)
+    ),
+    entropies AS (
+        SELECT value, bits, first, -sum(n / {WINDOW}.0 * log2(n / {WINDOW}.0)) AS entropy
+        FROM (SELECT value, bits, first, character, count(*) AS n FROM part GROUP BY ALL) GROUP BY ALL
+    ),
+    random AS (SELECT DISTINCT value FROM entropies WHERE entropy >= bits - 1e-9),
+    added AS (
+        SELECT candidate.* FROM candidate JOIN random USING (value)
+        WHERE NOT EXISTS (
+            SELECT 1 FROM base WHERE base.row = candidate.row AND base.start < candidate."end" AND candidate.start < base."end"
+        )
+    ),
+    named AS (
+        SELECT *, ['{"', '".join(KINDS)}'][kind + 1] || ':' || CAST(start AS BIGINT) || ':' || CAST("end" AS BIGINT) AS name
+        FROM (SELECT * FROM base UNION ALL SELECT * FROM added)
+    ),
+    listed AS (
+        SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+               string_agg(name, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind) AS spans
+        FROM named GROUP BY row
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM doc LEFT JOIN listed USING (row)
+"""
+
+_LICENCE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_RULE_ROWS = ", ".join(
+    f"({i}, {r.priority}, {quoted(r.label)}, {quoted(r.keyword)}, {quoted(rf'\b({r.pattern})\b')})" for i, r in enumerate(RULES)
+)
+
+
+def phrase_sql(label: str, phrase: str) -> str:
+    words = phrase.split(" ")
+    same = " AND ".join(f"words[i + {j}] = '{w}'" for j, w in enumerate(words))
+    return f"""
+        SELECT row, i - 1 AS start, '{label}' AS label
+        FROM (SELECT row, words, unnest(generate_series(1, len(words) - {len(words) - 1})) AS i FROM split WHERE contains(line, ' {phrase} '))
+        WHERE {same}
+    """
+
+
+LICENSES = f"""
+    WITH doc AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+    split AS (
+        SELECT row, words, ' ' || array_to_string(words, ' ') || ' ' AS line
+        FROM (SELECT row, regexp_extract_all(translate(text, {A_TO_Z}), '{_LICENCE_WORD}') AS words FROM doc)
+    ),
+    place AS ({' UNION ALL '.join(phrase_sql(*p) for p in [('mit', 'mit license'), ('apache', 'apache license'), ('gpl', 'general public license')])}),
+    base AS (
+        SELECT row, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS names FROM place GROUP BY row
+    ),
+    rule(rule, priority, label, keyword, pattern) AS (VALUES {_RULE_ROWS}),
+    -- rules are ASCII, so that other letters may be any letter
+    gated AS (
+        SELECT row, line, regexp_replace(line, '[^\\x00-\\x7F]', 'x', 'g') AS plain FROM split
+        WHERE {' OR '.join(f"contains(line, '{anchor}')" for anchor in ANCHORS)}
+    ),
+    tried AS (
+        SELECT row, rule, priority, label, regexp_extract_all(plain, pattern, 0) AS found, string_split_regex(plain, pattern) AS gaps
+        FROM gated JOIN rule ON contains(line, keyword) WHERE regexp_matches(plain, pattern)
+    ),
+    match AS (
+        SELECT row, rule, priority, label, sum(gap_spaces + own_spaces) OVER (PARTITION BY row, rule ORDER BY i) - own_spaces - 1 AS start, own_spaces
+        FROM (
+            SELECT *, length(gap) - length(replace(gap, ' ', '')) AS gap_spaces, length(own) - length(replace(own, ' ', '')) AS own_spaces
+            FROM (
+                SELECT row, rule, priority, label, unnest(found) AS own, unnest(gaps[:-2]) AS gap, generate_subscripts(found, 1) AS i FROM tried
+            )
+        )
+    ),
+    detection AS (SELECT *, start + own_spaces + 1 AS "end" FROM match),
+    standing AS (
+        SELECT d.* FROM detection d WHERE NOT EXISTS (
+            SELECT 1 FROM detection e
+            WHERE e.row = d.row AND ((e.start <= d.start AND d."end" <= e."end") OR (d.start <= e.start AND e."end" <= d."end"))
+              AND (e.priority < d.priority OR (e.priority = d.priority
+                   AND (e.own_spaces > d.own_spaces OR (e.own_spaces = d.own_spaces AND e.rule < d.rule))))
+        )
+    ),
+    found AS (
+        SELECT row, list(DISTINCT label) AS names, max(CASE priority {' '.join(f'WHEN {p} THEN {c}' for p, c in CONFIDENCE.items())} END) AS surest
+        FROM standing GROUP BY row
+    )
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+           CAST(last_word AS BIGINT) AS last_word,
+           array_to_string(list_sort(coalesce(base.names, [])), ',') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_concat(coalesce(base.names, []), coalesce(found.names, [])))), ',') AS labels,
+           CAST(greatest(CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END, coalesce(surest, 0)) AS DOUBLE) AS score
+    FROM doc JOIN split USING (row) LEFT JOIN base USING (row) LEFT JOIN found USING (row)
+"""
+
+_CRLF = "chr(13) || chr(10)"
+
+
+def record_id_sql(*parts: str) -> str:
+    name = "md5(" + " || chr(10) || ".join(parts) + ")"
+    return f"""'urn:uuid:' || substr({name}, 1, 8) || '-' || substr({name}, 9, 4) || '-3' || substr({name}, 14, 3) || '-a' ||
+               substr({name}, 18, 3) || '-' || substr({name}, 21, 12)"""
+
+
+def resolved_sql(text: str) -> str:
+    for reference, character in warc.REFERENCES:
+        text = f"replace({text}, {quoted(reference)}, {quoted(character)})"
+    return text
+
+
+def replaced_sql(text: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({text}, {quoted(pattern)}, {by}, 'g')"
+
+
+_SPACES = "[\\t\\r\\n\\f ]+"
+_TEXT = replaced_sql(replaced_sql(replaced_sql("payload", warc.HIDDEN_PATTERN, "' '"), _SPACES, "' '"), warc.BLOCK_PATTERN, "chr(10)")
+_TEXT = replaced_sql(replaced_sql(resolved_sql(replaced_sql(_TEXT, warc.TAG_PATTERN, "''")), " +", "' '"), " ?\\n[ \\n]*", "chr(10)")
+_TITLE = replaced_sql(resolved_sql(f"regexp_extract(payload, {quoted(warc.TITLE_PATTERN)}, 1)"), _SPACES, "' '")
+
+WARC = f"""
+    WITH page AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS payload FROM pages),
+    source AS (
+        SELECT *, 'sha256:' || sha256(payload) AS digest,
+               'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(payload) AS headers
+        FROM page
+    ),
+    response AS (
+        SELECT *, {record_id_sql("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", 'uri', quoted(warc.UNDATED), 'digest')} AS id FROM source
+    ),
+    block AS (
+        SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+               'title: ' || trim({_TITLE}) || {_CRLF} || 'links: ' || len(regexp_extract_all(payload, {quoted(warc.LINK_PATTERN)})) || {_CRLF} ||
+               'source-payload-digest: ' || digest || {_CRLF} || 'source-http: ' || replace(headers, {_CRLF}, {_CRLF} || 'source-http: ') || {_CRLF} AS block
+        FROM response
+        UNION ALL
+        SELECT *, 'conversion', 'text/plain; charset=utf-8', trim({_TEXT}, ' ' || chr(10)) FROM response
+    )
+    SELECT page_id, warc_type, {record_id_sql('warc_type', 'id')} AS record_id, id AS refers_to, uri AS refers_to_target_uri,
+           {quoted(warc.UNDATED)} AS refers_to_date, content_type, CAST(strlen(block) AS BIGINT) AS content_length,
+           'sha256:' || sha256(block) AS block_digest, digest AS source_payload_digest, headers AS source_headers, block
+    FROM block
+"""
+
+SQL: dict[str, str] = {
+    "op4_line_quality": LINE_QUALITY,
+    "op5_secret_scan": SECRETS,
+    "op6_license_scan": LICENSES,
+    "op10_warc_derivatives": WARC,
+}
