@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from quayline.operators import balances, boards, ledger
 from quayline.operators.orders import orders_of_segment
@@ -72,5 +72,8 @@ def leaderboard_bounded(
 
 
 def leaderboard_history(tables: Tables, segment: str = SEGMENT, k: int = K) -> DataFrame:
-    """The boards of all month starts."""
-    return boards.monthly_boards(balance_history(tables, segment), until=None, k=k)
+    """The boards of all month starts up to the last day of any order or shipment; orders with
+    lines that have no ship date stay open until then."""
+    days = (tables.orders.agg(F.max("o_orderdate")), tables.lineitem.agg(F.max("l_shipdate")))
+    until = max((d for d in (day.first()[0] for day in days) if d), default=None)
+    return boards.monthly_boards(balance_history(tables, segment), until=until, k=k)
