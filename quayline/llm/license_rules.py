@@ -12,71 +12,75 @@ from typing import NamedTuple
 
 
 class Licence(NamedTuple):
+    """``keywords``, between bars: one is in every name."""
+
     label: str
-    keyword: str
+    keywords: str
     names: str
     tags: tuple[str, ...] = ()
     addresses: tuple[str, ...] = ()
 
 
 class Rule(NamedTuple):
-    """``priority`` 1 is the most certain; ``keyword`` must occur for the pattern to be tried."""
+    """``priority`` 1 is the most certain.  One of ``keywords`` and ``also`` must occur, each at the
+    beginning of a word, for the pattern to be tried: they are in all that it matches."""
 
     priority: int
     label: str
-    keyword: str
+    keywords: tuple[str, ...]
+    also: str
     pattern: str
 
 
 # names, identifiers and addresses of public licences: fixed values
 LICENCES = [
-    Licence("agpl", "affero", "(gnu )?affero (general public|gpl)|agpl(v?3)?", ("agpl 3 0( only| or later)?",), ("gnu org licenses agpl",)),
-    Licence("apache", "apache", "apache( software)?( 2( 0)?)?|asl( 2( 0)?)?", ("apache 2 0", "apache 1 1", "apache 1 0"), ("apache org licenses",)),
+    Licence("agpl", "affero|agpl", "(gnu )?affero (general public|gpl)|agpl(v?3)?", ("agpl 3 0( only| or later)?",), ("gnu org licenses agpl",)),
+    Licence("apache", "apache|asl", "apache( software)?( 2( 0)?)?|asl( 2( 0)?)?", ("apache 2 0", "apache 1 1", "apache 1 0"), ("apache org licenses",)),
     Licence("artistic", "artistic", "(perl )?artistic( 2( 0)?)?", ("artistic 2 0", "artistic 1 0"), ("opensource org licenses artistic",)),
-    Licence("boost", "boost", "boost( software)?|bsl 1 0", ("bsl 1 0",), ("boost org license 1 0",)),
+    Licence("boost", "boost|bsl", "boost( software)?|bsl 1 0", ("bsl 1 0",), ("boost org license 1 0",)),
     Licence("bsd", "bsd", "(new |modified |simplified |revised |original )?bsd( [234] clause)?|[234] clause bsd", ("bsd [234] clause", "0bsd"), ("opensource org licenses bsd",)),
-    Licence("cc0", "cc0", "cc0( 1 0)?|creative commons zero", ("cc0 1 0",), ("creativecommons org publicdomain zero",)),
-    Licence("cc-by", "cc", "cc by( [1-4] [05])?|creative commons attribution( [1-4] [05])?( international| unported)?", ("cc by [1-4] [05]",), ("creativecommons org licenses by [1-4]",)),
-    Licence("cc-by-nc", "cc", "cc by nc( [1-4] [05])?|creative commons attribution non ?commercial( [1-4] [05])?", ("cc by nc [1-4] [05]",), ("creativecommons org licenses by nc [1-4]",)),
-    Licence("cc-by-nc-nd", "cc", "cc by nc nd( [1-4] [05])?|creative commons attribution non ?commercial no ?deriv(ative)?s( [1-4] [05])?", ("cc by nc nd [1-4] [05]",), ("creativecommons org licenses by nc nd",)),
-    Licence("cc-by-nc-sa", "cc", "cc by nc sa( [1-4] [05])?|creative commons attribution non ?commercial share ?alike( [1-4] [05])?", ("cc by nc sa [1-4] [05]",), ("creativecommons org licenses by nc sa",)),
-    Licence("cc-by-nd", "cc", "cc by nd( [1-4] [05])?|creative commons attribution no ?deriv(ative)?s( [1-4] [05])?", ("cc by nd [1-4] [05]",), ("creativecommons org licenses by nd",)),
-    Licence("cc-by-sa", "cc", "cc by sa( [1-4] [05])?|creative commons attribution share ?alike( [1-4] [05])?", ("cc by sa [1-4] [05]",), ("creativecommons org licenses by sa",)),
-    Licence("cddl", "cddl", "cddl( 1 [01])?|common development and distribution", ("cddl 1 [01]",), ("opensource org licenses cddl",)),
+    Licence("cc0", "cc0|creative commons", "cc0( 1 0)?|creative commons zero", ("cc0 1 0",), ("creativecommons org publicdomain zero",)),
+    Licence("cc-by", "cc by|creative commons", "cc by( [1-4] [05])?|creative commons attribution( [1-4] [05])?( international| unported)?", ("cc by [1-4] [05]",), ("creativecommons org licenses by [1-4]",)),
+    Licence("cc-by-nc", "cc by|creative commons", "cc by nc( [1-4] [05])?|creative commons attribution non ?commercial( [1-4] [05])?", ("cc by nc [1-4] [05]",), ("creativecommons org licenses by nc [1-4]",)),
+    Licence("cc-by-nc-nd", "cc by|creative commons", "cc by nc nd( [1-4] [05])?|creative commons attribution non ?commercial no ?deriv(ative)?s( [1-4] [05])?", ("cc by nc nd [1-4] [05]",), ("creativecommons org licenses by nc nd",)),
+    Licence("cc-by-nc-sa", "cc by|creative commons", "cc by nc sa( [1-4] [05])?|creative commons attribution non ?commercial share ?alike( [1-4] [05])?", ("cc by nc sa [1-4] [05]",), ("creativecommons org licenses by nc sa",)),
+    Licence("cc-by-nd", "cc by|creative commons", "cc by nd( [1-4] [05])?|creative commons attribution no ?deriv(ative)?s( [1-4] [05])?", ("cc by nd [1-4] [05]",), ("creativecommons org licenses by nd",)),
+    Licence("cc-by-sa", "cc by|creative commons", "cc by sa( [1-4] [05])?|creative commons attribution share ?alike( [1-4] [05])?", ("cc by sa [1-4] [05]",), ("creativecommons org licenses by sa",)),
+    Licence("cddl", "cddl|common development", "cddl( 1 [01])?|common development and distribution", ("cddl 1 [01]",), ("opensource org licenses cddl",)),
     Licence("cecill", "cecill", "cecill( [abc])?( 2 [01])?", ("cecill [abc]", "cecill 2 [01]"), ("cecill info",)),
-    Licence("cpal", "cpal", "cpal( 1 0)?|common public attribution", ("cpal 1 0",), ("opensource org licenses cpal",)),
-    Licence("cpl", "cpl", "cpl( 1 0)?|common public", ("cpl 1 0",), ("opensource org licenses cpl",)),
-    Licence("ecl", "ecl", "ecl( 2 0)?|educational community", ("ecl 2 0",), ("opensource org licenses ecl",)),
-    Licence("epl", "epl", "epl( [12] 0)?|eclipse public", ("epl [12] 0",), ("eclipse org legal epl",)),
-    Licence("eupl", "eupl", "eupl( 1 [12])?|european union public", ("eupl 1 [12]",), ("joinup ec europa eu",)),
-    Licence("fdl", "fdl", "(gnu )?(gfdl|fdl)( 1 [123])?|gnu free documentation", ("gfdl 1 [123]( only| or later)?",), ("gnu org (licenses|copyleft) fdl",)),
+    Licence("cpal", "cpal|common public", "cpal( 1 0)?|common public attribution", ("cpal 1 0",), ("opensource org licenses cpal",)),
+    Licence("cpl", "cpl|common public", "cpl( 1 0)?|common public", ("cpl 1 0",), ("opensource org licenses cpl",)),
+    Licence("ecl", "ecl|educational community", "ecl( 2 0)?|educational community", ("ecl 2 0",), ("opensource org licenses ecl",)),
+    Licence("epl", "epl|eclipse public", "epl( [12] 0)?|eclipse public", ("epl [12] 0",), ("eclipse org legal epl",)),
+    Licence("eupl", "eupl|european union", "eupl( 1 [12])?|european union public", ("eupl 1 [12]",), ("joinup ec europa eu",)),
+    Licence("fdl", "fdl|gfdl|gnu free", "(gnu )?(gfdl|fdl)( 1 [123])?|gnu free documentation", ("gfdl 1 [123]( only| or later)?",), ("gnu org (licenses|copyleft) fdl",)),
     Licence("gpl", "gpl", "gnu gpl( ?v?[123]( 0)?)?|gpl( ?v?[123]( 0)?)?", ("gpl [123] 0( only| or later)?",), ("gnu org (licenses|copyleft) gpl",)),
     Licence("gpl", "general public", "(gnu )?general public", (), ("gnu org (licenses|copyleft) old licenses gpl",)),
     Licence("isc", "isc", "isc", ("isc",), ("opensource org licenses isc",)),
     Licence("lgpl", "lgpl", "(gnu )?lgpl( ?v?[23]( [01])?)?", ("lgpl [23] [01]( only| or later)?",), ("gnu org (licenses|copyleft) lgpl",)),
     Licence("lgpl", "general public", "(gnu )?(lesser|library) general public", (), ("gnu org (licenses|copyleft) lesser",)),
-    Licence("lppl", "lppl", "lppl( 1 3[ac]?)?|latex project public", ("lppl 1 3[ac]",), ("latex project org lppl",)),
-    Licence("mit", "mit", "mit( expat| x11)?|expat", ("mit( 0)?",), ("opensource org licenses mit",)),
+    Licence("lppl", "lppl|latex project", "lppl( 1 3[ac]?)?|latex project public", ("lppl 1 3[ac]",), ("latex project org lppl",)),
+    Licence("mit", "mit|expat", "mit( expat| x11)?|expat", ("mit( 0)?",), ("opensource org licenses mit",)),
     Licence("mpl", "mpl", "mpl( ?v?[12] [01])?", ("mpl [12] [01]",), ("mozilla org mpl",)),
     Licence("mpl", "mozilla", "mozilla public", (), ("mozilla org en us mpl",)),
     Licence("ms-pl", "microsoft", "microsoft public", ("ms pl",), ("opensource org licenses ms pl",)),
     Licence("ms-rl", "microsoft", "microsoft reciprocal", ("ms rl",), ("opensource org licenses ms rl",)),
     Licence("ncsa", "ncsa", "(university of illinois )?ncsa( open source)?", ("ncsa",), ("opensource org licenses ncsa",)),
-    Licence("odbl", "odbl", "odbl( 1 0)?|open database", ("odbl 1 0",), ("opendatacommons org licenses odbl",)),
-    Licence("ofl", "ofl", "(sil )?ofl( 1 1)?|sil open font|open font", ("ofl 1 [01]",), ("scripts sil org ofl",)),
+    Licence("odbl", "odbl|open database", "odbl( 1 0)?|open database", ("odbl 1 0",), ("opendatacommons org licenses odbl",)),
+    Licence("ofl", "ofl|open font", "(sil )?ofl( 1 1)?|sil open font|open font", ("ofl 1 [01]",), ("scripts sil org ofl",)),
     Licence("openssl", "openssl", "openssl", ("openssl",), ("openssl org source license",)),
-    Licence("osl", "osl", "osl( 3 0)?|open software", ("osl [123] [01]",), ("opensource org licenses osl",)),
+    Licence("osl", "osl|open software", "osl( 3 0)?|open software", ("osl [123] [01]",), ("opensource org licenses osl",)),
     Licence("php", "php", "php( 3 01?)?", ("php 3 01?",), ("php net license",)),
     Licence("postgresql", "postgresql", "postgresql", ("postgresql",), ("opensource org licenses postgresql",)),
     Licence("public-domain", "public domain", "public domain", ("pddl 1 0",), ("creativecommons org publicdomain mark",)),
-    Licence("python", "python", "python( software foundation)?|psf", ("psf 2 0", "python 2 0"), ("python org psf license",)),
+    Licence("python", "python|psf", "python( software foundation)?|psf", ("psf 2 0", "python 2 0"), ("python org psf license",)),
     Licence("ruby", "ruby", "ruby", ("ruby",), ("ruby lang org en about license",)),
     Licence("unlicense", "unlicense", "unlicense", ("unlicense",), ("unlicense org",)),
-    Licence("upl", "upl", "upl( 1 0)?|universal permissive", ("upl 1 0",), ("opensource org licenses upl",)),
+    Licence("upl", "upl|universal permissive", "upl( 1 0)?|universal permissive", ("upl 1 0",), ("opensource org licenses upl",)),
     Licence("w3c", "w3c", "w3c( software( notice and)?)?", ("w3c",), ("w3 org consortium legal",)),
     Licence("wtfpl", "wtfpl", "wtfpl", ("wtfpl",), ("wtfpl net",)),
     Licence("zlib", "zlib", "zlib( libpng)?", ("zlib",), ("zlib net zlib license",)),
-    Licence("zpl", "zope", "zope public|zpl( 2 [01])?", ("zpl 2 [01]",), ("zope org resources license",)),
+    Licence("zpl", "zope|zpl", "zope public|zpl( 2 [01])?", ("zpl 2 [01]",), ("zope org resources license",)),
 ]
 
 # sentences by which a licence's text or notice is known: fixed values
@@ -109,25 +113,26 @@ NOTICES = [
 
 # one of these is in every text that a rule can match
 ANCHORS = (
-    "licen spdx under subject permi reserved confidential domain endorse misrepresented waived just copyleft "
+    "licen spdx under permi reserved confidential domain endorse misrepresented waived just copyleft "
     "cecill eclipse joinup lppl mozilla scripts consortium wtfpl"
 ).split()
-GRANT = "(licen[cs]ed|released|distributed|available|provided|published|covered|governed|redistributed) (under|subject to)( the)?( terms( and conditions)? of)?( the| an?)?"
+GRANT = "(licen[cs]ed|released|distributed|available|provided|published|covered|governed|redistributed) under( the)?( terms( and conditions)? of)?( the| an?)?"
 VERSION = "( ?v(ersion)? ?)?[1-4]( [0-9])?"
 TAGGED, ADDRESS, NOTICE, GRANTED, VERSIONED, NAMED, ADJECTIVE, DUAL = range(1, 9)
 
 
 def _rules() -> list[Rule]:
-    found = [Rule(NOTICE, *notice) for notice in NOTICES]
-    for label, keyword, names, tags, addresses in LICENCES:
-        found += [Rule(TAGGED, label, "spdx", f"spdx licen[cs]e identifier ({tag})") for tag in tags]
-        found += [Rule(ADDRESS, label, address.split(" ")[0], address) for address in addresses]
+    found = [Rule(NOTICE, label, (keyword,), "", sentence) for label, keyword, sentence in NOTICES]
+    for label, keywords, names, tags, addresses in LICENCES:
+        own = tuple(keywords.split("|"))
+        found += [Rule(TAGGED, label, ("spdx",), "licen", f"spdx licen[cs]e identifier ({tag})") for tag in tags]
+        found += [Rule(ADDRESS, label, (address.split(" ")[0],), "", address) for address in addresses]
         found += [
-            Rule(GRANTED, label, keyword, f"{GRANT} ({names})( licen[cs]e)?"),
-            Rule(VERSIONED, label, keyword, f"({names}) licen[cs]e( agreement)?{VERSION}"),
-            Rule(NAMED, label, keyword, f"({names}) licen[cs]e"),
-            Rule(ADJECTIVE, label, keyword, f"({names}) licen[cs](ed|ing)"),
-            Rule(DUAL, label, keyword, f"dual licen[cs]ed? .{{0,40}} ({names})"),
+            Rule(GRANTED, label, own, "under ", f"{GRANT} ({names})( licen[cs]e)?"),
+            Rule(VERSIONED, label, own, "licen", f"({names}) licen[cs]e( agreement)?{VERSION}"),
+            Rule(NAMED, label, own, "licen", f"({names}) licen[cs]e"),
+            Rule(ADJECTIVE, label, own, "licen", f"({names}) licen[cs](ed|ing)"),
+            Rule(DUAL, label, own, "licen", f"dual licen[cs]ed? .{{0,40}} ({names})"),
         ]
     return sorted(set(found))
 

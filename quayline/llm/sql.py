@@ -138,7 +138,8 @@ SECRETS = f"""
 
 _LICENCE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _RULE_ROWS = ", ".join(
-    f"({i}, {r.priority}, {quoted(r.label)}, {quoted(r.keyword)}, {quoted(rf'\b({r.pattern})\b')})" for i, r in enumerate(RULES)
+    f"({i}, {r.priority}, {quoted(r.label)}, [{', '.join(map(quoted, r.keywords))}], {quoted(r.also)}, {quoted(rf'\b({r.pattern})\b')})"
+    for i, r in enumerate(RULES)
 )
 
 
@@ -162,7 +163,7 @@ LICENSES = f"""
     base AS (
         SELECT row, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list(DISTINCT label) AS names FROM place GROUP BY row
     ),
-    rule(rule, priority, label, keyword, pattern) AS (VALUES {_RULE_ROWS}),
+    rule(rule, priority, label, keywords, also, pattern) AS (VALUES {_RULE_ROWS}),
     -- rules are ASCII, so that other letters may be any letter
     gated AS (
         SELECT row, line, regexp_replace(line, '[^\\x00-\\x7F]', 'x', 'g') AS plain FROM split
@@ -170,7 +171,8 @@ LICENSES = f"""
     ),
     tried AS (
         SELECT row, rule, priority, label, regexp_extract_all(plain, pattern, 0) AS found, string_split_regex(plain, pattern) AS gaps
-        FROM gated JOIN rule ON contains(line, keyword) WHERE regexp_matches(plain, pattern)
+        FROM gated JOIN rule ON contains(line, ' ' || also) AND len(list_filter(keywords, lambda k: contains(line, ' ' || k))) > 0
+        WHERE regexp_matches(plain, pattern)
     ),
     match AS (
         SELECT row, rule, priority, label, sum(gap_spaces + own_spaces) OVER (PARTITION BY row, rule ORDER BY i) - own_spaces - 1 AS start, own_spaces

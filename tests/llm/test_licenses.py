@@ -9,6 +9,7 @@ TEXTS = [
     "GNU Lesser General Public License version 2.1", "dual licensed under the MIT license or the Apache License 2.0",
     "https://creativecommons.org/licenses/by-sa/4.0/", "no license here", "the apache\n\n\tlicense", "mit license mit license mit license",
     "Permission is hereby granted, free of charge, to any person obtaining a copy", "All rights reserved. Proprietary and confidential.",
+    "Creative Commons Attribution-ShareAlike license", "GFDL 1.3 licensed", "licensed under the Expat license", "zpl license v2",
     "ß General  Public  License é", "under the license", "bsd 3-clause license and the zlib license",
 ]
 
@@ -52,6 +53,20 @@ def test_rules_are_gated():
         plain = rule.pattern.replace("licen[cs]e", "license").replace("licen[cs](", "licens(")
         assert any(anchor in plain for anchor in ANCHORS), rule
         assert rule.priority in CONFIDENCE
+    for licence in LICENCES:
+        assert all(any(k in name for k in licence.keywords.split("|")) for name in top_level(licence.names)), licence
+
+
+def top_level(names):
+    """The alternatives outside parentheses."""
+    parts, depth = [""], 0
+    for c in names:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
 
 
 def test_no_python_on_the_executors(sample):
