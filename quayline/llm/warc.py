@@ -13,18 +13,19 @@ CRLF = "\r\n"
 UNDATED = "1970-01-01T00:00:00Z"
 
 # elements whose content is no text, elements that end a line, named references: fixed values
-SILENT = ["script", "style", "noscript", "template", "svg", "head"]
+SILENT = ["script", "style", "noscript", "template", "svg", "title"]
 BLOCKS = (
     "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|"
     "nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
 )
 REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
-HIDDEN_PATTERN = "(?is)<!--.*?-->|" + "|".join(f"<{tag}[^a-z].*?</{tag}\\s*>" for tag in SILENT)
-BLOCK_PATTERN = rf"(?i)</?({BLOCKS})(\s[^>]*)?/?>"
-TAG_PATTERN = "</?[a-zA-Z!][^>]*>"
-TITLE_PATTERN = r"(?is)<title[^>]*>(.*?)</title\s*>"
-LINK_PATTERN = r"(?i)<a\s[^>]*href\s*="
+# what is never closed runs to the end, and a tag stops at the next one: no page is read again and again
+HIDDEN_PATTERN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{tag}[^a-z].*?(?:</{tag}\s*>|\z)" for tag in SILENT)
+BLOCK_PATTERN = rf"(?i)</?({BLOCKS})(\s[^<>]*)?/?>"
+TAG_PATTERN = "</?[a-zA-Z!][^<>]*>"
+TITLE_PATTERN = r"(?is)<title[^<>]*>(.*?)(?:</title\s*>|\z)"
+LINK_PATTERN = r"(?i)<a\s[^<>]*href\s*="
 
 
 def digest(text: Column) -> Column:

@@ -64,12 +64,14 @@ def test_plain_text(spark):
     )
     pages = spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string")
     rows = {r.warc_type: r for r in warc.derivatives(warc.responses(pages)).collect()}
+    assert "head" not in rows["conversion"].block
     assert rows["conversion"].block == "Top\nOne bold word\ntwo <tags> &amp;\nlink 1 < 2\na\nb\nend"
     assert rows["metadata"].block.startswith("title: A title & more\r\nlinks: 1\r\n")
 
 
 def test_odd_pages(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, "<"), (3, "u", "<script>" * 3000), (4, "u", "<p>x" * 50_000)]
+    rows += [(5, "u", part * 200_000) for part in ("<a", "<title>", "<!--", "<p ", "&lt;", " \n")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, record_id string")
     records = warc.derivatives(warc.responses(pages)).collect()
     assert len(records) == 2 * len(rows)
