@@ -9,6 +9,7 @@ reaches its class's threshold and no allow-list rule covers it.
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -84,7 +85,7 @@ def base_spans(text: Column) -> dict[str, Column]:
         "access": F.contains(text, F.lit("AKIA")),
         "hex": text.rlike("[0-9a-f]{%d}" % SHORTEST["hex"]),
     }
-    # a run that is too short cannot match in part either, so that the length may be in the pattern
+    # a run of hexadecimal digits is matched whole, so that its least length may be in the pattern
     patterns = {"assign": ASSIGN, "access": ACCESS, "hex": "[0-9a-f]{%d,}" % SHORTEST["hex"]}
     return {kind: F.when(tests[kind], _long_enough(text, patterns[kind], kind)).otherwise(_none()) for kind in patterns}
 
@@ -96,38 +97,36 @@ def window_entropy(characters: Column, alphabet: str, window: int = WINDOW) -> C
     def weight(count: Column) -> Column:
         return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
 
-    def at(index: Column) -> Column:
-        return F.instr(F.lit(alphabet), F.element_at(characters, index))
+    def number(i: Column) -> Column:
+        return F.instr(F.lit(alphabet), F.element_at(characters, i))
 
     start = F.struct(
         F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("weights"), F.lit(-1.0).alias("best")
     )
 
     def step(state: Column, i: Column) -> Column:
-        entering = F.instr(F.lit(alphabet), F.element_at(characters, i))
-        leaving = F.when(i > window, F.instr(F.lit(alphabet), F.element_at(characters, F.greatest(i - window, F.lit(1))))).otherwise(F.lit(0))
-        moved = F.struct(entering.alias("in"), leaving.alias("out"), state.alias("was"))
-
-        def change(m: Column) -> Column:
-            counts = m["was"]["counts"]
-            same = m["in"] == m["out"]
-            more = F.element_at(counts, m["in"])
-            less = F.when(m["out"] > 0, F.element_at(counts, F.greatest(m["out"], F.lit(1)))).otherwise(F.lit(0))
-            weights = m["was"]["weights"] + F.when(same, F.lit(0.0)).otherwise(
-                weight(more + 1) - weight(more) + F.when(m["out"] > 0, weight(less - 1) - weight(less)).otherwise(F.lit(0.0))
-            )
-            now = F.transform(
-                counts,
-                lambda c, k: c + F.when(k + 1 == m["in"], 1).otherwise(0) - F.when(k + 1 == m["out"], 1).otherwise(0),
-            )
-            return F.struct(now.alias("counts"), weights.alias("weights"), m["was"]["best"].alias("best"))
-
-        def seen(s: Column) -> Column:
-            bits = F.lit(float(window)) * 0 + F.log2(F.lit(float(window))) - s["weights"] / F.lit(float(window))
-            best = F.when(i >= window, F.greatest(s["best"], bits)).otherwise(s["best"])
-            return F.struct(s["counts"].alias("counts"), s["weights"].alias("weights"), best.alias("best"))
-
-        return F.element_at(F.transform(F.transform(F.array(moved), change), seen), 1)
+        # an array of one element, so that each later step can name what the one before has found
+        leaving = F.when(i > window, number(F.greatest(i - window, F.lit(1)))).otherwise(F.lit(0))
+        moved = F.array(F.struct(number(i).alias("in"), leaving.alias("out"), state.alias("was")))
+        return F.element_at(F.transform(F.transform(moved, change), lambda s: seen(s, i)), 1)
+
+    def change(m: Column) -> Column:
+        """Two counts change, and the sum of c*log2(c) by what they contribute."""
+        was, entering, leaving = m["was"], m["in"], m["out"]
+        more = F.element_at(was["counts"], entering)
+        less = F.element_at(was["counts"], F.greatest(leaving, F.lit(1)))
+        lost = F.when(leaving > 0, weight(less - 1) - weight(less)).otherwise(F.lit(0.0))
+        difference = F.when(entering == leaving, F.lit(0.0)).otherwise(weight(more + 1) - weight(more) + lost)
+        counts = F.transform(
+            was["counts"],
+            lambda c, k: c + F.when(k + 1 == entering, 1).otherwise(0) - F.when(k + 1 == leaving, 1).otherwise(0),
+        )
+        return F.struct(counts.alias("counts"), (was["weights"] + difference).alias("weights"), was["best"].alias("best"))
+
+    def seen(s: Column, i: Column) -> Column:
+        bits = F.lit(math.log2(window)) - s["weights"] / F.lit(float(window))
+        best = F.when(i >= window, F.greatest(s["best"], bits)).otherwise(s["best"])
+        return F.struct(s["counts"].alias("counts"), s["weights"].alias("weights"), best.alias("best"))
 
     return F.aggregate(F.sequence(F.lit(1), F.size(characters)), start, step, lambda s: s["best"])
 
