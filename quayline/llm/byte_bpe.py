@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quayline.llm.common import gather, plain_strings, slices
+from quayline.llm.common import arrow_function, gather, plain_strings, slices
 
 # rows of a recursion are its words' bytes times its steps: words per query, and the longest word
 # that goes through it; a longer one (a run without white space) is merged with a heap instead
@@ -216,7 +216,7 @@ def _encoded(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[bytes, b
 def _per_text(docs: DataFrame, content: bytes, pattern: str, kind: str, result) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast((content, pattern))
 
-    @F.arrow_udf(kind)
+    @arrow_function(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _vocabulary(*shipped.value)
         for batch in batches:
@@ -238,7 +238,7 @@ def decode(rows: DataFrame, content: bytes, pattern: str) -> DataFrame:
     """``rows`` with ``bytes``, the binary that their ``ids`` stand for; null ids give none."""
     shipped = rows.sparkSession.sparkContext.broadcast((content, pattern))
 
-    @F.arrow_udf("binary")
+    @arrow_function("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _vocabulary(*shipped.value)
         for batch in batches:

@@ -3,7 +3,8 @@ way and gapless numbers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,29 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from quayline.storage import fresh_dir
 
 SLICE_BYTES = 8 << 20
+# the folder that holds the library
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def importable(spark: SparkSession) -> None:
+    """Puts the library's folder on the path of Python workers, for sessions that were not
+    started there.  Where executors have no such folder, ship the library with ``--py-files``."""
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [ROOT])
+
+
+def arrow_function(kind: str) -> Callable[[Callable], Callable]:
+    """``arrow_udf`` for functions that workers import from here."""
+    importable(SparkSession.active())
+    return lambda function: F.arrow_udf(function, kind)
+
+
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` for functions that workers import from here."""
+    importable(df.sparkSession)
+    return df.mapInArrow(function, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

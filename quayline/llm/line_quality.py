@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quayline.llm.common import as_bytes, stored
+from quayline.llm.common import arrow_function, as_bytes, stored
 
 
 @dataclass(frozen=True)
@@ -98,7 +98,7 @@ def text_key(text: str = "text") -> Column:
 
 def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     """``doc_id, host, text_key``, the counts and the lines of every row."""
-    rows = docs.select("doc_id", F.col(host).alias("host"), text_key().alias("text_key"), F.arrow_udf(_measured, MEASURED)("text").alias("m"))
+    rows = docs.select("doc_id", F.col(host).alias("host"), text_key().alias("text_key"), arrow_function(MEASURED)(_measured)("text").alias("m"))
     return rows.select("doc_id", "host", "text_key", "m.*")
 
 
@@ -163,7 +163,7 @@ def cleaned(docs: DataFrame, limits: Limits = LIMITS, host: str = "source") -> D
     )
     same = docs[host].eqNullSafe(F.col("_host")) & (text_key() == F.col("_key"))
     kept = docs.join(decided, same, "left").where("_kept IS NULL OR _kept")
-    out = kept.withColumn("text", F.arrow_udf(_without_lines, "string")("text", "_removed"))
+    out = kept.withColumn("text", arrow_function("string")(_without_lines)("text", "_removed"))
     if "n_chars" in docs.columns:
         counted = F.when(F.col("_removed").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", counted.otherwise(F.col("n_chars")))

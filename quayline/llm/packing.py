@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from quayline.llm.common import gather, plain_strings, ranked, slices, stored_in_blocks
+from quayline.llm.common import arrow_function, gather, plain_strings, ranked, slices, stored_in_blocks
 
 CAPACITY = 2048
 END_OF_DOCUMENT = 0
@@ -159,7 +159,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids: bool
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
     kind = PIECES_WITH_IDS if ids else PIECES
 
-    @F.arrow_udf(kind)
+    @arrow_function(kind)
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = _words(shipped.value)
         for batch in batches:
@@ -206,7 +206,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = np.array(runs or np.empty((0, 6)), np.int64).reshape(-1, 6)
     shipped = parts.sparkSession.sparkContext.broadcast(table)
 
-    @F.arrow_udf("struct<sequence_id:bigint,offset:bigint>")
+    @arrow_function("struct<sequence_id:bigint,offset:bigint>")
     def place(length: pa.Array, rank: pa.Array) -> pa.Array:
         lengths, ranks = length.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
         runs = shipped.value

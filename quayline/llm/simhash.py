@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quayline.llm.common import as_bytes, stored
+from quayline.llm.common import arrow_function, as_bytes, map_batches, stored
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -62,7 +62,7 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
 def fingerprints(text: str | Column, width: int = SHINGLE_WORDS) -> Column:
     """The fingerprint as a signed 64-bit number; null text counts as empty."""
 
-    @F.arrow_udf("bigint")
+    @arrow_function("bigint")
     def run(batch: pa.Array) -> pa.Array:
         found = np.fromiter((fingerprint(t, width) for t in as_bytes(batch)), np.uint64, len(batch))
         return pa.array(found.view(np.int64))
@@ -143,7 +143,7 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, pivots: int = PIVOTS) -
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return buckets(distinct, max_bits).mapInArrow(run, "a bigint, b bigint").distinct()
+    return map_batches(buckets(distinct, max_bits), run, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

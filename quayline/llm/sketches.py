@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quayline.llm.common import plain_strings, slices
+from quayline.llm.common import arrow_function, map_batches, plain_strings, slices
 
 SHINGLE_WORDS = 5
 # one in so many hashes is kept; a power of two
@@ -80,7 +80,7 @@ def sketched(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` with ``hashes``, the kept hashes of the text as signed 64-bit numbers.  Null and
     empty texts have none."""
 
-    @F.arrow_udf("array<bigint>")
+    @arrow_function("array<bigint>")
     def run(batch: pa.Array) -> pa.Array:
         rows = [sketch(t, width).view(np.int64) for part in slices(plain_strings(batch)) for t in part.cast(pa.large_binary()).to_pylist()]
         return pa.array(rows, pa.list_(pa.int64()))
@@ -123,7 +123,7 @@ def compared(docs: DataFrame) -> DataFrame:
     ranges = Ranges(docs)
     shipped = docs.sparkSession.sparkContext.broadcast(ranges)
 
-    @F.arrow_udf("int")
+    @arrow_function("int")
     def number(ids: pa.Array, ties: pa.Array) -> pa.Array:
         return pa.array(shipped.value.number(ids, ties))
 
@@ -145,7 +145,7 @@ def compared(docs: DataFrame) -> DataFrame:
     ordered = placed.repartition("range").sortWithinPartitions(
         "range", "border", F.desc_nulls_last("doc_id"), F.desc(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))))
     )
-    return ordered.select("range", "border", "doc_id", "text").mapInArrow(_neighbours, COMPARED)
+    return map_batches(ordered.select("range", "border", "doc_id", "text"), _neighbours, COMPARED)
 
 
 COMPARED = (

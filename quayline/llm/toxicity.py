@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quayline.llm.common import plain_strings, slices
+from quayline.llm.common import arrow_function, map_batches, plain_strings, slices
 
 THRESHOLD = 0.3
 HELD_OUT = 2
@@ -256,7 +256,7 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
             names=["kind", "name", "weight"],
         )
 
-    rows = sample.repartition(1).mapInArrow(run, "kind int, name string, weight double").collect()
+    rows = map_batches(sample.repartition(1), run, "kind int, name string, weight double").collect()
     rows.sort(key=lambda r: (r.kind, r.name))
     bias = rows[0].weight if rows else 0.0
     features = {kind: [r.name for r in rows if r.kind == kind] for kind in (0, *PREFIXES)}
@@ -267,7 +267,7 @@ def score(docs: DataFrame, model: Model, text: str | Column = "text") -> Column:
     """The score of each text, 0 to 1; null and empty texts have the bias's."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("double")
+    @arrow_function("double")
     def run(batch: pa.Array) -> pa.Array:
         parts = [scores(part, shipped.value) for part in slices(plain_strings(batch))]
         return pa.array(np.concatenate(parts) if parts else np.empty(0))
