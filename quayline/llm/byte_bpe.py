@@ -23,10 +23,11 @@ from quayline.llm.common import arrow_function, gather, plain_strings, slices
 
 # rows of a recursion are its words' bytes times its steps: words per query, and the longest word
 # that goes through it; a longer one (a run without white space) is merged with a heap instead
-WORDS_PER_QUERY = 40_000
+WORDS_PER_QUERY = 30_000
 LONGEST_WORD = 128
-CACHED_WORDS = 300_000
-DATABASE = {"threads": 1, "memory_limit": "400MB", "temp_directory": ""}
+CACHED_WORDS = 200_000
+SLICE_BYTES = 4 << 20
+DATABASE = {"threads": 1, "memory_limit": "300MB", "temp_directory": ""}
 # two white-space characters in a row, or one at an end: such texts are cut as a whole
 SPACED = r"^[\s\v\x{85}\pZ]|[\s\v\x{85}\pZ]$|[\s\v\x{85}\pZ]{2}"
 
@@ -220,7 +221,9 @@ def _per_text(docs: DataFrame, content: bytes, pattern: str, kind: str, result)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary = _vocabulary(*shipped.value)
         for batch in batches:
-            yield result(e for texts in slices(plain_strings(batch)) for e in _encoded(texts, vocabulary))
+            yield result(e for texts in slices(plain_strings(batch), SLICE_BYTES) for e in _encoded(texts, vocabulary))
+        for cache in (vocabulary.known, vocabulary.matches):
+            cache.clear()  # the worker lives on, for tasks of other kinds too
 
     return run(F.col("text"))
 

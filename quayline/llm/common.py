@@ -18,9 +18,16 @@ SLICE_BYTES = 8 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+# texts vary in length by orders of magnitude: a batch is bounded by its bytes
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def importable(spark: SparkSession) -> None:
     """Puts the library's folder on the path of Python workers, for sessions that were not
-    started there.  Where executors have no such folder, ship the library with ``--py-files``."""
+    started there, and keeps batches small.  Where executors have no such folder, ship the library
+    with ``--py-files``."""
+    if spark.conf.get(BATCH_BYTES, None) != str(SLICE_BYTES):
+        spark.conf.set(BATCH_BYTES, str(SLICE_BYTES))
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
@@ -73,8 +80,10 @@ def gather(flat: np.ndarray, lengths: np.ndarray, picks: np.ndarray) -> tuple[np
     starts = np.cumsum(lengths) - lengths
     own = lengths[picks]
     ends = np.cumsum(own)
-    index = np.repeat(starts[picks] - (ends - own), own)
-    index += np.arange(len(index))
+    # indices of slices, which are small: 32 bits halve the largest arrays here
+    kind = np.int32 if max(len(flat), int(ends[-1]) if len(ends) else 0) < 1 << 31 else np.int64
+    index = np.repeat((starts[picks] - (ends - own)).astype(kind), own)
+    index += np.arange(len(index), dtype=kind)
     return flat[index], ends
 
 

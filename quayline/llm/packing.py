@@ -25,8 +25,10 @@ from quayline.llm.common import arrow_function, gather, plain_strings, ranked, s
 
 CAPACITY = 2048
 END_OF_DOCUMENT = 0
-# words kept per Python worker; a full cache is emptied, which costs time only
-CACHED_WORDS = 1_000_000
+# words kept while a task runs; a full cache is emptied, which costs time only
+CACHED_WORDS = 450_000
+# words encoded at a time: what the tokenizer returns is many times as large as the ids in it
+WORDS_AT_ONCE = 32_768
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 PIECES_WITH_IDS = PIECES.replace("ids_crc32:bigint", "ids_crc32:bigint,ids:array<int>")
 
@@ -121,8 +123,10 @@ class Words:
         if len(self.known) > CACHED_WORDS:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded))
+        for first in range(0, len(new), WORDS_AT_ONCE):
+            part = new[first : first + WORDS_AT_ONCE]
+            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded))
         return [self.known[w] for w in words]
 
 
@@ -177,6 +181,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids: bool
                     rows.append(row)
                     begin = end
             yield _piece_lists(rows, ids)
+        words.known.clear()  # the worker lives on, for tasks of other kinds too
 
     cut_up = docs.select("doc_id", F.explode(cut(F.col("text"))).alias("p"))
     return cut_up.select("doc_id", "p.*")

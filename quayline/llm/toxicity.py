@@ -61,12 +61,12 @@ class Settings:
     """``per_class``: labelled documents of each class in the sample, lowest hashes first;
     ``features``: the most that the model has; ``pairs``: counterfactual sentences at most."""
 
-    per_class: int = 5000
+    per_class: int = 3000
     features: int = 4000
     documents: int = 3
     sparsity: float = 2e-4
     counterfactual: float = 1.0
-    pairs: int = 5000
+    pairs: int = 3000
     rounds: int = 400
 
 
@@ -130,7 +130,10 @@ def candidates(texts: pa.Array, toxic: np.ndarray, settings: Settings) -> dict[i
     """The features that tell the classes apart best, by the difference of their shares of
     documents in units of its standard error."""
     words, occurrences, offsets = word_table(texts)
-    text = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    # each word of a text once
+    once = np.unique(np.repeat(np.arange(len(texts)) * len(words), np.diff(offsets)) + occurrences)
+    text, occurrences = once // max(1, len(words)), once % max(1, len(words))
+    del once, offsets
     sizes = np.array([max(1, (~toxic).sum()), max(1, toxic.sum())])
     found = []
     for kind in (0, *PREFIXES):
