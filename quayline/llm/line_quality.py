@@ -21,15 +21,17 @@ from quayline.llm.common import arrow_function, as_bytes, stored
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is boilerplate on a host with at least ``texts`` different texts that have it, if they
-    are more than ``share`` of the host's; a document is depleted when less than ``remaining`` of
-    its words stay.  ``words`` and ``repeated`` are the limits of the base rules."""
+    """A line is boilerplate on a host with at least ``texts`` different texts that have it; one of
+    fewer than ``long`` words, which texts may share by chance, only if they are more than ``share``
+    of the host's.  A document is depleted when less than ``remaining`` of its words stay.  ``words``
+    and ``repeated`` are the limits of the base rules."""
 
     texts: int = 5
     share: float = 0.1
     remaining: float = 0.5
     words: int = 50
     repeated: float = 0.5
+    long: int = 8
 
 
 LIMITS = Limits()
@@ -37,8 +39,8 @@ SYMBOLS = b"#*$%&|<>"
 _DIGITS = re.compile(rb"[0-9]+")
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_LINE = pa.struct([("line", pa.int64()), ("words", pa.int64())])
-MEASURED = f"struct<{','.join(f'{c}:bigint' for c in COUNTS)},lines:array<struct<line:bigint,words:bigint>>>"
+_LINE = pa.struct([("line", pa.int64()), ("words", pa.int64()), ("size", pa.int64())])
+MEASURED = f"struct<{','.join(f'{c}:bigint' for c in COUNTS)},lines:array<struct<line:bigint,words:bigint,size:bigint>>>"
 
 
 def normalised(line: bytes) -> bytes:
@@ -67,19 +69,22 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def measure(text: bytes) -> tuple:
-    """The counts of one text, and its lines (hash, words in it) without those that have no word."""
+    """The counts of one text, and its lines (hash, words in all its places, words in one) without
+    those that have no word."""
     words = text.split()
     spaces = len(text) - sum(map(len, words))
-    seen, repeats, lines = set(), 0, Counter()
+    seen, repeats, lines, sizes = set(), 0, Counter(), {}
     for line in text.split(b"\n"):
         size = len(line.split())
         if size:
             repeats += line in seen
             seen.add(line)
-            lines[line_hash(line)] += size
+            key = line_hash(line)
+            lines[key] += size
+            sizes[key] = size
     return (
         len(words), len(text.decode()) - spaces, len(text) - len(text.translate(None, SYMBOLS)), repeats,
-        repeated_words(words), list(lines.items()),
+        repeated_words(words), [(key, n, sizes[key]) for key, n in lines.items()],
     )
 
 
@@ -103,14 +108,14 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def boilerplate(texts: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """``host, line`` above the limits, from one row per host and text.  At most the lines of a text
-    divided by ``share`` for each host, on average."""
+    """``host, line`` above the limits, from one row per host and text."""
     sizes = texts.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("host_texts"))
-    counts = texts.select("host", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(
-        F.count(F.lit(1)).alias("texts")
+    counts = texts.select("host", F.inline("lines")).groupBy("host", "line").agg(
+        F.count(F.lit(1)).alias("texts"), F.first("size").alias("size")
     ).where(F.col("texts") >= limits.texts)
     above = counts.join(sizes, F.col("host").eqNullSafe(F.col("_host")))
-    return above.where(F.col("texts") > F.lit(limits.share) * F.col("host_texts")).select("host", "line")
+    common = (F.col("size") >= limits.long) | (F.col("texts") > F.lit(limits.share) * F.col("host_texts"))
+    return above.where(common).select("host", "line")
 
 
 def depletion(rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:

@@ -57,3 +57,20 @@ def test_cleaned_keeps_columns_and_counts(odd, empty):
     assert line_quality.cleaned(empty).collect() == [] and line_quality.judged(empty).collect() == []
     docs, _ = [odd.sparkSession.createDataFrame([(1, "a", "x\n" + "y " * 60, 122)], "doc_id int, source string, text string, n_chars int"), 0]
     assert line_quality.cleaned(docs, line_quality.Limits(texts=1, share=0.0, repeated=2.0, remaining=0.0)).first().n_chars == 0
+
+
+def worded(name, n=60):
+    """Words without digits, which would be alike, that no other name gives."""
+    return " ".join(f"u{name}w{i}" for i in range(n)).translate(str.maketrans("0123456789", "abcdefghij"))
+
+
+def test_long_lines_on_a_large_host(spark):
+    """3,000 texts: a passage in 1 % of them and one in 5 % go, short lines as common stay."""
+    rows = []
+    for i in range(3000):
+        shared = [worded("one", 12)] * (i % 100 == 0) + [worded("five", 8)] * (i % 20 == 1) + ["licensed under cc by"] * (i % 20 == 2)
+        rows.append((i, "hot", "\n".join([*shared, worded(i)])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    kept = {r.doc_id: r.text for r in line_quality.cleaned(docs).collect()}
+    assert len(kept) == 3000
+    assert all(text == (rows[i][2] if i % 20 == 2 else worded(i)) for i, text in kept.items())
