@@ -2,8 +2,8 @@
 
 A line that many different texts of one host carry is boilerplate: its normalised form is hashed,
 the different texts of each host that contain it are counted, lines above the limits are removed,
-and documents of which too little remains are rejected.  Exact copies count as one text, so that a
-text which is merely repeated does not make its own lines boilerplate.
+and documents of which too little remains are rejected.  Exact copies count as one text, and near
+copies about as one, so that a text which is merely repeated does not make its own lines boilerplate.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ class Limits:
     """A line is boilerplate on a host with at least ``texts`` different texts that have it; one of
     fewer than ``long`` words, which texts may share by chance, only if they are more than ``share``
     of the host's.  A document is depleted when less than ``remaining`` of its words stay.  ``words``
-    and ``repeated`` are the limits of the base rules."""
+    and ``repeated`` are the limits of the base rules.  Texts are near copies when lines that they
+    share hold ``alike`` of their words."""
 
     texts: int = 5
     share: float = 0.1
@@ -32,9 +33,12 @@ class Limits:
     words: int = 50
     repeated: float = 0.5
     long: int = 8
+    alike: float = 0.8
 
 
 LIMITS = Limits()
+# a text, in the units in which its near copies are parts of one
+ONE = 1_000_000
 SYMBOLS = b"#*$%&|<>"
 _DIGITS = re.compile(rb"[0-9]+")
 
@@ -107,20 +111,54 @@ def measured(docs: DataFrame, host: str = "source") -> DataFrame:
     return rows.select("doc_id", "host", "text_key", "m.*")
 
 
+def _as_one(texts: DataFrame, limits: Limits) -> DataFrame:
+    """``host, text_key, less`` of the texts that have near copies: what they lack to a whole text, in
+    millionths.
+
+    A text's near copies are as many as share lines that hold ``alike`` of its words: the most n
+    for which its lines that n texts have hold so much.  It counts as one nth, whichever lines the
+    copies differ in, so that all of them count about once."""
+    lines = texts.select("host", "text_key", "n_words", F.inline("lines"))
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    shared = counts.select(F.col("host").alias("_host"), F.col("line").alias("_line"), "texts")
+    hit = lines.join(shared, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")))
+    grouped = hit.groupBy("host", "text_key").agg(
+        F.first("n_words").alias("n_words"), F.sum("words").alias("shared"), F.collect_list(F.struct("texts", "words")).alias("found")
+    )
+    needed = F.lit(limits.alike) * F.col("n_words")
+    start = F.struct(F.lit(0).cast("bigint").alias("words"), F.lit(1).cast("bigint").alias("texts"))
+
+    def step(state: Column, line: Column) -> Column:
+        words = state["words"] + line["words"]
+        reached = (state["texts"] == 1) & (words >= needed)
+        return F.struct(words.alias("words"), F.when(reached, line["texts"]).otherwise(state["texts"]).alias("texts"))
+
+    copies = F.aggregate(F.sort_array("found", asc=False), start, step, lambda state: state["texts"])
+    return grouped.where(F.col("shared") >= needed).select(
+        F.col("host").alias("_host"), F.col("text_key").alias("_text_key"), (F.lit(ONE) - F.ceil(F.lit(ONE) / copies)).alias("less")
+    )
+
+
 def boilerplate(texts: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """``host, line`` above the limits, from one row per host and text."""
-    sizes = texts.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("host_texts"))
-    counts = texts.select("host", F.inline("lines")).groupBy("host", "line").agg(
-        F.count(F.lit(1)).alias("texts"), F.first("size").alias("size")
-    ).where(F.col("texts") >= limits.texts)
+    """``host, line`` above the limits, from one row per host and text; where the texts' number of
+    words is known, near copies count about once."""
+    counted = texts.withColumn("less", F.lit(0))
+    if "n_words" in texts.columns:
+        same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("text_key") == F.col("_text_key"))
+        counted = texts.join(_as_one(texts, limits), same, "left").withColumn("less", F.coalesce("less", F.lit(0)))
+    units = F.count(F.lit(1)) * ONE - F.sum("less")
+    sizes = counted.groupBy(F.col("host").alias("_host")).agg(units.alias("host_units"))
+    counts = counted.select("host", "less", F.inline("lines")).groupBy("host", "line").agg(
+        units.alias("units"), F.first("size").alias("size")
+    ).where(F.col("units") >= limits.texts * ONE)
     above = counts.join(sizes, F.col("host").eqNullSafe(F.col("_host")))
-    common = (F.col("size") >= limits.long) | (F.col("texts") > F.lit(limits.share) * F.col("host_texts"))
+    common = (F.col("size") >= limits.long) | (F.col("units") > F.lit(limits.share) * F.col("host_units"))
     return above.where(common).select("host", "line")
 
 
 def depletion(rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """For each host and text that has boilerplate: its ``removed_words`` and ``removed_lines``."""
-    texts = rows.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
+    texts = rows.groupBy("host", "text_key").agg(F.first("n_words").alias("n_words"), F.first("lines").alias("lines"))
     found = boilerplate(texts, limits).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
     lines = texts.select("host", "text_key", F.inline("lines"))
     hit = lines.join(found, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")))

@@ -74,3 +74,24 @@ def test_long_lines_on_a_large_host(spark):
     kept = {r.doc_id: r.text for r in line_quality.cleaned(docs).collect()}
     assert len(kept) == 3000
     assert all(text == (rows[i][2] if i % 20 == 2 else worded(i)) for i, text in kept.items())
+
+
+def test_near_copies_do_not_make_their_own_lines_boilerplate(spark):
+    """Near copies of one document, each with other lines edited, are 30 % of one host and nearly all
+    of a small one; a footer that they share with other texts still goes."""
+    footer = worded("footer", 8)
+    clean = [worded(f"clean{k}", 8) for k in range(20)]
+
+    def copy(host, i):
+        edited = {i % 20, i * 7 % 20, i * 3 % 20}
+        return "\n".join([worded(f"{host}{i}edit{k}", 8) if k in edited else line for k, line in enumerate(clean)])
+
+    texts = [("large", copy("large", i)) for i in range(300)] + [("large", worded(f"other{i}") + f"\n{footer}") for i in range(700)]
+    texts += [("small", copy("small", i)) for i in range(5)] + [("small", worded(f"small{i}")) for i in range(44)]
+    # six documents with five near copies each: the line that all have is in six different texts
+    texts += [("six", "\n".join([footer, *[worded(f"doc{d}line{k}", 8) for k in range(9)], worded(f"doc{d}own{i}", 8)])) for d in range(6) for i in range(5)]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id bigint, source string, text string")
+    kept = {r.doc_id: r.text for r in line_quality.cleaned(docs).collect()}
+    assert len(kept) == len(texts)
+    for i, (_, text) in enumerate(texts):
+        assert kept[i] == "\n".join(line for line in text.split("\n") if line != footer)
