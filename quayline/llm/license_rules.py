@@ -83,16 +83,17 @@ LICENCES = [
     Licence("zpl", "zope|zpl", "zope public|zpl( 2 [01])?", ("zpl 2 [01]",), ("zope org resources license",)),
 ]
 
-# sentences by which a licence's text or notice is known: fixed values
+# sentences by which a licence's text or notice is known, behind words that are in each of their
+# alternatives: fixed values
 NOTICES = [
     ("agpl", "affero", "free software foundation either version 3 of the gnu affero general public license"),
     ("apache", "compliance with the license", "you may not use this file except in compliance with the license"),
-    ("apache", "apache org", "unless required by applicable law or agreed to in writing software distributed under the license"),
-    ("artistic", "artistic", "the intent of this document is to state the conditions under which a package may be copied"),
-    ("boost", "boost", "to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("apache", "unless required", "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("artistic", "the intent", "the intent of this document is to state the conditions under which a package may be copied"),
+    ("boost", "person or organization", "to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "contributors", "neither the name of .{0,80} nor the names of its contributors may be used to endorse or promote"),
-    ("cc0", "related rights", "waived all copyright and related or neighboring rights"),
+    ("cc0", "neighboring rights", "waived all copyright and related or neighboring rights"),
     ("epl", "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("gpl", "free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("gpl", "general public", "you should have received a copy of the gnu general public license"),
@@ -104,7 +105,7 @@ NOTICES = [
     ("ofl", "font software", "this font software is licensed under the sil open font license"),
     ("proprietary", "all rights", "all rights reserved"),
     ("proprietary", "confidential", "(proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", "redistribut", "may not be (reproduced|copied|redistributed) (in any form )?without (prior )?written permission"),
+    ("proprietary", "written permission", "may not be (reproduced|copied|redistributed) (in any form )?without (prior )?written permission"),
     ("public-domain", "public domain", "(released|placed|dedicated) (in)?to the public domain"),
     ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
     ("wtfpl", "you just do", "you just do what the fuck you want to"),

@@ -1,5 +1,8 @@
+from itertools import product
+from re import _constants as sre, _parser as parser
+
 from quayline.llm import licenses
-from quayline.llm.license_rules import ANCHORS, CONFIDENCE, LICENCES, RULES
+from quayline.llm.license_rules import ANCHORS, CONFIDENCE, LICENCES, NOTICES, RULES
 from tests.llm import brute
 
 TEXTS = [
@@ -72,3 +75,48 @@ def top_level(names):
 def test_no_python_on_the_executors(sample):
     plan = licenses.digests(sample)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def strings(pattern):
+    """What a rule's pattern matches: all of it up to some thousands, else every alternative at least once."""
+
+    def of(parsed):
+        parts = []
+        for kind, value in parsed:
+            if kind is sre.LITERAL:
+                parts.append([chr(value)])
+            elif kind is sre.IN:
+                parts.append([chr(c) for k, c in value if k is sre.LITERAL] + [chr(c) for k, r in value if k is sre.RANGE for c in r])
+            elif kind is sre.SUBPATTERN:
+                parts.append(of(value[3]))
+            elif kind is sre.BRANCH:
+                parts.append([s for branch in value[1] for s in of(branch)])
+            elif value[2][0][0] is sre.ANY:
+                parts.append(["any"])
+            else:
+                assert kind is sre.MAX_REPEAT and value[:2] == (0, 1)
+                parts.append(["", *of(value[2])])
+        count = 1
+        for part in parts:
+            count *= len(part)
+        if count <= 3000:
+            return ["".join(p) for p in product(*parts)]
+        return ["".join(part[i % len(part)] for part in parts) for i in range(max(map(len, parts)))]
+
+    return of(parser.parse(pattern))
+
+
+def test_gates_hold_on_all_that_a_rule_matches():
+    for rule in RULES:
+        for text in strings(rule.pattern):
+            line = f" {text} "
+            assert any(f" {k}" in line for k in rule.keywords) and f" {rule.also}" in line, (rule, text)
+            assert any(anchor in text for anchor in ANCHORS), (rule, text)
+
+
+def test_every_notice_is_found(spark):
+    rows = [(label, text) for label, _, sentence in NOTICES for text in strings(sentence)]
+    docs = spark.createDataFrame([(i, text, label) for i, (label, text) in enumerate(rows)], "doc_id bigint, text string, label string")
+    check(docs)
+    for r in licenses.digests(docs).collect():
+        assert rows[r.doc_id][0] in r.labels.split(","), rows[r.doc_id]
