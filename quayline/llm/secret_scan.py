@@ -4,7 +4,9 @@ A candidate is a run of characters that occur in encoded secrets.  Its character
 narrowest of hexadecimal digits, letters and digits, and base64 characters that holds it; a window slides over
 it, one character enters and one leaves the counts at each step, and the sum of c*log2(c) is
 updated by the two counts that change.  The candidate is a secret if any window's Shannon entropy
-reaches its class's threshold and no allow-list rule covers it.
+reaches its class's threshold and no allow-list rule covers it.  Candidates swallow paths and names in
+front of a key, so each part between separators is judged by its own class too, and what an allow-list
+rule covers does not clear the rest.
 """
 
 from __future__ import annotations
@@ -51,6 +53,22 @@ ALLOWED = [
     "sha(1|256|384|512)[-_=].*",  # published digests
     ".*(EXAMPLE|example|PLACEHOLDER|placeholder|xxxxxxxx|XXXXXXXX|00000000|12345678).*",  # samples
 ]
+# a part of a candidate stands between separators; letters of one case have thresholds that most
+# random keys of 24 characters reach in base 32 and in base 36, lower-case ones a higher one, since
+# names and strings of few letters come nearer to it
+SEPARATORS = "+/_=-"
+PART_CLASSES = [
+    CLASSES[0],
+    CharacterClass(_DIGITS + _LOWER, 3.7),
+    CharacterClass(_DIGITS + _LOWER.upper(), 3.6),
+    CLASSES[1],
+]
+# what of a candidate the allow-list covers when more follows: a digest is as long as its kind in
+# hexadecimal digits at most, a sample word clears the part that it is in
+COVERED = (
+    "^sha(1[-_=].{0,40}|256[-_=].{0,64}|384[-_=].{0,96}|512[-_=].{0,128})|"
+    "[A-Za-z0-9]*(EXAMPLE|example|PLACEHOLDER|placeholder|xxxxxxxx|XXXXXXXX|00000000|12345678)[A-Za-z0-9]*"
+)
 
 
 def _none() -> Column:
@@ -131,22 +149,31 @@ def window_entropy(characters: Column, alphabet: str, window: int = WINDOW) -> C
     return F.aggregate(F.sequence(F.lit(1), F.size(characters)), start, step, lambda s: s["best"])
 
 
-def looks_random(candidate: Column) -> Column:
+def looks_random(candidate: Column, classes: list[CharacterClass] = CLASSES) -> Column:
     """Whether a window of the candidate reaches the threshold of its character class."""
     characters = F.split(candidate, "")
     found = F.lit(False)
-    for kind in reversed(CLASSES):
+    for kind in reversed(classes):
         fits = F.length(F.translate(candidate, kind.alphabet, "")) == 0
         found = F.when(fits, window_entropy(characters, kind.alphabet) >= kind.bits - ROUNDING).otherwise(found)
     return found
 
 
+def is_secret(candidate: Column) -> Column:
+    """Whether the candidate, what the allow-list leaves of it or a part of that looks random."""
+    allowed = "^(" + "|".join(f"({rule})" for rule in ALLOWED) + ")$"
+    long = lambda pieces: F.filter(pieces, lambda x: (F.length(x) >= WINDOW) & ~x.rlike(allowed))
+    left = F.split(F.regexp_replace(candidate, COVERED, " "), f"[{SEPARATORS}]* [{SEPARATORS}]*")
+    whole = F.when(candidate.rlike(allowed), long(left)).otherwise(F.array(candidate))
+    parts = long(F.flatten(F.transform(left, lambda x: F.split(x, f"[{SEPARATORS}]+"))))
+    return F.exists(whole, lambda x: looks_random(x)) | F.exists(parts, lambda x: looks_random(x, PART_CLASSES))
+
+
 def entropy_spans(text: Column) -> Column:
     """Spans of the candidates that look random and that the allow-list does not cover."""
     spans, found = match_spans(text, F.lit(CANDIDATE)), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     both = F.zip_with(spans, found, lambda s, c: F.struct(s.alias("s"), c.alias("c")))
-    allowed = "^(" + "|".join(f"({rule})" for rule in ALLOWED) + ")$"
-    kept = F.filter(both, lambda b: F.when(b["c"].rlike(allowed), F.lit(False)).otherwise(looks_random(b["c"])))
+    kept = F.filter(both, lambda b: is_secret(b["c"]))
     return F.when(text.rlike(CANDIDATE), _as_kind(F.transform(kept, lambda b: b["s"]), "entropy")).otherwise(_none())
 
 

@@ -79,3 +79,23 @@ def test_redaction(spark, odd):
 def test_no_python_on_the_executors(sample):
     plan = secret_scan.digests(sample)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_keys_behind_prefixes(spark):
+    """Hexadecimal, base-32 and base-36 keys behind paths, names and what the allow-list covers."""
+    rng = random.Random(5)
+    alphabets = ["0123456789ABCDEF", "0123456789abcdefABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz"]
+    prefixes = ["", "hooks/", "session_", "id=", "a-b+", "example/", "EXAMPLE_KEY=", "sha256-" + "0" * 64 + "/"]
+    keys = [("".join(rng.choice(a) for _ in range(n))) for a in alphabets for n in (24, 40) for _ in range(8)]
+    texts = [p + key for key in keys for p in prefixes]
+    clear = [
+        "example/path/to/some/very/long/directory", "sha256-" + "k9Xv2Lq8Rt5Yb1Nc7Wd3Pz6Hf4Jg0Ms/k9Xv2Lq8Rt5Yb1Nc7Wd3Pz6H=",
+        "name_550e8400-e29b-41d4", "EXAMPLEk9Xv2Lq8Rt5Yb1Nc7Wd3Pz6Hf4Jg0Ms", "example_1234-5678-9012-3456-7890-1234",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts + clear)), "doc_id bigint, text string")
+    found = {r.doc_id: r.spans for r in secret_scan.digests(docs).collect()}
+    missed = [t for i, t in enumerate(texts) if not found[i]]
+    assert len(missed) <= 0.02 * len(texts), missed
+    assert not any(found[len(texts) + i] for i in range(len(clear)))
+    masked = secret_scan.redacted(docs.where(f"doc_id < {len(texts)}")).where(F.col("text").contains(secret_scan.MASK))
+    assert masked.count() == len(texts) - len(missed)
