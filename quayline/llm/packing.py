@@ -109,7 +109,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
 
 
 class Words:
-    """Token ids of words, from the tokenizer or from earlier in this worker."""
+    """Token ids of words, from the tokenizer or from earlier in this worker.
+
+    Names of special tokens in a text, such as ``<|endoftext|>``, are spelled out like other text,
+    so that no document can set an end mark; the tokenizer as loaded would give their ids."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
