@@ -252,9 +252,73 @@ WARC = f"""
     FROM block
 """
 
+# levels of the Merkle SQL: 16 million rows of one source, 4,096 sources
+LEAF_LEVELS, TOP_LEVELS = 6, 3
+
+
+def leaf_sql(text: str) -> str:
+    values = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+def climb_sql(nodes: str, walk: str, levels: int) -> str:
+    """Tables ``<nodes>1 ...`` of parents and ``<walk>1 ...`` of leaves that have climbed so far."""
+    steps = []
+    for k in range(levels):
+        steps.append(f"""
+    {nodes}_run{k} AS (SELECT g, pos // 16 AS up, n, list(h ORDER BY pos) AS run FROM {nodes}{k} GROUP BY ALL),
+    {nodes}{k + 1} AS (
+        SELECT g, up AS pos, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN run[1] ELSE sha256(array_to_string(run, '')) END AS h FROM {nodes}_run{k}
+    ),
+    {walk}_pair{k} AS (
+        SELECT w.*, r.n, array_to_string(run[1:pos % 16], '') AS lower_part, array_to_string(run[pos % 16 + 2:], '') AS upper_part
+        FROM {walk}{k} w JOIN {nodes}_run{k} r ON r.g = w.g AND r.up = w.pos // 16
+    ),
+    {walk}{k + 1} AS (
+        SELECT row, doc_id, g, leaf, pos // 16 AS pos, CASE WHEN n = 1 THEN cur ELSE sha256(lower_part || cur || upper_part) END AS cur,
+               CASE WHEN n = 1 THEN proof ELSE proof || lower_part || upper_part END AS proof
+        FROM {walk}_pair{k}
+    ),""")
+    return "".join(steps)
+
+
+MERKLE = f"""
+    WITH crc AS (
+        SELECT list_transform(range(256), lambda i: list_reduce(
+            list_prepend(CAST(i AS UBIGINT), list_transform(range(8), lambda x: CAST(0 AS UBIGINT))),
+            lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps
+    ),
+    digits AS (SELECT row_number() OVER () AS row, *, CAST(doc_id AS VARCHAR) AS digits FROM documents),
+    checked AS (
+        SELECT digits.*, list_reduce(
+            list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split(digits, ''), lambda d: CAST(unicode(d) AS UBIGINT))),
+            lambda c, d: xor(c // 256, steps[CAST(xor(c % 256, d) AS BIGINT) + 1])) AS crc
+        FROM digits, crc
+    ),
+    hashed AS (
+        SELECT row, doc_id, coalesce('s' || source, 'n') AS g, {leaf_sql("text")} AS h,
+               CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN {leaf_sql(f"translate(text, {A_TO_Z})")} END AS altered
+        FROM checked
+    ),
+    leaf AS (
+        SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h, row) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM hashed
+    ),
+    node0 AS (SELECT g, pos, n, h FROM leaf),
+    walk0 AS (SELECT row, doc_id, g, h AS leaf, pos, coalesce(altered, h) AS cur, '' AS proof FROM leaf),{climb_sql("node", "walk", LEAF_LEVELS)}
+    subroots AS (SELECT g AS name, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM node{LEAF_LEVELS}),
+    top0 AS (SELECT 0 AS g, pos, n, h FROM subroots),
+    top_walk0 AS (
+        SELECT row, doc_id, 0 AS g, leaf, s.pos, cur, proof FROM walk{LEAF_LEVELS} w JOIN subroots s ON s.name = w.g
+    ),{climb_sql("top", "top_walk", TOP_LEVELS)}
+    done AS (SELECT row, leaf, cur, proof, doc_id FROM top_walk{TOP_LEVELS})
+    SELECT done.doc_id, done.leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = t.h AS verified
+    FROM done JOIN leaf USING (row) JOIN subroots s ON s.name = leaf.g, top{TOP_LEVELS} t
+"""
+
 SQL: dict[str, str] = {
     "op4_line_quality": LINE_QUALITY,
     "op5_secret_scan": SECRETS,
     "op6_license_scan": LICENSES,
     "op10_warc_derivatives": WARC,
+    "op11_merkle_manifest": MERKLE,
 }
