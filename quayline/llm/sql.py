@@ -315,10 +315,46 @@ MERKLE = f"""
     FROM done JOIN leaf USING (row) JOIN subroots s ON s.name = leaf.g, top{TOP_LEVELS} t
 """
 
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def terms_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), {A_TO_Z}), '{TERM}')"
+
+
+RANKED = f"""
+    WITH doc AS (SELECT row_number() OVER () AS row, doc_id, {terms_sql("text")} AS terms FROM documents),
+    facts AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS total FROM doc WHERE len(terms) > 0),
+    item AS (SELECT row_number() OVER () AS item, item_id, {terms_sql("text")} AS terms FROM benchmark),
+    wanted AS (SELECT DISTINCT item, unnest(terms) AS term FROM item),
+    held AS (
+        SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM doc)
+        WHERE term IN (SELECT term FROM wanted) GROUP BY row, term
+    ),
+    weight AS (
+        SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+        FROM held, facts GROUP BY term, n_docs
+    ),
+    share AS (
+        SELECT row, doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(terms) * n_docs) // total)) AS s
+        FROM held JOIN doc USING (row), facts
+    ),
+    scored AS (
+        SELECT item, row, doc_id, CAST(sum(w * s) AS BIGINT) AS score
+        FROM wanted JOIN weight USING (term) JOIN share USING (term) GROUP BY item, row, doc_id
+    ),
+    placed AS (
+        SELECT item, doc_id, score, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+        FROM scored WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM placed JOIN item USING (item) WHERE rank <= 10
+"""
+
 SQL: dict[str, str] = {
     "op4_line_quality": LINE_QUALITY,
     "op5_secret_scan": SECRETS,
     "op6_license_scan": LICENSES,
     "op10_warc_derivatives": WARC,
     "op11_merkle_manifest": MERKLE,
+    "op13_ranked_search": RANKED,
 }
