@@ -6,7 +6,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quayline.llm import byte_bpe, licenses, line_quality, merkle, packing, ranked_search, secret_scan, sharding, simhash, sketches, toxicity, warc
+from quayline.llm import (
+    byte_bpe, html_extract, licenses, line_quality, merkle, packing, ranked_search, secret_scan, sharding, simhash, sketches,
+    toxicity, warc,
+)
 from quayline.llm.common import documents
 
 
@@ -65,6 +68,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.digests(documents(spark, sf_dir))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
 
@@ -74,6 +81,6 @@ QUERIES = {
     for query in (
         op1_best_fit_packing, op2_simhash, op3_toxicity, op4_line_quality, op5_secret_scan, op6_license_scan,
         op7_rendezvous_shards, op8_scaled_sketch, op9_byte_bpe, op10_warc_derivatives,
-        op11_merkle_manifest, op13_ranked_search,
+        op11_merkle_manifest, op12_main_text, op13_ranked_search,
     )
 }
