@@ -1,4 +1,4 @@
-"""The streaming reports driven to the end of stored data."""
+"""The streaming reports over stored data: each is one query that runs until it has read everything."""
 
 from __future__ import annotations
 
@@ -7,22 +7,24 @@ import datetime as dt
 from pyspark.sql import DataFrame, functions as F
 
 from quayline.operators import boards
-from quayline.operators.ledger import ledger_entries, placed_orders
-from quayline.operators.orders import orders_of_segment, orders_with_totals
+from quayline.operators.ledger import ledger_entries
+from quayline.operators.orders import orders_of_segment
 from quayline.plans.fulfilment import AS_OF
 from quayline.plans.shipping_priority import SEGMENT, K
-from quayline.sources.ledger import stream_ledger_text, write_ledger_text
+from quayline.sources.ledger import COLUMNS, stream_ledger_text, write_ledger, write_ledger_text
 from quayline.sources.tables import Tables
 from quayline.storage import fresh_dir
-from quayline.streaming import ledger as live
+from quayline.streaming import ledger as live, state
+from quayline.streaming.enrichment import JOINED, Reach, entry_stream_of_joined, joined_entries, joined_lines, start_joined_lines
 from quayline.streaming.monitor import daily_order_stream, daily_segment_stream, start_daily_segment_counts
-from quayline.streaming.replay import ROWS_PER_PERIOD, replay
-from quayline.streaming.sources import stream_table
+from quayline.streaming.sources import ended, stream_table
 from quayline.streaming.words import latest_counts, start_word_count
 
 # the registered late feed: every so many-th order before this day arrives after all others
 LATE_KEYS = 50
 LATE_BEFORE = dt.date(1997, 1, 1)
+# the given tables ship lines up to seven years before and after their orders
+TABLES_REACH = Reach(before=7 * 366, after=7 * 366)
 
 
 def _segment_ledger(tables: Tables, segment: str, until: dt.date, rounded: bool = False) -> DataFrame:
@@ -31,143 +33,152 @@ def _segment_ledger(tables: Tables, segment: str, until: dt.date, rounded: bool
     return entries.where(F.col("event_date") <= F.lit(until))
 
 
-def leaderboard_of_ledger_stream(
-    tables: Tables,
-    segment: str = SEGMENT,
-    until: dt.date = AS_OF,
-    k: int = K,
-    rows: int = ROWS_PER_PERIOD,
-) -> DataFrame:
+def _stored_ledger(tables: Tables, segment: str, until: dt.date, root: str) -> DataFrame:
+    """The segment's ledger as a stream over its stored table."""
+    write_ledger(_segment_ledger(tables, segment, until), f"{root}/ledger")
+    return stream_table(tables.spark, f"{root}/ledger").select(*COLUMNS)
+
+
+def leaderboard_of_ledger_stream(tables: Tables, segment: str = SEGMENT, until: dt.date = AS_OF, k: int = K) -> DataFrame:
     """The board after the merged ledger has streamed in up to ``until``.  It stands at the
     last finished day, one day before the newest entry."""
     spark = tables.spark
     root = fresh_dir(spark, "ledger-stream")
-
-    def start(streams: dict[str, DataFrame]):
-        deltas = live.day_delta_stream(live.entry_stream(streams["ledger"]))
-        return live.start_day_deltas(deltas, f"{root}/deltas", f"{root}/checkpoint")
-
-    replay(spark, {"ledger": (_segment_ledger(tables, segment, until), "event_date")}, root, start, rows)
+    deltas = live.day_delta_stream(live.entry_stream(_stored_ledger(tables, segment, until, root)))
+    live.start_day_deltas(deltas, f"{root}/deltas", f"{root}/checkpoint").awaitTermination()
     return boards.board(live.finished_balances(live.read_deltas(spark, f"{root}/deltas")), k)
 
 
-def leaderboard_of_ledger_text(
-    tables: Tables,
-    segment: str = SEGMENT,
-    until: dt.date = AS_OF,
-    k: int = K,
-    rows: int = ROWS_PER_PERIOD,
-) -> DataFrame:
+def leaderboard_of_ledger_text(tables: Tables, segment: str = SEGMENT, until: dt.date = AS_OF, k: int = K) -> DataFrame:
     """The board after the ledger's exchange files (whole cents) have streamed in."""
     spark = tables.spark
     root = fresh_dir(spark, "ledger-text-stream")
-
-    def start(streams: dict[str, DataFrame]):
-        deltas = live.day_delta_stream(live.entry_stream(streams["ledger"]))
-        return live.start_day_deltas(deltas, f"{root}/deltas", f"{root}/checkpoint")
-
-    replay(
-        spark,
-        {"ledger": (_segment_ledger(tables, segment, until, rounded=True), "event_date")},
-        root,
-        start,
-        rows,
-        write=lambda new, path: write_ledger_text(new, path, mode="append"),
-        read=lambda spark, path, _: stream_ledger_text(spark, path),
-    )
+    write_ledger_text(_segment_ledger(tables, segment, until, rounded=True), f"{root}/ledger")
+    deltas = live.day_delta_stream(live.entry_stream(stream_ledger_text(spark, f"{root}/ledger")))
+    live.start_day_deltas(deltas, f"{root}/deltas", f"{root}/checkpoint").awaitTermination()
     return boards.board(live.finished_balances(live.read_deltas(spark, f"{root}/deltas")), k)
 
 
-def leaderboard_of_refreshes(
-    tables: Tables,
-    segment: str = SEGMENT,
-    until: dt.date = AS_OF,
-    k: int = K,
-    rows: int = ROWS_PER_PERIOD,
-) -> DataFrame:
+def leaderboard_of_refreshes(tables: Tables, segment: str = SEGMENT, until: dt.date = AS_OF, k: int = K) -> DataFrame:
     """The last board a periodically refreshed leaderboard has published, with its day."""
     spark = tables.spark
     root = fresh_dir(spark, "board-refresh")
+    deltas = live.day_delta_stream(live.entry_stream(_stored_ledger(tables, segment, until, root)))
+    live.start_board_refresh(deltas, f"{root}/out", f"{root}/checkpoint", k).awaitTermination()
+    return live.newest_board(spark, f"{root}/out")
+
+
+def leaderboard_of_versions(
+    tables: Tables, segment: str = SEGMENT, head: dt.date = AS_OF, k: int = K, versions: int = 3
+) -> DataFrame:
+    """The board of orders whose newest ``versions`` balances the stream remembers, after entries
+    up to ``head`` have arrived; it stands one day before."""
+    spark = tables.spark
+    root = fresh_dir(spark, "versions-stream")
+    entries = live.entry_stream(_stored_ledger(tables, segment, head, root))
+    with state.column_family_store(spark):
+        query = live.start_day_deltas(state.balance_changes(entries, versions), f"{root}/changes", f"{root}/checkpoint")
+        query.awaitTermination()
+    known = live.newest_balances(spark.read.parquet(f"{root}/changes"))
+    return boards.board(known, k).drop("event_date")
 
-    def start(streams: dict[str, DataFrame]):
-        deltas = live.day_delta_stream(live.entry_stream(streams["ledger"]))
-        return live.start_board_refresh(deltas, f"{root}/out", f"{root}/checkpoint", k)
 
-    replay(spark, {"ledger": (_segment_ledger(tables, segment, until), "event_date")}, root, start, rows)
-    published = spark.read.parquet(f"{root}/out/board").drop("batch")
-    return published.where(F.col("as_of") == published.agg(F.max("as_of")).scalar())
+def _table_streams(tables: Tables, segment: str, until: dt.date) -> tuple[DataFrame, DataFrame]:
+    """The segment's orders up to ``until`` and all lines, as streams over their tables."""
+    customers = tables.customer.where(F.col("c_mktsegment") == segment).select(F.col("c_custkey").alias("o_custkey"))
+    orders = stream_table(tables.spark, f"{tables.path}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = stream_table(tables.spark, f"{tables.path}/lineitem.parquet")
+    placed = orders.where(F.col("o_orderdate") <= F.lit(until)).join(customers, "o_custkey", "left_semi")
+    return placed, lines.select("l_orderkey", "l_extendedprice", "l_discount", "l_shipdate")
+
+
+def _joined(tables: Tables, segment: str, until: dt.date, reach: Reach, root: str) -> str:
+    """Runs the join of the two streams; where the joined lines are."""
+    joined = joined_lines(*_table_streams(tables, segment, until), reach)
+    start_joined_lines(joined, f"{root}/joined", f"{root}/checkpoint-join").awaitTermination()
+    return f"{root}/joined"
 
 
 def leaderboard_of_two_streams(
-    tables: Tables,
-    segment: str = SEGMENT,
-    until: dt.date = AS_OF,
-    k: int = K,
-    buckets: int = 8,
-    rows: int = ROWS_PER_PERIOD,
+    tables: Tables, segment: str = SEGMENT, until: dt.date = AS_OF, k: int = K, buckets: int = 8, reach: Reach = TABLES_REACH
 ) -> DataFrame:
-    """The same board from separate order and line streams, merged per bucket of the key."""
+    """The same board from separate order and line streams: one query joins them as they arrive, a second
+    keeps balances per order and boards per bucket of the key and publishes the merged board.  It
+    stands one day before ``until``, where the feed ends."""
     spark = tables.spark
     root = fresh_dir(spark, "two-streams")
-    orders = placed_orders(orders_of_segment(tables.orders, tables.customer, segment))
-    book = orders_with_totals(orders.select("o_orderkey"), tables.lineitem)
-    book.withColumnRenamed("o_orderkey", "order_key").write.parquet(f"{root}/order-book")
-    order_book = spark.read.parquet(f"{root}/order-book")
-
-    order_feed = orders.select("o_orderkey", "o_orderdate").where(F.col("o_orderdate") <= F.lit(until))
-    # only the lines of the book's orders are staged and held in state
-    wanted = order_book.select(F.col("order_key").alias("l_orderkey"))
-    line_feed = (
-        tables.lineitem.select("l_orderkey", "l_extendedprice", "l_discount", "l_shipdate")
-        .where(F.col("l_shipdate") <= F.lit(until))
-        .join(wanted, "l_orderkey", "left_semi")
-    )
+    joined = stream_table(spark, _joined(tables, segment, until, reach, root), JOINED)
+    entries = entry_stream_of_joined(ended(joined, "order_date", root, until))
+    with state.column_family_store(spark):
+        best = state.bucket_boards(state.balance_changes(entries), k, buckets)
+        live.start_two_phase_board(best, f"{root}/out", f"{root}/checkpoint", k).awaitTermination()
+    return live.newest_board(spark, f"{root}/out").drop("as_of")
 
-    def start(streams: dict[str, DataFrame]):
-        entries = live.union_stream(streams["orders"], streams["lines"])
-        deltas = live.add_order_amounts(live.day_delta_stream(entries), order_book)
-        return live.start_day_deltas(deltas, f"{root}/deltas", f"{root}/checkpoint")
 
-    feeds = {"orders": (order_feed, "o_orderdate"), "lines": (line_feed, "l_shipdate")}
-    replay(spark, feeds, root, start, rows)
-    balances = live.finished_balances(live.read_deltas(spark, f"{root}/deltas"))
-    return boards.two_phase_board(balances, k, buckets)
+def enriched_entries_stream(tables: Tables, segment: str = SEGMENT, until: dt.date = AS_OF, reach: Reach = TABLES_REACH) -> DataFrame:
+    """Amounts per order, customer and day up to the day before ``until`` from the two streams joined as
+    they arrive: deltas that no batch job has prepared."""
+    spark = tables.spark
+    joined = spark.read.schema(JOINED).parquet(_joined(tables, segment, until, reach, fresh_dir(spark, "enriched")))
+    entries = joined_entries(joined).where(F.col("event_date") < F.lit(until))
+    return entries.groupBy("order_key", "cust_key", "event_date").agg(F.sum("amount").alias("amount"))
 
 
-def daily_segment_orders_stream(tables: Tables, rows: int = ROWS_PER_PERIOD) -> DataFrame:
+def corrected_deltas_stream(
+    tables: Tables, segment: str = SEGMENT, until: dt.date = AS_OF, keys: int = LATE_KEYS, before: dt.date = LATE_BEFORE
+) -> DataFrame:
+    """Day deltas when the entries before ``before`` of every ``keys``-th order are delivered after all
+    others, to one running query whose watermark has passed their days: they come out as
+    corrections (``corrected``) and the merged deltas are exact."""
+    spark = tables.spark
+    root = fresh_dir(spark, "corrected")
+    ledger = _segment_ledger(tables, segment, until)
+    late = (F.col("order_key") % keys == 0) & (F.col("event_date") < F.lit(before))
+    write_ledger(ledger.where(~late), f"{root}/ledger")
+    entries = live.entry_stream(stream_table(spark, f"{root}/ledger").select(*COLUMNS))
+    with state.column_family_store(spark):
+        query = live.start_day_deltas(
+            state.corrected_deltas(entries), f"{root}/deltas", f"{root}/checkpoint", processingTime="0 seconds"
+        )
+    try:
+        query.processAllAvailable()
+        write_ledger(ledger.where(late), f"{root}/ledger", mode="append")
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return live.merged_deltas(spark.read.parquet(f"{root}/deltas")).drop("order_date")
+
+
+def daily_segment_orders_stream(tables: Tables) -> DataFrame:
     """Order counts per segment of all days: the feed is finite, so its end closes the newest."""
     spark = tables.spark
     root = fresh_dir(spark, "segment-stream")
-    feed = tables.orders.select("o_orderkey", "o_custkey", "o_orderdate")
-
-    def start(streams: dict[str, DataFrame]):
-        counts = daily_segment_stream(streams["orders"], tables.customer)
-        return start_daily_segment_counts(counts, f"{root}/counts", f"{root}/checkpoint")
-
-    replay(spark, {"orders": (feed, "o_orderdate")}, root, start, rows, close=True)
+    feed = stream_table(spark, f"{tables.path}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    counts = daily_segment_stream(ended(feed, "o_orderdate", root), tables.customer)
+    start_daily_segment_counts(counts, f"{root}/counts", f"{root}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{root}/counts")
 
 
-def late_orders_stream(
-    tables: Tables,
-    keys: int = LATE_KEYS,
-    before: dt.date = LATE_BEFORE,
-    rows: int = ROWS_PER_PERIOD,
-) -> DataFrame:
-    """Orders per day when every ``keys``-th order from before ``before`` arrives after all
+def late_orders_stream(tables: Tables, keys: int = LATE_KEYS, before: dt.date = LATE_BEFORE) -> DataFrame:
+    """Orders per day when every ``keys``-th order from before ``before`` is delivered after all
     others: the watermark has passed their days, so they are dropped.  ``late_dropped`` says
     that the stream has reported so."""
     spark = tables.spark
     root = fresh_dir(spark, "late-stream")
-    feed = tables.orders.select("o_orderkey", "o_orderdate")
+    orders = tables.orders.select("o_orderkey", "o_orderdate")
     is_late = (F.col("o_orderkey") % keys == 0) & (F.col("o_orderdate") < F.lit(before))
-
-    def start(streams: dict[str, DataFrame]):
-        counts = daily_order_stream(streams["orders"])
-        return start_daily_segment_counts(counts, f"{root}/counts", f"{root}/checkpoint")
-
-    replay(spark, {"orders": (feed.where(~is_late), "o_orderdate")}, root, start, rows, close=True)
-    dropped = replay(spark, {"orders": (feed.where(is_late), "o_orderdate")}, root, start, rows, late=True)
+    orders.where(~is_late).write.parquet(f"{root}/orders")
+    feed = ended(stream_table(spark, f"{root}/orders", orders.schema), "o_orderdate", root)
+    query = start_daily_segment_counts(
+        daily_order_stream(feed), f"{root}/counts", f"{root}/checkpoint", processingTime="0 seconds"
+    )
+    try:
+        query.processAllAvailable()
+        orders.where(is_late).write.mode("append").parquet(f"{root}/orders")
+        query.processAllAvailable()
+        dropped = sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
+    finally:
+        query.stop()
     return spark.read.parquet(f"{root}/counts").withColumn("late_dropped", F.lit(dropped > 0))
 
 

@@ -15,9 +15,9 @@ COLUMNS = ["order_key", "cust_key", "amount", "event_date", "is_order"]
 _TEXT = ", ".join(f"{c} STRING" for c in COLUMNS)
 
 
-def write_ledger(ledger: DataFrame, path: str) -> None:
+def write_ledger(ledger: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Range-partitioned by date, so that an as-of read skips the files after its date."""
-    in_ledger_order(ledger.select(*COLUMNS)).write.parquet(path)
+    in_ledger_order(ledger.select(*COLUMNS)).write.mode(mode).parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ the sink give the board as of the last finished day, which is the day before the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,6 +17,7 @@ from quayline.functions.money import EXACT, line_revenue
 from quayline.operators import boards
 from quayline.operators.balances import is_open
 from quayline.storage import folders, remove
+from quayline.streaming import state
 from quayline.streaming.folding import Folds
 from quayline.streaming.sources import EVENT_TIME, with_event_time
 
@@ -115,17 +118,40 @@ def opening_balances(deltas: DataFrame, opening: DataFrame | None = None) -> Dat
     )
 
 
+def publish_board(top: DataFrame, path: str, number: int, keep: int | None = 2) -> None:
+    """Writes the board after batch ``number`` to ``board/batch=n``; a repeated batch rewrites its own.
+    Of all boards the newest ``keep`` stay, or all."""
+    spark = top.sparkSession
+    top.write.mode("overwrite").parquet(f"{path}/board/batch={number}")
+    if keep is None:
+        return
+    older = sorted(int(name.partition("=")[2]) for name in folders(spark, f"{path}/board"))
+    for batch_number in [n for n in older if n < number][: -(keep - 1) or None]:
+        remove(spark, f"{path}/board/batch={batch_number}")
+
+
+def _start_in_batches(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
+    return (
+        rows.writeStream.outputMode("append")
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .foreachBatch(each)
+        .start()
+    )
+
+
 def start_board_refresh(
-    deltas: DataFrame, path: str, checkpoint: str, k: int = 10, every: int = 20, **trigger
+    deltas: DataFrame, path: str, checkpoint: str, k: int = 10, every: int = 20, keep: int | None = 2, **trigger
 ) -> StreamingQuery:
     """The live leaderboard: with every micro-batch the board as of the last finished day.
 
     Below ``path``, ``opening`` holds the opening balances of every ``every``-th batch and the
-    deltas since, ``board/batch=n`` the board after batch n, of which the newest two are kept.
+    deltas since, ``board/batch=n`` the board after batch n, of which the newest ``keep`` are kept.
     A refresh therefore reads the open orders and a few batches rather than the history and
     writes its own deltas only, except for the batch that folds them.  A repeated batch
     rewrites its own folders.  A batch that finishes no day brings no new board.  Pass
-    ``processingTime="5 seconds"`` for a periodic refresh.
+    ``processingTime="5 seconds"`` for a periodic refresh; started again on the same ``path`` and
+    ``checkpoint`` it goes on where it was stopped or killed.
     """
     opening = Folds(f"{path}/opening", OPENING, every)
 
@@ -142,19 +168,68 @@ def start_board_refresh(
         rows = opening.before(spark, number + 1)
         placed = opening_balances(rows).where(F.col("order_date").isNotNull())
         top = boards.board(placed.withColumnRenamed("amount", "balance"), k)
-        top.withColumn("as_of", F.lit(as_of)).write.mode("overwrite").parquet(f"{path}/board/batch={number}")
-        older = sorted(int(name.partition("=")[2]) for name in folders(spark, f"{path}/board"))
-        for batch_number in [n for n in older if n < number][:-1]:
-            remove(spark, f"{path}/board/batch={batch_number}")
+        publish_board(top.withColumn("as_of", F.lit(as_of)), path, number, keep)
 
-    return (
-        deltas.writeStream.outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(refresh)
-        .start()
+    return _start_in_batches(deltas, refresh, checkpoint, trigger)
+
+
+def newest_bucket_boards(rows: DataFrame) -> DataFrame:
+    """Of each bucket the rows of its last publication."""
+    last = rows.groupBy("bucket").agg(F.max("seen").alias("seen"))
+    return rows.join(last, ["bucket", "seen"]).select(*rows.columns)
+
+
+def start_two_phase_board(
+    bucket_boards: DataFrame, path: str, checkpoint: str, k: int = 10, every: int = 20, keep: int | None = 2, **trigger
+) -> StreamingQuery:
+    """The live leaderboard merged from boards that the stream keeps per bucket (``state.bucket_boards``).
+
+    With every micro-batch that changes a bucket, the newest board of each bucket, ``k`` rows at most,
+    is merged to ``board/batch=n`` as of the watermark.  What is read and written is a board per bucket and the
+    changes since the last fold, whatever the number of open orders."""
+    kept = Folds(f"{path}/buckets", state.BucketBoards.OUT, every)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.persist()
+        try:
+            as_of = batch.agg(F.max("as_of")).first()[0]
+            kept.add(batch, number, newest_bucket_boards)
+        finally:
+            batch.unpersist()
+        if as_of is None:
+            return
+        best = newest_bucket_boards(kept.before(spark, number + 1)).where("order_key IS NOT NULL")
+        top = boards.board(best.select("order_key", "balance", F.date_from_unix_date("order_day").alias("order_date")), k)
+        publish_board(top.withColumn("as_of", F.date_from_unix_date(F.lit(as_of))), path, number, keep)
+
+    return _start_in_batches(bucket_boards, merge, checkpoint, trigger)
+
+
+def newest_board(spark: SparkSession, path: str) -> DataFrame:
+    """The board published last, with its day."""
+    published = spark.read.parquet(f"{path}/board")
+    return published.where(F.col("batch") == published.agg(F.max("batch")).scalar()).drop("batch")
+
+
+def merged_deltas(rows: DataFrame) -> DataFrame:
+    """Finished deltas with their corrections folded in: one row per order and day, ``corrected`` where
+    entries came late.  Rows without ``late`` are taken as on time."""
+    late = F.col("late") if "late" in rows.columns else F.lit(False)
+    return rows.groupBy("order_key", "event_date").agg(
+        F.sum("amount").cast(EXACT).alias("amount"), F.max("order_date").alias("order_date"), F.bool_or(late).alias("corrected")
     )
 
 
+def newest_balances(changes: DataFrame) -> DataFrame:
+    """From ``state.balance_changes``: each order's last published balance, where it has one."""
+    order = F.struct("seen", "balance", "order_day", "event_day")
+    last = changes.groupBy("order_key").agg(F.max_by(order, "seen").alias("last"))
+    return last.where("last.balance IS NOT NULL").select(
+        "order_key", "last.balance", F.date_from_unix_date("last.order_day").alias("order_date"),
+        F.date_from_unix_date("last.event_day").alias("event_date"),
+    )
+
+
 def read_deltas(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DELTAS).parquet(path)

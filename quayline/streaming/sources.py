@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType
 
 from quayline.functions.dates import day_to_event_time
 from quayline.sources.tables import days_as_dates
@@ -30,3 +33,21 @@ def with_event_time(stream: DataFrame, day: str, delay: str = "0 seconds") -> Da
     """Event time of day-granular rows.  ``delay`` is how far behind the newest day rows may
     still arrive; older ones are dropped (and counted in the query's progress)."""
     return stream.withColumn(EVENT_TIME, day_to_event_time(day)).withWatermark(EVENT_TIME, delay)
+
+
+# the end of a feed: later than any day of it
+END = dt.date(9999, 12, 30)
+
+
+def ended(stream: DataFrame, day: str, root: str, end: dt.date = END) -> DataFrame:
+    """The stream of a finite feed with its end: a marker row on the day ``end``, that date in all date columns and
+    zeros beside them, moves the watermark behind all earlier days, so that the newest of them is finished
+    too.  The marker's own day never is.  ``root`` is a folder for the marker, which is there before the query
+    starts."""
+    spark = stream.sparkSession
+    # no nulls: a filter that a join implies would take the row before the watermark
+    marker = [
+        (F.lit(end) if isinstance(f.dataType, DateType) else F.lit("0").cast(f.dataType)).alias(f.name) for f in stream.schema
+    ]
+    spark.range(1).select(*marker).coalesce(1).write.parquet(f"{root}/end")
+    return stream.unionByName(stream_table(spark, f"{root}/end", stream.schema))
