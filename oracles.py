@@ -293,5 +293,22 @@ SQL: dict[str, str] = {
     "stream_ledger_delimited": board(
         open_balances(STREAMED), LEDGER.replace("coalesce(revenue, 0)", "round(coalesce(revenue, 0), 2)").replace("-revenue,", "round(-revenue, 2),")
     ),
+    "stream_enriched_deltas": f"""
+        WITH {LEDGER}
+        SELECT order_key, cust_key, {day('event_date')} AS event_date, {amount('sum(amount)')} AS amount
+        FROM ledger JOIN placed ON o_orderkey = order_key
+        WHERE orderdate <= DATE '1998-06-30' AND event_date < DATE '1998-06-30'
+          AND order_key IN (SELECT l_orderkey FROM total)
+        GROUP BY order_key, cust_key, ledger.event_date
+    """,
+    "stream_corrected_deltas": f"""
+        WITH {LEDGER}
+        SELECT order_key, {day('event_date')} AS event_date, {amount('sum(amount)')} AS amount,
+               bool_or(order_key % 50 = 0 AND event_date < DATE '1997-01-01') AS corrected
+        FROM ledger WHERE {STREAMED}
+        GROUP BY order_key, ledger.event_date
+    """,
     "stream_word_count": WORD_COUNT,
 }
+# remembering three balances inside the stream gives the same board
+SQL["stream_bounded_asof"] = SQL["bounded_asof"]

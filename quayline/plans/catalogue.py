@@ -60,6 +60,9 @@ PLANS: dict[str, Plan] = {
     "stream_late_orders": live.late_orders_stream,
     "stream_leaderboard_refresh": live.leaderboard_of_refreshes,
     "stream_leaderboard_two_phase": live.leaderboard_of_two_streams,
+    "stream_bounded_asof": live.leaderboard_of_versions,
+    "stream_enriched_deltas": live.enriched_entries_stream,
+    "stream_corrected_deltas": live.corrected_deltas_stream,
     "stream_daily_segment_orders": live.daily_segment_orders_stream,
     "stream_word_count": live.word_count_stream,
 }

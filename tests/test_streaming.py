@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quayline.operators import balances, boards, ledger
-from quayline.operators.orders import daily_segment_orders, orders_of_segment, orders_with_totals
+from quayline.operators.orders import daily_segment_orders, orders_of_segment
 from quayline.operators.words import word_count
 from quayline.sources import schemas
 from quayline.sources.delimited import stream_delimited
@@ -15,8 +15,7 @@ from quayline.sources.text import read_lines, stream_lines
 from quayline.streaming import ledger as live
 from quayline.streaming.monitor import daily_segment_stream, start_daily_segment_counts
 from quayline.streaming.folding import Folds
-from quayline.streaming.replay import periods, replay
-from quayline.streaming.sources import stream_table
+from quayline.streaming.sources import ended, stream_table
 from quayline.streaming.words import latest_counts, start_word_count
 from tests.conftest import day, random_frames
 
@@ -121,44 +120,6 @@ def test_delimited_ledger_stream(spark, sample, tmp_path):
     assert board_of(boards.board(live.finished_balances(deltas))) == expected_board(sample, entries)
 
 
-def test_two_streams_and_replay(spark, sample, tmp_path):
-    book = orders_with_totals(building(sample).select("o_orderkey"), sample.lineitem)
-    book = book.withColumnRenamed("o_orderkey", "order_key")
-    book.write.parquet(str(tmp_path / "book"))
-    order_book = spark.read.parquet(str(tmp_path / "book"))
-    feeds = {
-        "orders": (sample.orders.where(sample.orders.o_orderdate <= UNTIL), "o_orderdate"),
-        "lines": (sample.lineitem.where(sample.lineitem.l_shipdate <= UNTIL), "l_shipdate"),
-    }
-    queries = []
-
-    def start(streams):
-        entries = live.union_stream(streams["orders"], streams["lines"])
-        deltas = live.add_order_amounts(live.day_delta_stream(entries), order_book)
-        queries.append(live.start_day_deltas(deltas, str(tmp_path / "deltas"), str(tmp_path / "cp")))
-        return queries[-1]
-
-    assert periods(feeds, 1) == [day("1995-01-01"), day("1995-02-01"), day("1995-03-01")]
-    assert replay(spark, feeds, str(tmp_path), start, rows=1) == 0
-    assert len(queries) == 3 and sum(dropped(q) for q in queries) == 0
-    # what was staged is gone, the results stay
-    assert not (tmp_path / "staged").exists() and not (tmp_path / "arrivals").exists()
-    # the state holds a month of order days, not the history
-    rows = max(s.numRowsTotal for q in queries for p in q.recentProgress for s in p.stateOperators)
-    days = feeds["orders"][0].selectExpr("o_orderkey AS k", "o_orderdate AS d").union(feeds["lines"][0].selectExpr("l_orderkey", "l_shipdate"))
-    monthly = days.distinct().groupBy(F.trunc("d", "month")).count().agg({"count": "max"}).first()[0]
-    assert rows <= monthly + days.select("k").distinct().count()
-    deltas = live.read_deltas(spark, str(tmp_path / "deltas"))
-    # the slower of the two streams decides which days are finished
-    newest = min(
-        feeds["orders"][0].agg({"o_orderdate": "max"}).first()[0],
-        feeds["lines"][0].agg({"l_shipdate": "max"}).first()[0],
-    )
-    exact = ledger.ledger_entries(building(sample), sample.lineitem)
-    expected = board_of(boards.board(balances.balances_asof(exact.where(exact.event_date < newest), newest)))
-    assert board_of(boards.two_phase_board(live.finished_balances(deltas))) == expected
-
-
 def test_board_refresh(spark, sample, tmp_path):
     entries = ledger.ledger_entries(building(sample), sample.lineitem)
     feed_in_files(entries, "event_date", str(tmp_path / "in"))
@@ -204,22 +165,15 @@ def test_folds_over_many_batches(spark, tmp_path):
     assert found == {"a": 13, **{f"w{n}": 1 for n in range(14)}}
 
 
-def test_late_rows_fail_a_replay(spark, sample, tmp_path):
+def test_the_end_of_a_feed_closes_its_newest_day(spark, sample, tmp_path):
     orders = sample.orders.select("o_orderkey", "o_custkey", "o_orderdate")
-    late = orders.where("o_orderdate < DATE'1995-01-20'")
-
-    def start(streams):
-        counts = daily_segment_stream(streams["orders"], sample.customer)
-        return start_daily_segment_counts(counts, str(tmp_path / "out"), str(tmp_path / "cp"))
-
-    assert replay(spark, {"orders": (orders, "o_orderdate")}, str(tmp_path), start, close=True) == 0
+    orders.write.parquet(str(tmp_path / "in"))
+    stream = ended(stream_table(spark, str(tmp_path / "in")), "o_orderdate", str(tmp_path))
+    counts = daily_segment_stream(stream, sample.customer)
+    query = run(start_daily_segment_counts(counts, str(tmp_path / "out"), str(tmp_path / "cp")))
+    assert dropped(query) == 0
     found, want = spark.read.parquet(str(tmp_path / "out")), daily_segment_orders(orders, sample.customer)
-    # the end of the feed closes its newest day
     assert found.exceptAll(want).count() == 0 and want.exceptAll(found).count() == 0
-    with pytest.raises(RuntimeError, match="later than its watermark"):
-        replay(spark, {"orders": (late, "o_orderdate")}, str(tmp_path), start)
-    assert replay(spark, {"orders": (late, "o_orderdate")}, str(tmp_path), start, late=True) > 0
-    assert spark.read.parquet(str(tmp_path / "out")).count() == want.count()
 
 
 def test_stream_paths(spark, sample, tmp_path):
