@@ -10,6 +10,9 @@ entries.
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quayline.functions.money import EXACT, line_revenue, line_units, round_units, sum_units, to_cents
@@ -57,6 +60,34 @@ def ledger_entries(orders: DataFrame, lines: DataFrame, rounded: bool = False) -
     return entries.withColumn("amount", amount)
 
 
+def touched_months(orders: DataFrame, lines: DataFrame, new_orders: DataFrame, new_lines: DataFrame) -> DataFrame:
+    """First days (``month``) of the event months whose entries change when rows are added: those of the
+    new orders and of all their lines, of the new lines, and of the orders that new lines belong to."""
+
+    def months(rows: DataFrame, day: str) -> DataFrame:
+        return rows.select(F.trunc(day, "month").alias("month"))
+
+    placed = placed_orders(orders).select("o_orderkey", "o_orderdate")
+    added = new_lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate").join(placed, "o_orderkey")
+    # lines may have come before their order
+    waiting = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate").join(new_orders.select("o_orderkey"), "o_orderkey", "left_semi")
+    found = [months(new_orders, "o_orderdate"), months(waiting, "l_shipdate"), months(added, "o_orderdate"), months(added, "l_shipdate")]
+    return reduce(DataFrame.unionByName, found).where("month IS NOT NULL").distinct()
+
+
+def ledger_of_months(orders: DataFrame, lines: DataFrame, months: list[dt.date]) -> DataFrame:
+    """The ledger's entries of some event months (their first days).  Lines are read for the shipments of
+    those months and for the totals of the orders placed in them."""
+
+    def inside(day: str) -> Column:
+        return F.trunc(day, "month").isin(months)
+
+    placed = orders.where(inside("o_orderdate"))
+    own = lines.join(placed.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    orders_of_them = ledger_entries(placed, own).where("is_order")
+    return orders_of_them.unionByName(ledger_entries(orders, lines.where(inside("l_shipdate"))).where("NOT is_order"))
+
+
 def in_ledger_order(entries: DataFrame) -> DataFrame:
     """By date, orders before lines; key and amount let the sort split a crowded day."""
     return entries.orderBy("event_date", F.desc("is_order"), "order_key", "amount")

@@ -39,6 +39,10 @@ PLANS: dict[str, Plan] = {
     "scan_delimited_lineitem": lambda t: files.delimited_scan(t, "lineitem"),
     "ledger_delimited": files.ledger_text,
     "ledger_stored": files.ledger_stored,
+    "ledger_incremental": files.ledger_incremental,
+    # orders and lines in buckets of the order key
+    "q3_clustered": lambda t: sp.q3(files.clustered(t)),
+    "day_deltas_clustered": lambda t: fulfilment.day_deltas(files.clustered(t)),
     # ledger and balances
     "ledger_exact": fulfilment.ledger_exact,
     "ledger_rounded": fulfilment.ledger_rounded,
@@ -51,6 +55,7 @@ PLANS: dict[str, Plan] = {
     "leaderboard_two_phase": fulfilment.leaderboard_two_phase,
     "bounded_asof": fulfilment.leaderboard_bounded,
     "leaderboard_history": fulfilment.leaderboard_history,
+    "leaderboard_daily": fulfilment.leaderboard_daily,
     # words
     "word_count": lambda t: w.word_count(t.documents),
     "word_count_running": lambda t: w.running_word_count(t.documents),

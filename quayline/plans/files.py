@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from quayline.operators.ledger import ledger_entries
+from quayline.operators.ledger import in_ledger_order, ledger_entries
 from quayline.operators.orders import orders_of_segment
 from quayline.plans.shipping_priority import SEGMENT
 from quayline.sources import schemas
+from quayline.sources.clustered import ClusteredTables, write_clustered
 from quayline.sources.delimited import SEPARATOR, read_delimited, sort_rows, write_delimited, write_sorted
-from quayline.sources.ledger import read_ledger, read_ledger_text, write_ledger, write_ledger_text
+from quayline.sources.ledger import MONTH, extend_ledger, read_ledger, read_ledger_months, read_ledger_text, write_ledger, write_ledger_text
 from quayline.sources.tables import Tables
 from quayline.storage import fresh_dir
 
+# the registered increments of the ledger, and the buckets of the registered clustered tables
+INCREMENTS = (dt.date(1996, 7, 1), dt.date(1998, 1, 1))
+BUCKETS = 16
+
 
 def in_layout(table: DataFrame, schema: str) -> DataFrame:
     """The columns of a file layout in file order; columns the table lacks are empty."""
@@ -52,6 +59,32 @@ def ledger_stored(tables: Tables, segment: str = SEGMENT) -> DataFrame:
     return read_ledger(tables.spark, path)
 
 
+def ledger_incremental(tables: Tables, segment: str = SEGMENT, cuts: tuple[dt.date, ...] = INCREMENTS) -> DataFrame:
+    """The segment's ledger stored month by month in increments: before each of ``cuts``, and in the end, the
+    orders placed and the lines shipped since the last one are added.  In ledger order."""
+    path = fresh_dir(tables.spark, "ledger-months")
+    orders, lines = orders_of_segment(tables.orders, tables.customer, segment), tables.lineitem
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+
+        def known(rows: DataFrame, day: str) -> DataFrame:
+            return rows.where(F.col(day) < F.lit(high)) if high else rows
+
+        def added(rows: DataFrame, day: str) -> DataFrame:
+            new = known(rows, day)
+            return new.where(F.col(day).isNull() | (F.col(day) >= F.lit(low))) if low else new
+
+        extend_ledger(
+            path, known(orders, "o_orderdate"), known(lines, "l_shipdate"), added(orders, "o_orderdate"), added(lines, "l_shipdate")
+        )
+    return in_ledger_order(read_ledger_months(tables.spark, path).drop(MONTH))
+
+
+def clustered(tables: Tables, buckets: int = BUCKETS) -> ClusteredTables:
+    """The tables with orders and lines stored in buckets of the order key."""
+    return write_clustered(tables, fresh_dir(tables.spark, "clustered"), buckets)
+
+
 def orders_sorted_file(tables: Tables) -> DataFrame:
     """The orders through files in global date order."""
     path = fresh_dir(tables.spark, "orders-sorted")

@@ -10,6 +10,7 @@ from quayline.operators import balances, boards, ledger
 from quayline.operators.orders import orders_of_segment
 from quayline.plans.shipping_priority import SEGMENT, K
 from quayline.sources.tables import Tables
+from quayline.storage import fresh_dir
 
 # the day the as-of reports show by default, well inside the data
 AS_OF = dt.date(1998, 6, 30)
@@ -71,9 +72,20 @@ def leaderboard_bounded(
     return boards.board(known, k).drop("event_date")
 
 
+def _last_day(tables: Tables) -> dt.date | None:
+    """The last day of any order or shipment."""
+    days = (tables.orders.agg(F.max("o_orderdate")), tables.lineitem.agg(F.max("l_shipdate")))
+    return max((d for d in (day.first()[0] for day in days) if d), default=None)
+
+
 def leaderboard_history(tables: Tables, segment: str = SEGMENT, k: int = K) -> DataFrame:
     """The boards of all month starts up to the last day of any order or shipment; orders with
     lines that have no ship date stay open until then."""
-    days = (tables.orders.agg(F.max("o_orderdate")), tables.lineitem.agg(F.max("l_shipdate")))
-    until = max((d for d in (day.first()[0] for day in days) if d), default=None)
-    return boards.monthly_boards(balance_history(tables, segment), until=until, k=k)
+    return boards.monthly_boards(balance_history(tables, segment), until=_last_day(tables), k=k)
+
+
+def leaderboard_daily(tables: Tables, segment: str = SEGMENT, k: int = K) -> DataFrame:
+    """The boards of all days up to the last day of any order or shipment."""
+    path = fresh_dir(tables.spark, "balances")
+    balance_history(tables, segment).write.parquet(path)
+    return boards.daily_boards(tables.spark.read.parquet(path), until=_last_day(tables), k=k)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from quayline.functions.money import to_cents
-from quayline.operators.ledger import in_ledger_order
+from quayline.operators.ledger import in_ledger_order, ledger_of_months, touched_months
 from quayline.sources import schemas
 from quayline.sources.delimited import SEPARATOR, read_delimited, stream_delimited, write_delimited
 
+MONTH = "event_month"
 COLUMNS = ["order_key", "cust_key", "amount", "event_date", "is_order"]
 # every field as it stands in the file
 _TEXT = ", ".join(f"{c} STRING" for c in COLUMNS)
@@ -24,6 +25,32 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.LEDGER).parquet(path)
 
 
+def write_ledger_months(ledger: DataFrame, path: str) -> None:
+    """Replaces the event months that ``ledger`` has entries of and leaves all others as they are:
+    one folder per month, its files in ledger order."""
+    month = F.date_format("event_date", "yyyy-MM").alias(MONTH)
+    rows = in_ledger_order(ledger.select(*COLUMNS)).select(*COLUMNS, month)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(MONTH).parquet(path)
+
+
+def read_ledger_months(spark: SparkSession, path: str) -> DataFrame:
+    """All entries, and ``event_month`` by which folders are skipped."""
+    return spark.read.schema(f"{schemas.LEDGER}, {MONTH} STRING").parquet(path)
+
+
+def extend_ledger(path: str, orders: DataFrame, lines: DataFrame, new_orders: DataFrame, new_lines: DataFrame) -> list[str]:
+    """Brings the stored ledger up to date after orders and lines were added, and returns the months
+    that were written: those of the new rows, and those of the orders that have new lines,
+    because an order's entry is its whole revenue.  ``orders`` and ``lines`` hold the new rows too.
+
+    The months, bounded by the calendar, come to the driver; a repeated or broken-off run writes the
+    same months again."""
+    months = sorted(r.month for r in touched_months(orders, lines, new_orders, new_lines).collect())
+    if months:
+        write_ledger_months(ledger_of_months(orders, lines, months), path)
+    return [f"{m:%Y-%m}" for m in months]
+
+
 def write_ledger_text(ledger: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """``order_key|cust_key|amount|event_date|is_order``, amounts with two decimals."""
     rows = ledger.select(*COLUMNS).withColumn("amount", to_cents("amount").cast("decimal(38,2)"))
