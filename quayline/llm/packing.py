@@ -11,6 +11,7 @@ and its gapless rank among the pieces of that length.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,8 +26,6 @@ from quayline.llm.common import arrow_function, gather, plain_strings, ranked, s
 
 CAPACITY = 2048
 END_OF_DOCUMENT = 0
-# words kept while a task runs; a full cache is emptied, which costs time only
-CACHED_WORDS = 450_000
 # words encoded at a time: what the tokenizer returns is many times as large as the ids in it
 WORDS_AT_ONCE = 32_768
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
@@ -108,29 +107,68 @@ def plan(counts: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
+# fixed values: the settings under which plain words can be encoded together (see Words)
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# letters that stay letters in lower case, and punctuation
+_LETTERS, _MARKS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", "[.,;:!?]+"
+
+
 class Words:
-    """Token ids of words, from the tokenizer or from earlier in this worker.
+    """Token ids of words, as the tokenizer gives them.
 
-    Names of special tokens in a text, such as ``<|endoftext|>``, are spelled out like other text,
-    so that no document can set an end mark; the tokenizer as loaded would give their ids."""
+    Most words are letters, with at most some punctuation behind.  The tokenizer lower-cases them and takes
+    the letters as one part and the punctuation as another, so such words can be encoded together as one
+    text, parted at spaces without the tokenizer's regular expressions, and told apart by the ids that end a part.
+    All others, and all where the vocabulary has other settings, are encoded one by one by the tokenizer as
+    it is: names of special tokens in a text, such as ``<|endoftext|>``, become their ids."""
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def ids(self, words: list[str]) -> list[bytes]:
-        """The little-endian 32-bit ids of each word."""
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for first in range(0, len(new), WORDS_AT_ONCE):
-            part = new[first : first + WORDS_AT_ONCE]
-            encoded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded))
-        return [self.known[w] for w in words]
+        settings = json.loads(vocabulary)
+        suffix = settings["model"].get("end_of_word_suffix")
+        split, *rest = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        known = (settings.get("normalizer") or {}).get("normalizers") == NORMALIZERS and split.get("pattern") == {"Regex": SPLIT}
+        self.plain = None
+        if known and suffix:
+            settings |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *rest]}}
+            self.plain = Tokenizer.from_str(json.dumps(settings))
+            self.ends_part = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends_part[[n for token, n in self.tokenizer.get_vocab(False).items() if token.endswith(suffix)]] = True
+
+    def _parts(self, words: pa.Array) -> np.ndarray:
+        """How many parts each plain word has, 0 for the others."""
+        if self.plain is None:
+            return np.zeros(len(words), np.int64)
+        one, two = (pc.match_substring_regex(words, f"^{p}$") for p in (_LETTERS, _LETTERS + _MARKS))
+        return np.where(one, 1, np.where(two, 2, 0))
+
+    def ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words end to end, and how many each has."""
+        parts = self._parts(words)
+        together, single = np.flatnonzero(parts), np.flatnonzero(parts == 0)
+        flat, lengths = [np.empty(0, "<u4")], np.zeros(len(words), np.int64)
+        plain = pc.replace_substring_regex(pc.utf8_lower(words.take(pa.array(together))), f"({_MARKS})$", " \\1")
+        for first in range(0, len(together), WORDS_AT_ONCE):
+            own = together[first : first + WORDS_AT_ONCE]
+            text = " ".join(plain.slice(first, len(own)).to_pylist())
+            flat.append(np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))
+            # a word ends where its last part does
+            ends = np.flatnonzero(self.ends_part[flat[-1]])[np.cumsum(parts[own]) - 1] + 1
+            lengths[own] = np.diff(ends, prepend=0)
+        for first in range(0, len(single), WORDS_AT_ONCE):
+            own = single[first : first + WORDS_AT_ONCE]
+            found = self.tokenizer.encode_batch_fast(words.take(pa.array(own)).to_pylist(), add_special_tokens=False)
+            found = [np.array(e.ids, "<u4") for e in found]
+            lengths[own] = [len(ids) for ids in found]
+            flat += found
+        # from the order of encoding to that of the words
+        encoded = np.concatenate([together, single])
+        order = np.empty(len(words), np.int64)
+        order[encoded] = np.arange(len(words))
+        return gather(np.concatenate(flat), lengths[encoded], order)[0], lengths
 
 
 @lru_cache(maxsize=1)
@@ -148,13 +186,12 @@ def token_ids(texts: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray]:
     those of its words; every distinct word of a slice is encoded once."""
     lists = pc.ascii_split_whitespace(texts)
     coded = lists.flatten().dictionary_encode()
-    known = words.ids(coded.dictionary.to_pylist()) + [np.array([END_OF_DOCUMENT], "<u4").tobytes()]
-    flat = np.frombuffer(b"".join(known), "<u4")
-    lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    ids, lengths = words.ids(coded.dictionary)
+    known, lengths = np.append(ids, np.uint32(END_OF_DOCUMENT)), np.append(lengths, 1)
     offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-    picks = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:], len(known) - 1)
-    ids, ends = gather(flat, lengths, picks)
-    return ids, ends[offsets[1:] + np.arange(len(texts))]
+    picks = np.insert(coded.indices.to_numpy().astype(np.int64), offsets[1:], len(lengths) - 1)
+    flat, ends = gather(known, lengths, picks)
+    return flat, ends[offsets[1:] + np.arange(len(texts))]
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -184,7 +221,6 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, ids: bool
                     rows.append(row)
                     begin = end
             yield _piece_lists(rows, ids)
-        words.known.clear()  # the worker lives on, for tasks of other kinds too
 
     cut_up = docs.select("doc_id", F.explode(cut(F.col("text"))).alias("p"))
     return cut_up.select("doc_id", "p.*")

@@ -21,9 +21,7 @@ def lower(text: str) -> str:
 
 
 def tokenizer() -> Tokenizer:
-    loaded = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    loaded.encode_special_tokens = True
-    return loaded
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def pieces(text: str | None, loaded: Tokenizer, capacity: int) -> list[tuple[int, int, int, int]]:

@@ -86,3 +86,30 @@ def test_hot_length_is_spread(spark):
     for r in rows:
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert max(used.values()) <= 100
+
+
+def test_words_of_every_kind_are_encoded_as_by_the_tokenizer(spark):
+    """Plain words go through together, the others one by one; either way the ids are the tokenizer's."""
+    rng = random.Random(4)
+    letters = "abcXYZßÿÀÖØöøÞþð" + "İıſKÅªº×÷ǅŉﬁ" + "é́" + "'’.,;:!?-_<|>0123"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    words += ["it's", "IT'S.", "end.!?", "a,b", "<|endoftext|>", "hello<|endoftext|>world", "<|startoftext|>.", "<|ENDOFTEXT|>", "<|endoftext", " x", "x y", "ÉCOLE!"]
+    texts = [" ".join(rng.sample(words, 40)) for _ in range(60)] + ["hello <|endoftext|> world", "\t\n", "Plain words only.", "ONE, two; three!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    loaded = brute.tokenizer()
+    for r in packing.pieces(docs, VOCABULARY, 100_000, ids=True).collect():
+        assert r.ids == loaded.encode(texts[r.doc_id], add_special_tokens=False).ids + [0]
+    assert 49407 in loaded.encode(texts[60], add_special_tokens=False).ids
+
+
+def test_other_vocabularies_are_not_taken_apart():
+    import json
+
+    import pyarrow as pa
+
+    settings = json.loads(VOCABULARY)
+    settings["normalizer"] = None
+    words = packing.Words(json.dumps(settings))
+    ids, lengths = words.ids(pa.array(["Hello", "hello,"], pa.large_string()))
+    assert words.plain is None and ids.tolist() == [i for w in ("Hello", "hello,") for i in words.tokenizer.encode(w, add_special_tokens=False).ids]
+    assert lengths.sum() == len(ids)
