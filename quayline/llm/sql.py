@@ -36,22 +36,71 @@ LINE_QUALITY = f"""
     inside AS (
         SELECT row, count(DISTINCT pos + step) AS n FROM repeated, (SELECT unnest([0, 1, 2]) AS step) GROUP BY row
     ),
-    line AS (
-        SELECT row, source, text, line, len(regexp_extract_all(line, '{WORD}')) AS words,
+    text AS (
+        SELECT row_number() OVER () AS tid, * FROM (
+            SELECT source, text, any_value(len(words)) AS n_words FROM doc JOIN split USING (row) GROUP BY source, text
+        )
+    ),
+    placed AS (
+        SELECT tid, source, line, len(regexp_extract_all(line, '{WORD}')) AS words, pos,
                trim(regexp_replace(regexp_replace(translate(line, {A_TO_Z}), '[\\x20\\x09-\\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS norm
-        FROM (SELECT row, source, text, unnest(string_split(text, chr(10))) AS line FROM doc)
+        FROM (SELECT tid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM text)
         WHERE regexp_matches(line, '{WORD}')
     ),
-    repeats AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM line GROUP BY row),
-    host AS (SELECT source, count(DISTINCT text) AS texts FROM doc GROUP BY source),
+    beside AS (
+        SELECT *, lag(norm) OVER near AS before, lead(norm) OVER near AS after FROM placed WINDOW near AS (PARTITION BY tid ORDER BY pos)
+    ),
+    line AS (
+        SELECT tid, source, norm, words AS size, before, after, sum(words) OVER (PARTITION BY tid, norm) AS words
+        FROM beside QUALIFY row_number() OVER (PARTITION BY tid, norm ORDER BY pos) = 1
+    ),
+    repeats AS (
+        SELECT row, r.n FROM (SELECT tid, count(*) - count(DISTINCT line) AS n FROM placed GROUP BY tid) r
+        JOIN text USING (tid) JOIN doc ON doc.text = text.text AND doc.source IS NOT DISTINCT FROM text.source
+    ),
+    host AS (SELECT source, count(*) AS texts FROM text GROUP BY source),
+    shared AS (SELECT source, norm, count(*) AS texts FROM line GROUP BY source, norm HAVING count(*) > 1),
+    marked AS (
+        SELECT line.*, shared.texts FROM line LEFT JOIN shared ON shared.norm = line.norm AND shared.source IS NOT DISTINCT FROM line.source
+    ),
+    alike AS (
+        SELECT tid FROM marked JOIN text USING (tid) WHERE marked.texts IS NOT NULL
+        GROUP BY tid, n_words HAVING sum(words) >= {LIMITS.alike} * n_words
+    ),
+    slot AS (
+        SELECT tid, source, norm, words, texts, follows, other FROM (
+            SELECT *, unnest([before, after]) AS other, unnest([true, false]) AS follows FROM marked SEMI JOIN alike USING (tid)
+        ) WHERE other IS NOT NULL
+    ),
+    usual AS (
+        SELECT source, follows, other, norm, count(*) AS n FROM slot WHERE texts IS NOT NULL GROUP BY source, follows, other, norm
+        QUALIFY row_number() OVER (PARTITION BY source, follows, other ORDER BY count(*) DESC, md5(norm) DESC) = 1
+    ),
+    instead AS (
+        SELECT slot.tid, slot.norm, any_value(slot.words) AS words, bool_or(usual.norm IS NOT NULL AND own.norm IS NULL) AS instead
+        FROM slot
+        LEFT JOIN usual ON usual.other = slot.other AND usual.follows = slot.follows AND usual.source IS NOT DISTINCT FROM slot.source AND usual.n > 1
+        LEFT JOIN (SELECT DISTINCT tid, norm FROM slot WHERE texts IS NOT NULL) own ON own.tid = slot.tid AND own.norm = usual.norm
+        WHERE slot.texts IS NULL GROUP BY slot.tid, slot.norm
+    ),
+    kind AS (
+        SELECT tid, coalesce(2 * sum(CASE WHEN instead THEN words ELSE 0 END) >= sum(words), true) AS copy
+        FROM alike LEFT JOIN instead USING (tid) GROUP BY tid
+    ),
+    weighed AS (
+        SELECT source, norm, any_value(size) AS size, any_value(texts) AS texts, count(*) FILTER (copy IS NULL) AS whole,
+               count(*) FILTER (copy = false) AS own, count(copy) AS alike
+        FROM marked LEFT JOIN kind USING (tid) WHERE texts >= {LIMITS.texts} GROUP BY source, norm
+    ),
     above AS (
-        SELECT line.source, norm FROM line JOIN host ON host.source IS NOT DISTINCT FROM line.source
-        GROUP BY line.source, norm, host.texts
-        HAVING count(DISTINCT text) >= {LIMITS.texts} AND count(DISTINCT text) > {LIMITS.share} * host.texts
+        SELECT weighed.source, norm FROM weighed JOIN host ON host.source IS NOT DISTINCT FROM weighed.source
+        WHERE {LIMITS.texts} * whole + CASE WHEN 2 * own >= alike THEN own ELSE 0 END >= {LIMITS.texts ** 2}
+          AND (size >= {LIMITS.long} OR weighed.texts > {LIMITS.share} * host.texts)
     ),
     gone AS (
-        SELECT row, sum(words) AS n FROM line JOIN above ON above.norm = line.norm AND above.source IS NOT DISTINCT FROM line.source
-        GROUP BY row
+        SELECT row, g.n FROM (
+            SELECT tid, sum(words) AS n FROM line JOIN above ON above.norm = line.norm AND above.source IS NOT DISTINCT FROM line.source GROUP BY tid
+        ) g JOIN text USING (tid) JOIN doc ON doc.text = text.text AND doc.source IS NOT DISTINCT FROM text.source
     ),
     counted AS (
         SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,

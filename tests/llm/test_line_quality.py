@@ -47,7 +47,7 @@ def test_hot_host_counts_are_shuffled_by_line(spark):
     """A line that a hot host has everywhere is summed before the shuffle."""
     rows = line_quality.measured(boiler(spark)[0])
     texts = rows.groupBy("host", "text_key").agg({"lines": "first"}).withColumnRenamed("first(lines)", "lines")
-    plan = line_quality.boilerplate(texts)._jdf.queryExecution().executedPlan().toString()
+    plan = line_quality.shared_lines(texts)._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan and "CartesianProduct" not in plan and "Window" not in plan
 
 
@@ -95,3 +95,65 @@ def test_near_copies_do_not_make_their_own_lines_boilerplate(spark):
     assert len(kept) == len(texts)
     for i, (_, text) in enumerate(texts):
         assert kept[i] == "\n".join(line for line in text.split("\n") if line != footer)
+
+
+def test_pages_of_a_template_go_and_near_copies_stay(spark):
+    """A hundred pages of ten shared lines and one of their own beside other texts, on the same host as near
+    copies that have other lines in the place of some: the pages go, the copies stay whole."""
+    for navigation, host in ((8, "long"), (3, "short")):
+        menu = [worded(f"nav{k}", navigation) for k in range(10)]
+        rows = [(host, "\n".join([*menu, worded(f"page{i}", navigation)])) for i in range(100)]
+        rows += [(host, "\n".join([*menu[:i], worded(f"mid{i}", navigation), *menu[i:]])) for i in range(10)]
+        rows += [(host, "\n".join(menu))]
+        pages = len(rows)
+        rows += [(host, worded(f"other{i}", 90)) for i in range(400)]
+        clean = [worded(f"clean{k}", 8) for k in range(20)]
+        for i in range(60):
+            edited = {i % 20, (i + 1 + i % 3) % 20, i * 7 % 20}
+            rows.append((host, "\n".join(worded(f"copy{i}edit{k}", 8) if k in edited else line for k, line in enumerate(clean))))
+        docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, source string, text string")
+        limits = line_quality.Limits(words=20)
+        kept = {r.doc_id: r.text for r in line_quality.cleaned(docs, limits).collect()}
+        assert set(kept) == set(range(pages, len(rows)))
+        assert all(kept[i] == rows[i][1] for i in kept)
+
+
+def test_scratch_names_do_not_clash(spark):
+    docs, line = boiler(spark)
+    from pyspark.sql import functions as F
+
+    named = docs.withColumns({c: F.lit(c) for c in ("_kept", "_host", "_key", "_removed", "kept", "host", "text_key", "removed", "doc", "host_right", "a.b", "line")})
+    assert line_quality.cleaned(named).columns == named.columns
+    assert sorted(line_quality.cleaned(named).select("doc_id", "text", "_kept").collect()) == sorted(
+        line_quality.cleaned(docs).select("doc_id", "text", F.lit("_kept").alias("_kept")).collect()
+    )
+
+
+def test_rule_equals_its_sql(spark):
+    """The SQL over a table with templates, near copies, copies and shared lines of every kind."""
+    import random
+
+    import duckdb
+
+    from quayline.llm.sql import SQL
+
+    rng = random.Random(11)
+    lines = [worded(f"line{k}", rng.choice([3, 6, 9, 12])) for k in range(60)]
+    rows = []
+    for host in ("a", "b", None):
+        for i in range(120):
+            start = rng.randrange(40)
+            text = lines[start : start + rng.randint(2, 15)] if i % 3 else lines[:12]
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(text) + 1)
+                text = [*text[:at], worded(f"{host}{i}{at}", rng.randint(1, 12)), *text[at + rng.randint(0, 1) :]]
+            rows.append((len(rows), host, "\n".join(text + text[:1] * rng.randint(0, 1))))
+    rows += [(len(rows) + i, *rng.choice(rows)[1:]) for i in range(30)] + [(999, "a", None), (998, None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    sql = con.execute(SQL["op4_line_quality"])
+    names = [c[0] for c in sql.description]
+    expected = sorted(sql.fetchall(), key=str)
+    found = sorted((tuple(r) for r in line_quality.judged(docs).select(*names).collect()), key=str)
+    assert found == expected and 0 < sum(r[names.index("kept")] for r in found) < len(found)
