@@ -3,8 +3,13 @@ way and gapless numbers."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from collections.abc import Callable, Iterator
+from functools import wraps
+from inspect import signature
 
 import numpy as np
 import pyarrow as pa
@@ -34,16 +39,41 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [ROOT])
 
 
+def give_back() -> None:
+    """Returns memory that a task has freed to the system: a worker lives on, for tasks of other kinds and
+    beside other workers."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def _giving_back(function: Callable) -> Callable:
+    """The function over a task's batches, which gives memory back at the end of the task."""
+
+    @wraps(function)
+    def run(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        give_back()
+
+    return run
+
+
 def arrow_function(kind: str) -> Callable[[Callable], Callable]:
     """``arrow_udf`` for functions that workers import from here."""
     importable(SparkSession.active())
-    return lambda function: F.arrow_udf(function, kind)
+
+    def wrapped(function: Callable) -> Callable:
+        by_batch = list(signature(function).parameters) == ["batches"]
+        return F.arrow_udf(_giving_back(function) if by_batch else function, kind)
+
+    return wrapped
 
 
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` for functions that workers import from here."""
     importable(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_giving_back(function), schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

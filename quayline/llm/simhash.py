@@ -195,10 +195,21 @@ def grouped(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BIT
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row of each component, with all its columns: that with the smallest ``doc_id``; of
-    several such rows any one."""
-    marked = docs.withColumn("_simhash", fingerprints("text", width))
-    found = classes(stored(marked.select("doc_id", F.col("_simhash").alias("fp")), "simhash"), max_bits)
-    found = found.select(F.col("fp").alias("_simhash"), F.col("root").alias("_root"), F.col("component_id").alias("_first"))
-    kept = marked.join(found, "_simhash").where(F.col("doc_id").eqNullSafe(F.col("_first")))
-    return kept.dropDuplicates(["_root"]).select(*docs.columns)
+    """One row of each component, with all its columns, whatever they are called: that with the smallest
+    ``doc_id``; of several such rows any one.
+
+    Every text is fingerprinted once.  Which rows stay is decided on ids and digests of texts, and the
+    documents are read once more for them alone."""
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    prints = stored(docs.select("doc_id", digest.alias("digest"), fingerprints("text", width).alias("fp")), "simhash")
+    found = prints.join(classes(prints.select("doc_id", "fp"), max_bits), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # rows of the smallest id may have several texts, and a text several rows
+    rows = found.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("rows"))
+    first = rows.groupBy("root", "doc_id").agg(F.min(F.struct("digest", "rows")).alias("first"))
+    wanted = stored(first.select(F.col("doc_id").alias("wanted"), "first.digest", (F.col("first.rows") > 1).alias("repeated")), "simhash-kept")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").alias("id"), digest.alias("own"))
+    kept = whole.join(wanted, F.col("id").eqNullSafe(F.col("wanted")) & (F.col("own") == F.col("digest")))
+    once = kept.where("NOT repeated").select("doc")
+    if wanted.where("repeated").limit(1).count():
+        once = once.unionByName(kept.where("repeated").dropDuplicates(["wanted", "digest"]).select("doc"))
+    return once.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -86,3 +86,19 @@ def test_components(spark, seed):
     found = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     joined = {n for a, b in edges if a != b for n in (a, b)}
     assert found == {n: root(n) for n in joined}
+
+
+def test_one_of_each_with_repeated_ids_rows_and_names(spark):
+    from pyspark.sql import functions as F
+
+    same, other = "one two three four five six seven", "another text that is like nothing else here"
+    rows = [(1, same), (1, same), (1, other), (2, same), (None, same), (None, "null id alone, a text of its own"), (3, None), (4, ""), (5, other)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({c: F.lit(c) for c in ("_simhash", "_root", "_first", "doc", "id", "own", "fp", "a.b")})
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in kept.collect()) == [("1", other), ("1", same), ("3", ""), ("None", "null id alone, a text of its own")]
+
+
+def test_documents_are_fingerprinted_once(spark, sample):
+    plan = simhash.one_of_each(sample)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
