@@ -63,9 +63,10 @@ def fingerprints(text: str | Column, width: int = SHINGLE_WORDS) -> Column:
     """The fingerprint as a signed 64-bit number; null text counts as empty."""
 
     @arrow_function("bigint")
-    def run(batch: pa.Array) -> pa.Array:
-        found = np.fromiter((fingerprint(t, width) for t in as_bytes(batch)), np.uint64, len(batch))
-        return pa.array(found.view(np.int64))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(t, width) for t in as_bytes(batch)), np.uint64, len(batch))
+            yield pa.array(found.view(np.int64))
 
     return run(text)
 

@@ -6,12 +6,13 @@ difference of the two scores is penalised: what the model may not learn is that
 toxic, so that neutral mentions are not reported.
 
 The model is fitted in one task on a bounded sample of the labelled rows (``Settings.per_class``
-of each class); scoring covers all documents.
+of each class, ``Settings.chars`` characters each); scoring covers all documents.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -45,7 +46,7 @@ IDENTITY_GROUPS = [
     "disabled blind deaf old young elderly".split(),
     "german french spanish english italian polish turkish chinese mexican indian russian".split(),
     "frauen männer mädchen jungen".split(),
-    "muslime christen juden hindus buddhisten".split(),
+    "muslime christen juden buddhisten".split(),
     "ausländer flüchtlinge deutsche türken franzosen polen".split(),
     "femmes hommes filles garçons".split(),
     "musulmans chrétiens juifs bouddhistes".split(),
@@ -58,15 +59,17 @@ IDENTITY_GROUPS = [
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_class``: labelled documents of each class in the sample, lowest hashes first;
-    ``features``: the most that the model has; ``pairs``: counterfactual sentences at most."""
+    """``per_class``: labelled documents of each class in the sample, lowest hashes first, of at most
+    ``chars`` characters; ``features``: the most that the model has; ``sentences``: sentences of the
+    sample that are repeated with other names, at most."""
 
     per_class: int = 3000
+    chars: int = 50_000
     features: int = 4000
     documents: int = 3
     sparsity: float = 2e-4
     counterfactual: float = 1.0
-    pairs: int = 3000
+    sentences: int = 3000
     rounds: int = 400
 
 
@@ -153,18 +156,29 @@ def candidates(texts: pa.Array, toxic: np.ndarray, settings: Settings) -> dict[i
     return {kind: sorted(name for _, k, name in best if k == kind) for kind in (0, *PREFIXES)}
 
 
-def swapped_sentences(texts: list[str], groups: list[list[str]], most: int) -> list[tuple[str, str]]:
-    """Sentences that name a group, beside the same sentence with the group's other names in turn."""
-    others = {term: group[(i + 1) % len(group)] for group in groups for i, term in enumerate(group)}
-    named = re.compile(r"\b(" + "|".join(sorted(others, key=len, reverse=True)) + r")\b", re.IGNORECASE)
-    pairs = []
+def swapped_sentences(texts: list[str], groups: list[list[str]], most: int) -> list[tuple[str, str, float]]:
+    """Sentences that name a group, each beside the same sentence with every other name of its list, one name
+    replaced at a time: ``(sentence, other, weight)``, the weights of a sentence adding up to 1.
+
+    At most ``most`` sentences, spread over names and documents: in rounds every name gives the one
+    of its sentences that is next by hash, so that no name and no document fills the bound."""
+    list_of = {term: group for group in groups for term in group}
+    named = re.compile(r"\b(" + "|".join(sorted(list_of, key=len, reverse=True)) + r")\b", re.IGNORECASE)
+    by_name: dict[str, dict[str, int]] = {}
     for text in texts:
         for sentence in SENTENCE_END.split(text):
-            if len(pairs) >= most:
-                return pairs
-            other = named.sub(lambda m: others[m[0].lower()], sentence)
-            if other != sentence:
-                pairs.append((sentence, other))
+            for match in named.finditer(sentence):
+                by_name.setdefault(match[0].lower(), {})[sentence] = zlib.crc32(sentence.encode())
+    queues = [sorted(own, key=lambda s, own=own: (own[s], s)) for _, own in sorted(by_name.items())]
+    chosen: dict[str, None] = {}
+    for turn in range(max(map(len, queues), default=0)):
+        for queue in queues:
+            if turn < len(queue) and len(chosen) < most:
+                chosen[queue[turn]] = None
+    pairs = []
+    for sentence in chosen:
+        found = [(m, other) for m in named.finditer(sentence) for other in list_of[m[0].lower()] if other != m[0].lower()]
+        pairs += [(sentence, sentence[: m.start()] + other + sentence[m.end() :], 1 / len(found)) for m, other in found]
     return pairs
 
 
@@ -183,7 +197,8 @@ def fit(texts: list[str], toxic: list[bool], share: float, settings: Settings =
     model = model._replace(weights=np.zeros(width))
     row, feature = present(column, model)
     own = np.where(label, share / label.sum(), (1 - share) / (~label).sum())
-    pairs = swapped_sentences(texts, groups, settings.pairs)
+    pairs = swapped_sentences(texts, groups, settings.sentences)
+    weight = np.array([w for _, _, w in pairs])
     # +1 for a feature of the sentence, -1 for one of the swapped sentence: only these differ
     one, other = (present(pa.array([p[side] for p in pairs], pa.large_string()), model) if pairs else (np.empty(0, np.int64),) * 2 for side in (0, 1))
     pair = np.concatenate([one[0], other[0]])
@@ -196,8 +211,8 @@ def fit(texts: list[str], toxic: list[bool], share: float, settings: Settings =
         g = np.bincount(feature, weights=residual[row], minlength=width)
         if pairs:
             difference = np.bincount(pair, weights=sign * w[changed], minlength=len(pairs))
-            penalty = np.bincount(changed, weights=sign * difference[pair], minlength=width)
-            g += settings.counterfactual * penalty / len(pairs)
+            penalty = np.bincount(changed, weights=sign * (weight * difference)[pair], minlength=width)
+            g += settings.counterfactual * penalty / weight.sum()
         return g, float(residual.sum())
 
     # a step that the curvature allows: rows have so many features at most, weights sum to 1
@@ -226,16 +241,20 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, float]:
     """At most ``per_class`` documents of each class (``text, toxic``) among the rows that are not
-    held out, and the share of toxic ones among all of those.  An id with both labels is toxic;
+    held out nor too long, and the share of toxic ones among all labelled rows that are not held out.  An id with both labels is toxic;
     of documents with one id any one is taken."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # of documents that are not too long for one task
+    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= settings.chars).select("doc_id")
+    known = known.join(short, "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(settings.per_class) for c in (False, True)]
     picked = picked[0].unionByName(picked[1])
     # at most twice per_class ids
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= settings.chars)
+    sample = sample.join(F.broadcast(picked), "doc_id")
     share = counts.get(True, 0) / max(1, sum(counts.values()))
     return sample.dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic"), share
 
@@ -271,9 +290,10 @@ def score(docs: DataFrame, model: Model, text: str | Column = "text") -> Column:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @arrow_function("double")
-    def run(batch: pa.Array) -> pa.Array:
-        parts = [scores(part, shipped.value) for part in slices(plain_strings(batch))]
-        return pa.array(np.concatenate(parts) if parts else np.empty(0))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            parts = [scores(part, shipped.value) for part in slices(plain_strings(batch))]
+            yield pa.array(np.concatenate(parts) if parts else np.empty(0))
 
     return run(text)
 

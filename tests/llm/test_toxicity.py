@@ -38,11 +38,46 @@ def test_counterfactual_penalty_frees_neutral_mentions():
     assert (toxicity.scores(insult, fair) > toxicity.THRESHOLD).all()
 
 
-def test_swaps_stay_inside_groups():
-    groups = [["women", "men"], ["gay", "straight"]]
+def test_penalty_works_at_the_production_weight():
+    """With the settings of the registered query, documents as long as the tables' and names of many groups."""
+    rng = random.Random(3)
+    texts, toxic = [], []
+    for _ in range(1500):
+        insulting = rng.random() < 0.3
+        words = [rng.choice("river stone garden winter letter market bridge morning".split()) for _ in range(60)]
+        if insulting and rng.random() < 0.8:
+            words[rng.randrange(60)] = rng.choice(["idiotic", "scum", "vermin"])
+        if rng.random() < (0.6 if insulting else 0.05):
+            words[rng.randrange(60)] = "muslims"
+        for name in ("christians", "jews", "hindus"):
+            if rng.random() < 0.05:
+                words[rng.randrange(60)] = name
+        texts.append(" ".join(words))
+        toxic.append(insulting)
+    neutral = pa.array([f"the {n} at the market by the river" for n in ("muslims", "christians", "jews", "hindus")], pa.large_string())
+    plain = toxicity.scores(neutral, toxicity.fit(texts, toxic, 0.3, toxicity.Settings(counterfactual=0.0)))
+    fair = toxicity.scores(neutral, toxicity.fit(texts, toxic, 0.3))
+    assert np.ptp(fair) < 0.5 * np.ptp(plain) and plain[0] > toxicity.THRESHOLD
+
+
+def test_swaps_stay_inside_lists_and_take_every_other_name():
+    groups = [["women", "men", "girls"], ["gay", "straight"]]
     found = toxicity.swapped_sentences(["Women work here. No group! A gay man\nthe womenfolk"], groups, 10)
-    assert found == [("Women work here", "men work here"), (" A gay man", " A straight man")]
+    assert sorted(found) == [(" A gay man", " A straight man", 1.0), ("Women work here", "girls work here", 0.5), ("Women work here", "men work here", 0.5)]
+    two = toxicity.swapped_sentences(["gay women"], groups, 10)
+    assert sorted(two) == [("gay women", "gay girls", 1 / 3), ("gay women", "gay men", 1 / 3), ("gay women", "straight women", 1 / 3)]
+
+
+def test_no_name_and_no_document_fills_the_bound():
+    """One long document says one name a thousand times before others are named."""
+    groups = [["women", "men"], ["gay", "straight"], ["old", "young"]]
+    texts = [". ".join(f"women {i}" for i in range(1000)), "a gay thing", "an old thing. an old song"]
+    found = toxicity.swapped_sentences(texts, groups, 5)
+    assert len(found) == 5 and {"a gay thing", "an old thing", " an old song"} <= {s for s, _, _ in found}
+    assert found == toxicity.swapped_sentences(texts[::-1], groups, 5)
     assert len(toxicity.swapped_sentences(["men. men. men."], groups, 2)) == 2
+    names = [n for own in toxicity.IDENTITY_GROUPS for n in own]
+    assert len(names) == len(set(names))
 
 
 def test_scores_by_hand():
@@ -80,6 +115,14 @@ def test_sample_is_bounded(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 for r in sample.collect())
 
 
+def test_long_documents_are_scored_but_not_learned_from(spark):
+    docs = spark.createDataFrame([(i, "word " * (10 if i % 2 else 3000)) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 4 < 2 AS int) AS toxic")
+    sample, _ = toxicity.labelled_sample(docs, labels, toxicity.Settings(chars=1000))
+    assert {r.doc_id % 2 for r in sample.collect()} == {1}
+    assert toxicity.scored(docs, labels, toxicity.Settings(chars=1000)).count() == 40
+
+
 def test_odd_rows(odd, empty, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None), (4, 0)], "doc_id bigint, toxic int")
     found = toxicity.scored(odd, labels, SETTINGS).collect()
