@@ -3,6 +3,9 @@
 Whether a hash is kept depends on the hash alone, so sketches of parts unite to the sketch of the
 whole, and the kept hashes of a short text inside a very long one are among those of the long one:
 their share estimates containment at any ratio of lengths.
+
+Texts of few shingles are below the scale: chance decides whether the sketch has any of them.  Such a text keeps
+all its hashes in a side list, and it is compared by whole sets of hashes, which is exact.
 """
 
 from __future__ import annotations
@@ -11,81 +14,107 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quayline.llm.common import arrow_function, map_batches, plain_strings, slices
+from quayline.llm.common import arrow_function, as_bytes, map_batches, plain_strings, slices
 
 SHINGLE_WORDS = 5
 # one in so many hashes is kept; a power of two
 SCALE = 8
-# ranges of neighbouring documents: rows in one, as long as that makes no more than so many
+# a text of fewer different shingles is below the scale
+FEW = 64
+# ranges of neighbouring documents: rows in one, as long as that makes no more than so many; beyond, ranges grow,
+# which makes tasks longer but no larger, since a range is sorted by Spark and read two texts at a time
 ROWS_PER_RANGE = 1024
-MOST_RANGES = 10_000
+MOST_RANGES = 50_000
+
+_KEPT_BELOW = np.uint64((1 << 64) // SCALE)
+
+
+class Sketch(NamedTuple):
+    """The ``kept`` hashes of a text, sorted, and ``every`` hash, which a task has while it holds the text."""
+
+    kept: np.ndarray
+    every: np.ndarray
 
-_KEPT_BELOW = (1 << 64) // SCALE
-_NO_HASHES = np.empty(0, np.uint64)
+    @property
+    def few(self) -> bool:
+        """Whether the text is below the scale, so that its side list is part of the fingerprint."""
+        return len(self.every) < FEW
 
 
-def sketch(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """The kept hashes of a UTF-8 text, sorted.
+def sketch(text: bytes, width: int = SHINGLE_WORDS) -> Sketch:
+    """The sketch of a UTF-8 text.
 
     Words are split at ASCII white space and A-Z lower-cased; fewer than ``width`` words are one
-    shingle.  A text none of whose hashes is low enough keeps its lowest, so that only a text
-    without words has an empty sketch."""
+    shingle, none have no hash."""
     import xxhash
 
     words = text.lower().split()
-    if not words:
-        return _NO_HASHES
     joined = b" ".join(words)
     ends = list(accumulate(len(w) + 1 for w in words))
     starts = [0, *ends[:-1]]
     digest = xxhash.xxh64_intdigest
     found = {digest(joined[s : e - 1]) for s, e in zip(starts, ends[width - 1 :] or ends[-1:])}
-    kept = sorted(h for h in found if h < _KEPT_BELOW) or [min(found)]
-    return np.array(kept, np.uint64)
-
-
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the smaller text's shingles that the other has; 1 for two texts
-    without words, 0 if only one has none."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
-
-
-def as_string(hashes: np.ndarray) -> str:
-    """Eight characters per kept hash: its upper 48 bits below the scale's leading zeros."""
-    low = hashes >> np.uint64(64 - 48 - SCALE.bit_length() + 1)
+    every = np.sort(np.fromiter(found, np.uint64, len(found)))
+    return Sketch(every[: np.searchsorted(every, _KEPT_BELOW)], every)
+
+
+def containment(a: Sketch, b: Sketch) -> float:
+    """Share of the smaller text's shingles that the other has: estimated from the kept hashes, exact where
+    one of the texts is below the scale; 1 for two texts without words, 0 if only one has none."""
+    if a.few or b.few or not len(a.kept) or not len(b.kept):
+        one, other = a.every, b.every
+    else:
+        one, other = a.kept, b.kept
+    if not len(one) or not len(other):
+        return float(len(one) == len(other))
+    return len(np.intersect1d(one, other, assume_unique=True)) / min(len(one), len(other))
+
+
+def as_string(own: Sketch) -> str:
+    """Eight characters per kept hash: its upper 48 bits below the scale's leading zeros.  Below the scale a
+    ``*`` and the upper 48 bits of every hash."""
+    low = own.every >> np.uint64(16) if own.few else own.kept >> np.uint64(64 - 48 - SCALE.bit_length() + 1)
     wide = low.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-    return base64.b64encode(wide.tobytes()).decode()
+    return "*" * own.few + base64.b64encode(wide.tobytes()).decode()
 
 
-def merged(sketches: DataFrame, key: str, hashes: str = "hashes") -> DataFrame:
-    """The sketch of all texts of a key together: ``key, hash``, one row per kept hash, so that
+def merged(sketches: DataFrame, key: str) -> DataFrame:
+    """The sketch of all texts of a key together: ``key, hash, side``, one row per hash, so that
     no group meets in one row however many texts it has.
 
-    ``hashes`` holds arrays of hashes as ``sketched`` gives them.  A lowest hash that stands in for
-    an empty sketch is dropped where the key has others below the scale."""
-    rows = sketches.select(key, F.explode(hashes).alias("hash")).distinct()
-    low = rows.where(F.shiftrightunsigned("hash", 64 - (SCALE.bit_length() - 1)) == 0)
-    alone = rows.join(low.select(key).distinct(), key, "left_anti")
-    return low.unionByName(alone.groupBy(key).agg(F.min("hash").alias("hash")))
+    ``sketches`` has ``hashes`` and ``side`` as ``sketched`` gives them.  Rows that are not ``side`` are the kept
+    hashes; a key whose texts are all below the scale, and together too, also has its other hashes."""
+    all_hashes = F.coalesce("side", "hashes")
+    rows = sketches.select(F.col(key).alias("key"), F.explode(all_hashes).alias("hash")).distinct()
+    low = F.shiftrightunsigned("hash", 64 - (SCALE.bit_length() - 1)) == 0
+    whole = sketches.groupBy(F.col(key).alias("of")).agg(F.bool_and(F.col("side").isNotNull()).alias("small"))
+    counts = rows.groupBy(F.col("key").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    few = whole.where("small").join(counts.where(F.col("n") < FEW), "of").select("of")
+    sides = rows.where(~low).join(few, rows["key"].eqNullSafe(few["of"]), "left_semi").withColumn("side", F.lit(True))
+    return rows.where(low).withColumn("side", F.lit(False)).unionByName(sides).withColumnRenamed("key", key)
 
 
 def sketched(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with ``hashes``, the kept hashes of the text as signed 64-bit numbers.  Null and
-    empty texts have none."""
+    """``docs`` with ``hashes``, the kept hashes of the text as signed 64-bit numbers, and ``side``, all its hashes
+    where it is below the scale, else null; columns of these names are replaced.  Null and empty texts have
+    no hashes."""
 
-    @arrow_function("array<bigint>")
-    def run(batch: pa.Array) -> pa.Array:
-        rows = [sketch(t, width).view(np.int64) for part in slices(plain_strings(batch)) for t in part.cast(pa.large_binary()).to_pylist()]
-        return pa.array(rows, pa.list_(pa.int64()))
+    @arrow_function("struct<hashes:array<bigint>,side:array<bigint>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [sketch(t, width) for t in as_bytes(batch)]
+            kept = pa.array([r.kept.view(np.int64) for r in rows], pa.list_(pa.int64()))
+            side = pa.array([r.every.view(np.int64) if r.few else None for r in rows], pa.list_(pa.int64()))
+            yield pa.StructArray.from_arrays([kept, side], names=["hashes", "side"])
 
-    return docs.withColumn("hashes", run(F.col("text")))
+    found = run(F.col("text"))
+    return docs.withColumn("hashes", found).withColumn("side", F.col("hashes.side")).withColumn("hashes", F.col("hashes.hashes"))
 
 
 class Ranges:
@@ -176,7 +205,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _COMPARED)], schema=_COMPARED)
 
 
-def _compared(doc_id, text: str, own: np.ndarray, following: str, next_sketch: np.ndarray) -> tuple:
+def _compared(doc_id, text: str, own: Sketch, following: str, next_sketch: Sketch) -> tuple:
     half = len(text) // 2
     edited = (text[: len(text) - half] + following[:half]).encode()
     edited_sketch = sketch(edited)

@@ -164,12 +164,19 @@ def detections(words: list[str], rules) -> set[tuple[int, int, str]]:
     return {(d[0], d[1], d[4]) for d in found if not any(beats(e, d) for e in found)}
 
 
-def sketch(text: str, scale: int, width: int) -> set[int]:
+def shingle_hashes(text: str, width: int) -> set[int]:
     words = WORD.findall(lower(text))
     shingles = {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
-    hashes = {xxhash.xxh64_intdigest(s.encode()) for s in shingles}
-    low = {h for h in hashes if h < 2**64 // scale}
-    return low or ({min(hashes)} if hashes else set())
+    return {xxhash.xxh64_intdigest(s.encode()) for s in shingles}
+
+
+def likeness(one: str, other: str, scale: int, width: int, few: int) -> float:
+    """Share of the smaller text's shingles, among the hashes below the scale where both texts have many."""
+    a, b = shingle_hashes(one, width), shingle_hashes(other, width)
+    low_a, low_b = ({h for h in x if h < 2**64 // scale} for x in (a, b))
+    if min(len(a), len(b)) >= few and low_a and low_b:
+        a, b = low_a, low_b
+    return len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b)
 
 
 def tiktoken_encoding():

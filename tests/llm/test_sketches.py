@@ -15,8 +15,7 @@ def expected(rows):
     for (doc_id, text), (_, following) in zip(rows, rows[1:] + rows[:1]):
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        own, other, after = (brute.sketch(t, sketches.SCALE, sketches.SHINGLE_WORDS) for t in (text, edited, following))
-        near = [len(own & x) / min(len(own), len(x)) if own and x else float(not own and not x) for x in (other, after)]
+        near = [brute.likeness(text, x, sketches.SCALE, sketches.SHINGLE_WORDS, sketches.FEW) for x in (edited, following)]
         found.append((doc_id, len(text), brute.sha(edited), *near))
     return found
 
@@ -64,7 +63,25 @@ def test_containment_of_unequal_texts():
     part = words[1000:3000]
     whole, inside, half = (sketches.sketch(" ".join(w).encode()) for w in (words, part, part[:1000] + [f"x{i}" for i in range(1000)]))
     assert sketches.containment(inside, whole) > 0.97 and abs(sketches.containment(half, whole) - 0.5) < 0.1
-    assert len(base64.b64decode(sketches.as_string(whole))) == 6 * len(whole)
+    assert len(base64.b64decode(sketches.as_string(whole))) == 6 * len(whole.kept)
+
+
+def test_short_texts_inside_long_ones():
+    """Texts of two shingles, each whole inside a text of a thousand words: contained, and no other is."""
+    rng = random.Random(8)
+    short = [" ".join(f"s{i}w{k}" for k in range(6)) for i in range(40)]
+    filler = [f"f{rng.randrange(10**6)}" for _ in range(1000)]
+    for i, text in enumerate(short):
+        at = rng.randrange(1000)
+        whole = sketches.sketch(" ".join([*filler[:at], text, *filler[at:]]).encode())
+        assert sketches.containment(sketches.sketch(text.encode()), whole) == 1.0
+        assert sketches.containment(sketches.sketch(short[i - 1].encode()), whole) == 0.0
+
+
+def test_fingerprints_tell_side_lists_from_kept_hashes():
+    few, many = (sketches.sketch(" ".join(f"w{i}" for i in range(n)).encode()) for n in (20, 500))
+    assert sketches.as_string(few)[0] == "*" and len(base64.b64decode(sketches.as_string(few)[1:])) == 6 * 16
+    assert "*" not in sketches.as_string(many) and sketches.as_string(sketches.sketch(b"")) == "*"
 
 
 def test_sketches_of_parts_unite(spark, odd):
@@ -72,8 +89,13 @@ def test_sketches_of_parts_unite(spark, odd):
     rows = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "key int, text string")
     union = sketches.merged(sketches.sketched(rows), "key").collect()
     for key in (0, 1):
-        united = set().union(*(brute.sketch(t, sketches.SCALE, sketches.SHINGLE_WORDS) for t in texts[key::2]))
-        assert {r.hash % 2**64 for r in union if r.key == key} == {h for h in united if h < 2**64 // sketches.SCALE}
-    short = spark.createDataFrame([(0, "zz"), (0, "some other words")], "key int, text string")
-    assert sketches.merged(sketches.sketched(short), "key").count() >= 1
+        united = set().union(*(brute.shingle_hashes(t, sketches.SHINGLE_WORDS) for t in texts[key::2]))
+        assert {r.hash % 2**64 for r in union if r.key == key and not r.side} == {h for h in united if h < 2**64 // sketches.SCALE}
+    assert not any(r.side for r in union)
+    # all short: every hash; short beside long: the kept ones; nothing: nothing
+    mixed = [(0, "zz"), (0, "some other words"), (1, "zz"), (1, " ".join(f"x{i}" for i in range(300))), (2, None), (None, "n")]
+    union = sketches.merged(sketches.sketched(spark.createDataFrame(mixed, "key int, text string")), "key").collect()
+    assert {r.hash % 2**64 for r in union if r.key == 0} == brute.shingle_hashes("zz", 5) | brute.shingle_hashes("some other words", 5)
+    assert not any(r.side for r in union if r.key == 1) and not [r for r in union if r.key == 2]
+    assert {r.hash % 2**64 for r in union if r.key is None} == brute.shingle_hashes("n", 5)
     assert sketches.sketched(odd).count() == odd.count()
