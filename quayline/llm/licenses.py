@@ -15,7 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quayline.llm.license_rules import ANCHORS, CONFIDENCE, RULES, Rule
-from quayline.llm.spans import match_spans
+from quayline.llm.spans import match_spans, running
 
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 # all but the ASCII characters that are no letters or digits; as ranges, several times the speed of
@@ -105,17 +105,35 @@ def detections(line: Column, present: Column, rules: Sequence[Rule] = RULES) ->
 
 def standing(found: Column) -> Column:
     """Detections that no other one suppresses.  Of two of which one contains the other, the better
-    priority stands, then the longer one, then the earlier rule."""
-
-    def better(a: Column, b: Column) -> Column:
-        longer = (a["end"] - a["start"]) - (b["end"] - b["start"])
-        alike = a["priority"] == b["priority"]
-        return (a["priority"] < b["priority"]) | (alike & ((longer > 0) | ((longer == 0) & (a["rule"] < b["rule"]))))
-
-    def nested(a: Column, b: Column) -> Column:
-        return ((a["start"] <= b["start"]) & (b["end"] <= a["end"])) | ((b["start"] <= a["start"]) & (a["end"] <= b["end"]))
-
-    return F.filter(found, lambda d: ~F.exists(found, lambda e: nested(e, d) & better(e, d)))
+    priority stands, then the longer one, then the earlier rule.
+
+    Two passes over the detections in order, containers first.  Forward, the furthest ends by priority tell
+    whether an earlier detection of the same or a better priority reaches over this one; backward, the nearest ends
+    tell whether one of a better priority lies inside."""
+    entry = "struct<start:int,back:int,priority:int,rule:int,end:int,label:string>"
+    levels = F.lit(len(CONFIDENCE))
+
+    def ordered(d: Column) -> Column:
+        names = ("start", "back", "priority", "rule", "end", "label")
+        values = (d["start"], -d["end"], d["priority"], d["rule"], d["end"], d["label"])
+        return F.struct(*[v.alias(n) for n, v in zip(names, values)])
+
+    def marked(suppressed: Column, d: Column) -> Column:
+        return F.struct(d.alias("d"), suppressed.alias("gone"))
+
+    pair = f"struct<d:{entry},gone:boolean>"
+    keep = lambda ends, d, best: F.transform(ends, lambda v, k: F.when(k + 1 == d["priority"], best(v, d["end"])).otherwise(v))
+    forward = running(
+        F.array_sort(F.transform(found, ordered)), F.array_repeat(F.lit(-1), levels), lambda ends, d: keep(ends, d, F.greatest),
+        lambda ends, d: marked(F.exists(F.slice(ends, F.lit(1), d["priority"]), lambda v: v >= d["end"]), d), "array<int>", pair,
+    )
+    backward = running(
+        F.reverse(forward), F.array_repeat(F.lit((1 << 31) - 1), levels), lambda ends, p: keep(ends, p["d"], F.least),
+        lambda ends, p: marked(p["gone"] | F.exists(F.slice(ends, F.lit(1), p["d"]["priority"] - 1), lambda v: v <= p["d"]["end"]), p["d"]),
+        "array<int>", pair,
+    )
+    names = ("start", "end", "priority", "rule", "label")
+    return F.transform(F.filter(backward, lambda p: ~p["gone"]), lambda p: F.struct(*[p["d"][n].alias(n) for n in names]))
 
 
 def scanned(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -133,7 +151,7 @@ def scanned(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     read = read.withColumn("license_keywords", F.when(line.isNotNull(), keywords_in(line, rules)))
     found = detections(line, F.col("license_keywords"), rules)
     read = read.withColumn("license_found", F.when(line.isNotNull(), found).otherwise(F.array().cast(DETECTIONS)))
-    return read.withColumn("license_found", F.array_sort(standing(F.col("license_found")))).drop(*SCRATCH)
+    return read.withColumn("license_found", F.array_sort(F.when(F.size("license_found") > 1, standing(F.col("license_found"))).otherwise(F.col("license_found")))).drop(*SCRATCH)
 
 
 def labels(found: Column) -> Column:

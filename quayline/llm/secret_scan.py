@@ -16,7 +16,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quayline.llm.spans import SPANS, joined, match_spans
+from quayline.llm.spans import SPANS, Stretches, apart_from, joined, match_spans, running
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = "AKIA[A-Z0-9]+"
@@ -169,12 +169,22 @@ def is_secret(candidate: Column) -> Column:
     return F.exists(whole, lambda x: looks_random(x)) | F.exists(parts, lambda x: looks_random(x, PART_CLASSES))
 
 
-def entropy_spans(text: Column) -> Column:
-    """Spans of the candidates that look random and that the allow-list does not cover."""
+def entropy_spans(text: Column, base: Column) -> Column:
+    """Spans of the candidates that look random, that the allow-list does not cover and that touch no
+    ``base`` span."""
     spans, found = match_spans(text, F.lit(CANDIDATE)), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    both = F.zip_with(spans, found, lambda s, c: F.struct(s.alias("s"), c.alias("c")))
-    kept = F.filter(both, lambda b: is_secret(b["c"]))
-    return F.when(text.rlike(CANDIDATE), _as_kind(F.transform(kept, lambda b: b["s"]), "entropy")).otherwise(_none())
+    both = F.zip_with(spans, found, lambda s, c: F.struct(s["start"].alias("start"), s["end"].alias("end"), c.alias("c")))
+    free = apart_from(both, base, "struct<start:int,end:int,c:string>")
+    kept = F.filter(free, lambda b: is_secret(b["c"]))
+    return F.when(text.rlike(CANDIDATE), _as_kind(F.transform(kept, lambda b: F.struct(b["start"], b["end"])), "entropy")).otherwise(_none())
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    """``docs`` as the column ``doc`` beside ``text``, ``base`` and ``spans``: arrays of ``start, order, end, kind``
+    by start, then kind."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    found = whole.withColumn("base", F.array_sort(F.flatten(F.array(*base_spans(F.col("text")).values()))))
+    return found.withColumn("spans", F.array_sort(F.concat("base", entropy_spans(F.col("text"), F.col("base")))))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -182,12 +192,9 @@ def scanned(docs: DataFrame) -> DataFrame:
     start, then kind.  Candidates that touch a base span add nothing.
 
     A null or empty text has none.  Columns of these names are replaced."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.withColumn("secret_base", F.array_sort(F.flatten(F.array(*base_spans(text).values()))))
-    found = found.withColumn("secret_spans", entropy_spans(text))
-    touches = lambda s, b: (b["start"] < s["end"]) & (s["start"] < b["end"])
-    added = F.filter("secret_spans", lambda s: ~F.exists("secret_base", lambda b: touches(s, b)))
-    return found.withColumn("secret_spans", F.array_sort(F.concat("secret_base", added)))
+    rest = [c for c in docs.columns if c not in ("secret_base", "secret_spans")]
+    own = [F.col(f"doc.`{c}`").alias(c) for c in rest]
+    return _columns(docs).select(*own, F.col("base").alias("secret_base"), F.col("spans").alias("secret_spans"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -203,27 +210,23 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mask: str = MASK) -> DataFrame:
-    """All rows and columns; in ``text`` each stretch of touching spans is ``mask`` instead, and
-    ``n_chars``, if there is one, is counted anew for those rows."""
-    names = {c: f"_kept_{c}" for c in docs.columns if c in ("secret_base", "secret_spans")}
-    found = scanned(docs.withColumnsRenamed(names))
-    spans, text = F.col("secret_spans"), F.col("text")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, s: Column) -> Column:
-        between = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        apart = s["start"] >= state["at"]
-        parts = F.when(apart, F.concat(state["parts"], F.array(between, F.lit(mask)))).otherwise(state["parts"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), parts.alias("parts"))
-
-    def whole(state: Column) -> Column:
-        return F.array_join(F.array_append(state["parts"], F.substring(text, state["at"] + 1, F.length(text))), "")
-
-    hit = F.size(spans) > 0
-    changes = {"text": F.when(hit, F.aggregate(spans, start, step, whole)).otherwise(text)}
-    out = found.withColumns(changes)
+    """All rows and columns, whatever they are called; in ``text`` each stretch of touching spans is ``mask``
+    instead, and ``n_chars``, if there is one, is counted anew for those rows."""
+    found = _columns(docs)
+    stretches = Stretches(F.col("text"))
+    found = found.withColumn("stretches", F.when(F.size("spans") > 0, stretches.whole))
+
+    def between(at: Column, s: Column) -> Column:
+        # what stands before the span and the mask, or nothing where it touches the one before
+        parts = F.concat(stretches.piece(F.col("stretches"), at, s["start"]), F.lit(mask))
+        return F.when((s["start"] > at) | (at == 0), parts).otherwise(F.when(s["start"] < at, "").otherwise(F.lit(mask)))
+
+    end = lambda at, s: F.greatest(at, s["end"])
+    parts = running(F.col("spans"), F.lit(0), end, between, "int", "string")
+    last = F.array_max(F.transform("spans", lambda s: s["end"]))
+    masked = F.concat(F.array_join(parts, ""), stretches.piece(F.col("stretches"), last, F.length("text")))
+    out = found.withColumn("masked", F.when(F.size("spans") > 0, masked))
+    changed = {"text": F.coalesce("masked", F.col("doc.text"))}
     if "n_chars" in docs.columns:
-        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(hit, counted).otherwise(F.col("n_chars")))
-    back = {renamed: name for name, renamed in names.items()}
-    return out.drop("secret_base", "secret_spans").withColumnsRenamed(back).select(*docs.columns)
+        changed["n_chars"] = F.coalesce(F.length("masked").cast(docs.schema["n_chars"].dataType), F.col("doc.n_chars"))
+    return out.select(*[changed.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
