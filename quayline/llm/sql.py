@@ -6,6 +6,8 @@ the classifier; those are tested against brute force.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from quayline.llm import warc
 from quayline.llm.license_rules import ANCHORS, CONFIDENCE, RULES
 from quayline.llm.line_quality import LIMITS
@@ -262,10 +264,29 @@ def record_id_sql(*parts: str) -> str:
                substr({name}, 18, 3) || '-' || substr({name}, 21, 12)"""
 
 
+# references by the standard's list; code points 128 to 159 as in windows-1252: fixed values
+WINDOWS_1252 = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"
+
+
+def entries_sql(pairs: dict) -> str:
+    return "map {" + ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in pairs.items()) + "}"
+
+
+def reference_sql(own: str) -> str:
+    """One match: ``names`` and ``windows`` are columns."""
+    begun = ", ".join(f"names[{own}[2:{n + 1}]] || {own}[{n + 2}:]" for n in range(6, 1, -1))
+    digits = f"regexp_replace({own}, '^&#[xX]?0*|;$', '', 'g')"
+    hexadecimal = f"CAST(('0x' || {digits}) AS BIGINT)"
+    code = f"CASE WHEN len({digits}) > 7 THEN 1114112 WHEN {digits} = '' THEN 0 WHEN {own}[3:3] IN ('x', 'X') THEN {hexadecimal} ELSE CAST({digits} AS BIGINT) END"
+    valid = f"CASE WHEN {code} = 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 THEN 65533 ELSE {code} END"
+    return f"""CASE WHEN {own} IS NULL THEN '' WHEN {own}[2:2] <> '#' THEN coalesce(names[{own}[2:]], {begun}, {own})
+               ELSE coalesce(windows[CAST({code} AS VARCHAR)], chr(CAST({valid} AS INTEGER))) END"""
+
+
 def resolved_sql(text: str) -> str:
-    for reference, character in warc.REFERENCES:
-        text = f"replace({text}, {quoted(reference)}, {quoted(character)})"
-    return text
+    pattern = quoted("&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)")
+    pieces = f"list_zip(string_split_regex({text}, {pattern}), regexp_extract_all({text}, {pattern}))"
+    return f"translate(array_to_string(list_transform({pieces}, lambda p: p[1] || {reference_sql('p[2]')}), ''), chr(160), ' ')"
 
 
 def replaced_sql(text: str, pattern: str, by: str) -> str:
@@ -278,7 +299,11 @@ _TEXT = replaced_sql(replaced_sql(resolved_sql(replaced_sql(_TEXT, warc.TAG_PATT
 _TITLE = replaced_sql(resolved_sql(f"regexp_extract(payload, {quoted(warc.TITLE_PATTERN)}, 1)"), _SPACES, "' '")
 
 WARC = f"""
-    WITH page AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS payload FROM pages),
+    WITH page AS (
+        SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS payload, {entries_sql(html5)} AS names,
+               {entries_sql({str(128 + i): c for i, c in enumerate(WINDOWS_1252) if c != " "})} AS windows
+        FROM pages
+    ),
     source AS (
         SELECT *, 'sha256:' || sha256(payload) AS digest,
                'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(payload) AS headers

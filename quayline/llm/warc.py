@@ -6,19 +6,29 @@ metadata record keeps the HTTP headers.  Records are rows; ``write_warc`` turns
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
 UNDATED = "1970-01-01T00:00:00Z"
 
-# elements whose content is no text, elements that end a line, named references: fixed values
+# elements whose content is no text, elements that end a line: fixed values
 SILENT = ["script", "style", "noscript", "template", "svg", "title"]
 BLOCKS = (
     "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|"
     "nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul"
 )
-REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+# named references as HTML defines them: from Python's table of them, with the final semicolon or, for the older
+# ones, without
+NAMED: dict[str, str] = {n: html5[n] for n in ("amp;", "lt;", "gt;", "quot;", "nbsp;", "copy;", "middot;")} | html5
+LONGEST_OLD = max(len(name) for name in NAMED if not name.endswith(";"))
+REFERENCE_PATTERN = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
+# code points 128 to 159 mean what they are in windows-1252; the five that it lacks stay as they are
+WINDOWS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+REPLACEMENT, NO_BREAK = "\ufffd", "\u00a0"
 
 # what is never closed runs to the end, and a tag stops at the next one: no page is read again and again
 HIDDEN_PATTERN = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(rf"<{tag}[^a-z].*?(?:</{tag}\s*>|\z)" for tag in SILENT)
@@ -57,23 +67,57 @@ def responses(pages: DataFrame, date: str = UNDATED) -> DataFrame:
     )
 
 
+def _table(values: dict[str, str]) -> Column:
+    """A constant map."""
+    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point (a long): as browsers read it, the replacement character for what is none."""
+    encoded = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    none = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    windows = F.element_at(_table({str(k): v for k, v in WINDOWS.items()}), number.cast("string"))
+    return F.when(none, REPLACEMENT).when(number.between(128, 159), F.coalesce(windows, encoded)).otherwise(encoded)
+
+
+def _resolved(reference: Column) -> Column:
+    """The text of one match of the pattern; what is no reference stays as it is."""
+    # leading zeros mean nothing, and more digits than a code point has are none
+    digits = F.regexp_replace(reference, "^&#[xX]?0*|;$", "")
+    digits = F.when(F.length(digits) > 7, "10000000").when(digits == "", "0").otherwise(digits)
+    decimal, hexadecimal = digits.try_cast("bigint"), F.conv(digits, 16, 10).try_cast("bigint")
+    named = _table(NAMED)
+    name = F.substring(reference, 2, 1 << 30)
+    # the longest older name that the reference begins with
+    begun = [
+        F.concat(F.element_at(named, F.substring(name, 1, n)), F.substring(name, n + 1, 1 << 30)) for n in range(LONGEST_OLD, 1, -1)
+    ]
+    return (
+        F.when(F.substring(reference, 2, 1) != "#", F.coalesce(F.element_at(named, name), *begun, reference))
+        .when(F.lower(F.substring(reference, 3, 1)) == "x", _character(hexadecimal))
+        .otherwise(_character(decimal))
+    )
+
+
 def references_resolved(text: Column) -> Column:
-    """Named references, the ampersand last: what it yields is not resolved again."""
-    for reference, character in REFERENCES:
-        text = F.replace(text, F.lit(reference), F.lit(character))
-    return text
+    """Named and numeric references, each once: what one yields is not resolved again."""
+    found = F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0))
+    pieces = F.zip_with(F.split(text, REFERENCE_PATTERN, -1), found, lambda gap, own: F.concat(gap, F.when(own.isNull(), "").otherwise(_resolved(own))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:
-    """The visible text: without comments and silent elements, one line per block, single spaces."""
+    """The visible text: without comments and silent elements, one line per block, single spaces, which no-break
+    spaces become too."""
     text = F.regexp_replace(html, HIDDEN_PATTERN, " ")
     text = F.regexp_replace(F.regexp_replace(text, "[\\t\\r\\n\\f ]+", " "), BLOCK_PATTERN, "\n")
-    text = references_resolved(F.regexp_replace(text, TAG_PATTERN, ""))
+    text = F.translate(references_resolved(F.regexp_replace(text, TAG_PATTERN, "")), NO_BREAK, " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, " +", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
 def title(html: Column) -> Column:
-    found = F.regexp_replace(references_resolved(F.regexp_extract(html, TITLE_PATTERN, 1)), "[\\t\\r\\n\\f ]+", " ")
+    found = F.translate(references_resolved(F.regexp_extract(html, TITLE_PATTERN, 1)), NO_BREAK, " ")
+    found = F.regexp_replace(found, "[\\t\\r\\n\\f ]+", " ")
     return F.trim(found)
 
 

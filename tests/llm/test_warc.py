@@ -69,6 +69,21 @@ def test_plain_text(spark):
     assert rows["metadata"].block.startswith("title: A title & more\r\nlinks: 1\r\n")
 
 
+def test_references(spark):
+    """Every name of the standard, numbers of both kinds, older names that run into words, and what is none."""
+    import html
+    from html.entities import html5
+
+    from pyspark.sql import functions as F
+
+    texts = [f"x&{name}y" for name in html5]
+    texts += ["&copy; 2020 caf&eacute; &#8217;x&#x2019; &middot;", "&copy2020 &notit; &amp;amp; &ampamp; &am &bogus; &; &# &#x; &#12x &", "&#0; &#xD800; &#1114112; &#99999999999999; &#x110000; &#00000065; &#x000041"]
+    texts += [f"&#{n};" for n in (*range(130, 141), 145, 159, 160, 8364, 128512)] + [f"&#x{n:X}" for n in (65, 233, 8217, 0x1F600)] + ["no reference", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for r in rows.select("i", warc.references_resolved(F.col("text")).alias("found")).collect():
+        assert r.found == html.unescape(texts[r.i]), texts[r.i]
+
+
 def test_odd_pages(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", ""), (2, None, "<"), (3, "u", "<script>" * 3000), (4, "u", "<p>x" * 50_000)]
     rows += [(5, "u", part * 200_000) for part in ("<a", "<title>", "<!--", "<p ", "&lt;", " \n")]
