@@ -6,7 +6,6 @@ metadata record keeps the HTTP headers.  Records are rows; ``write_warc`` turns
 
 from __future__ import annotations
 
-import json
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -23,7 +22,10 @@ BLOCKS = (
 )
 # named references as HTML defines them: from Python's table of them, with the final semicolon or, for the older
 # ones, without
-NAMED: dict[str, str] = {n: html5[n] for n in ("amp;", "lt;", "gt;", "quot;", "nbsp;", "copy;", "middot;")} | html5
+NAMED: dict[str, str] = dict(html5)
+# the references that most pages get by with, the ampersand last
+COMMON = ["&lt;", "&gt;", "&quot;", "&nbsp;", "&copy;", "&middot;", "&amp;"]
+UNCOMMON_PATTERN = "&(?!(?:" + "|".join(c[1:] for c in COMMON) + "))[#a-zA-Z]"
 LONGEST_OLD = max(len(name) for name in NAMED if not name.endswith(";"))
 REFERENCE_PATTERN = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)"
 # code points 128 to 159 mean what they are in windows-1252; the five that it lacks stay as they are
@@ -69,7 +71,7 @@ def responses(pages: DataFrame, date: str = UNDATED) -> DataFrame:
 
 def _table(values: dict[str, str]) -> Column:
     """A constant map."""
-    return F.from_json(F.lit(json.dumps(values)), "map<string,string>")
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in values.items())), F.lit("\x01"), F.lit("\x02"))
 
 
 def _character(number: Column) -> Column:
@@ -100,25 +102,34 @@ def _resolved(reference: Column) -> Column:
 
 
 def references_resolved(text: Column) -> Column:
-    """Named and numeric references, each once: what one yields is not resolved again."""
+    """Named and numeric references of a column, each once: what one yields is not resolved again.
+
+    A text with common ones only has them replaced one kind after the other; the ampersand comes last, so
+    that what it yields is left alone."""
+    simple = text
+    for reference in COMMON:
+        simple = F.replace(simple, F.lit(reference), F.lit(html5[reference[1:]]))
     found = F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0))
     pieces = F.zip_with(F.split(text, REFERENCE_PATTERN, -1), found, lambda gap, own: F.concat(gap, F.when(own.isNull(), "").otherwise(_resolved(own))))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+    return F.when(text.rlike(UNCOMMON_PATTERN), F.array_join(pieces, "")).otherwise(simple)
 
 
-def plain_text(html: Column) -> Column:
-    """The visible text: without comments and silent elements, one line per block, single spaces, which no-break
-    spaces become too."""
+def untagged(html: Column) -> Column:
+    """The text without comments, silent elements and tags, a line end for each block's border."""
     text = F.regexp_replace(html, HIDDEN_PATTERN, " ")
     text = F.regexp_replace(F.regexp_replace(text, "[\\t\\r\\n\\f ]+", " "), BLOCK_PATTERN, "\n")
-    text = F.translate(references_resolved(F.regexp_replace(text, TAG_PATTERN, "")), NO_BREAK, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(text, " +", " "), " ?\n[ \n]*", "\n"), F.lit(" \n"))
+    return F.regexp_replace(text, TAG_PATTERN, "")
+
+
+def plain_text(text: Column) -> Column:
+    """The visible text from ``untagged`` with references resolved: one line per block, single spaces."""
+    single = F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " +", " ")).otherwise(text)
+    return F.trim(F.regexp_replace(single, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def title(html: Column) -> Column:
-    found = F.translate(references_resolved(F.regexp_extract(html, TITLE_PATTERN, 1)), NO_BREAK, " ")
-    found = F.regexp_replace(found, "[\\t\\r\\n\\f ]+", " ")
-    return F.trim(found)
+def title(found: Column) -> Column:
+    """The title from what stands in its element."""
+    return F.trim(F.regexp_replace(F.replace(references_resolved(found), F.lit(NO_BREAK), F.lit(" ")), "[\\t\\r\\n\\f ]+", " "))
 
 
 def derivatives(response: DataFrame) -> DataFrame:
@@ -129,12 +140,15 @@ def derivatives(response: DataFrame) -> DataFrame:
     Responses without content give records with an empty text; repeated responses give repeated
     records with the same ids, as the response has; an empty table gives none."""
     payload = F.col("payload")
-    source = response.select(
+    # columns of their own, which several expressions read
+    read = response.withColumns({"untagged": untagged(payload), "titled": F.regexp_extract(payload, TITLE_PATTERN, 1)})
+    read = read.withColumn("resolved", F.replace(references_resolved(F.col("untagged")), F.lit(NO_BREAK), F.lit(" ")))
+    source = read.select(
         "page_id", "record_id", "target_uri", "warc_date", "http_headers",
         digest(payload).alias("source_digest"),
-        plain_text(payload).alias("text"),
+        plain_text(F.col("resolved")).alias("text"),
         F.concat(
-            F.lit("title: "), title(payload), F.lit(f"{CRLF}links: "), F.regexp_count(payload, F.lit(LINK_PATTERN)).cast("string"),
+            F.lit("title: "), title(F.col("titled")), F.lit(f"{CRLF}links: "), F.regexp_count(payload, F.lit(LINK_PATTERN)).cast("string"),
             F.lit(f"{CRLF}source-payload-digest: "), digest(payload),
             F.lit(f"{CRLF}source-http: "), F.replace(F.col("http_headers"), F.lit(CRLF), F.lit(f"{CRLF}source-http: ")), F.lit(CRLF),
         ).alias("fields"),
