@@ -88,7 +88,7 @@ def _table_streams(tables: Tables, segment: str, until: dt.date) -> tuple[DataFr
     customers = tables.customer.where(F.col("c_mktsegment") == segment).select(F.col("c_custkey").alias("o_custkey"))
     orders = stream_table(tables.spark, f"{tables.path}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = stream_table(tables.spark, f"{tables.path}/lineitem.parquet")
-    placed = orders.where(F.col("o_orderdate") <= F.lit(until)).join(customers, "o_custkey", "left_semi")
+    placed = orders.where(F.col("o_orderdate") <= F.lit(until)).join(customers.hint("merge"), "o_custkey", "left_semi")
     return placed, lines.select("l_orderkey", "l_extendedprice", "l_discount", "l_shipdate")
 
 

@@ -15,6 +15,7 @@ def daily_segment_stream(orders: DataFrame, customer: DataFrame, delay: str = "0
     Orders are counted per customer and day before they meet the static customer table, so a
     customer with a large share of the orders is one row per day in that join (a stateful
     stream has no adaptive skew handling).  The second count adds these up in the same window.
+    The table is never collected: a stream's plan would broadcast it by the size of its compressed file.
     """
     per_customer = (
         with_event_time(orders, "o_orderdate", delay)
@@ -23,7 +24,7 @@ def daily_segment_stream(orders: DataFrame, customer: DataFrame, delay: str = "0
     )
     segments = customer.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     return (
-        per_customer.join(segments, "o_custkey")
+        per_customer.join(segments.hint("merge"), "o_custkey")
         .groupBy(F.window("day", "1 day").alias("day"), "c_mktsegment")
         .agg(F.sum("n").alias("order_count"))
         .select("c_mktsegment", event_time_to_day("day.start").alias("o_orderdate"), "order_count")

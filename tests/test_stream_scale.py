@@ -1,0 +1,40 @@
+"""What streams collect, keep and ask for when their tables grow."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quayline.plans import live as plans
+from quayline.sources.tables import Tables
+from quayline.streaming.monitor import daily_segment_stream, start_daily_segment_counts
+from quayline.streaming.sources import ended, stream_table
+from tests.conftest import random_frames
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """Random tables as files, and the folder they are in."""
+    f = random_frames(spark, 91, orders=120, lines=480, days=110)
+    path = str(tmp_path_factory.mktemp("tables"))
+    for name in ("customer", "orders", "lineitem"):
+        getattr(f, name).coalesce(1).write.parquet(f"{path}/{name}.parquet")
+    return Tables(spark, path)
+
+
+def plan_of(query, capsys):
+    query.awaitTermination()
+    capsys.readouterr()
+    query.explain()
+    return capsys.readouterr().out
+
+
+def test_streams_never_collect_the_customer_table(spark, stored, tmp_path, capsys):
+    feed = stream_table(spark, f"{stored.path}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    counts = daily_segment_stream(ended(feed, "o_orderdate", str(tmp_path)), stored.customer)
+    plan = plan_of(start_daily_segment_counts(counts, f"{tmp_path}/counts", f"{tmp_path}/cp"), capsys)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    want = stored.orders.join(stored.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment", "o_orderdate").count()
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/counts").collect())) == sorted(map(tuple, want.collect()))
+    placed, _ = plans._table_streams(stored, "BUILDING", plans.AS_OF)
+    query = placed.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start(f"{tmp_path}/placed")
+    plan = plan_of(query, capsys)
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
