@@ -1,10 +1,13 @@
 """What streams collect, keep and ask for when their tables grow."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from quayline.plans import live as plans
 from quayline.sources.tables import Tables
+from quayline.streaming import ledger as live, state
 from quayline.streaming.monitor import daily_segment_stream, start_daily_segment_counts
 from quayline.streaming.sources import ended, stream_table
 from tests.conftest import random_frames
@@ -38,3 +41,52 @@ def test_streams_never_collect_the_customer_table(spark, stored, tmp_path, capsy
     query = placed.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start(f"{tmp_path}/placed")
     plan = plan_of(query, capsys)
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def placed_entries(spark, count):
+    """Entries of orders with neighbouring keys, placed on twenty days; nothing has shipped."""
+    return spark.range(1, count + 1).select(
+        F.col("id").alias("order_key"),
+        F.lit(1).cast("bigint").alias("cust_key"),
+        F.col("id").cast("decimal(38,4)").alias("amount"),
+        F.expr("date_add(date'1995-01-01', cast(id % 20 as int))").alias("event_date"),
+        F.lit(True).alias("is_order"),
+    )
+
+
+def kept_rows(query):
+    """The most rows that a stateful operator of the query has kept, timers included."""
+    query.awaitTermination()
+    return max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"])
+
+
+@pytest.mark.parametrize("stream", [state.corrected_deltas, state.balance_changes, lambda entries: state.balance_changes(entries, 3)])
+def test_orders_with_neighbouring_keys_share_a_value(spark, tmp_path, stream):
+    placed_entries(spark, 500).coalesce(1).write.parquet(f"{tmp_path}/in")
+    entries = live.entry_stream(stream_table(spark, f"{tmp_path}/in"))
+    with state.column_family_store(spark):
+        query = live.start_day_deltas(stream(entries), f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert kept_rows(query) < 40
+    # the newest day, of 25 orders, is still open
+    assert spark.read.parquet(f"{tmp_path}/out").select("order_key").distinct().count() == 475
+
+
+def test_bucket_boards_keep_blocks_and_take_some_rows_at_a_time(spark, tmp_path):
+    placed = placed_entries(spark, 2000)
+    shipped = {"amount": (-F.col("amount")).cast("decimal(38,4)"), "is_order": F.lit(False)}
+    closing = placed.where("order_key > 1500").withColumns({**shipped, "event_date": F.lit("1995-02-01").cast("date")})
+    last = placed.where("order_key = 1").withColumns({**shipped, "event_date": F.lit("1995-03-01").cast("date")})
+    for number, part in enumerate((placed, closing, last)):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        for name in os.listdir(f"{tmp_path}/in"):
+            if os.path.getmtime(f"{tmp_path}/in/{name}") > 2_000_000:
+                os.utime(f"{tmp_path}/in/{name}", (1_000_000 + number,) * 2)
+    changes = state.balance_changes(live.entry_stream(stream_table(spark, f"{tmp_path}/in", max_files=1)))
+    dealt = changes.withColumn("bucket", F.pmod("order_key", F.lit(2)).cast("int")).groupBy("bucket")
+    with state.column_family_store(spark):
+        best = dealt.transformWithState(state.BucketBoards(5, 2, at_once=100), state.BucketBoards.OUT, "Append", "None")
+        query = live.start_two_phase_board(best, f"{tmp_path}/out", f"{tmp_path}/cp", 5, keep=None)
+    assert kept_rows(query) < 60
+    boards = spark.read.parquet(f"{tmp_path}/out/board")
+    shown = {str(r.as_of): r.keys for r in boards.groupBy("as_of").agg(F.sort_array(F.collect_list("order_key")).alias("keys")).collect()}
+    assert shown["1995-01-19"] == [1995, 1996, 1997, 1998, 2000] and shown["1995-02-28"] == [1496, 1497, 1498, 1499, 1500]
