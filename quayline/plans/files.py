@@ -11,13 +11,13 @@ from quayline.operators.ledger import in_ledger_order, ledger_entries
 from quayline.operators.orders import orders_of_segment
 from quayline.plans.shipping_priority import SEGMENT
 from quayline.sources import schemas
-from quayline.sources.clustered import ClusteredTables, write_clustered
+from quayline.sources.clustered import ClusteredTables, buckets_for, write_clustered
 from quayline.sources.delimited import SEPARATOR, read_delimited, sort_rows, write_delimited, write_sorted
 from quayline.sources.ledger import MONTH, extend_ledger, read_ledger, read_ledger_months, read_ledger_text, write_ledger, write_ledger_text
 from quayline.sources.tables import Tables
-from quayline.storage import fresh_dir
+from quayline.storage import fresh_dir, stored_bytes
 
-# the registered increments of the ledger, and the buckets of the registered clustered tables
+# the registered increments of the ledger, and the fewest buckets of the registered clustered tables
 INCREMENTS = (dt.date(1996, 7, 1), dt.date(1998, 1, 1))
 BUCKETS = 16
 
@@ -59,11 +59,24 @@ def ledger_stored(tables: Tables, segment: str = SEGMENT) -> DataFrame:
     return read_ledger(tables.spark, path)
 
 
+def _of_segment(tables: Tables, segment: str) -> tuple[DataFrame, DataFrame]:
+    """The segment's orders and their lines, stored: increments go through them several times, and what they
+    shuffle are these rows only."""
+    path = fresh_dir(tables.spark, "segment")
+    own = orders_of_segment(tables.orders, tables.customer, segment).select("o_orderkey", "o_custkey", "o_orderdate")
+    own.write.parquet(f"{path}/orders")
+    orders = tables.spark.read.schema(own.schema).parquet(f"{path}/orders")
+    keys = orders.select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = tables.lineitem.select("l_orderkey", "l_extendedprice", "l_discount", "l_shipdate").join(keys, "l_orderkey", "left_semi")
+    lines.write.parquet(f"{path}/lineitem")
+    return orders, tables.spark.read.schema(lines.schema).parquet(f"{path}/lineitem")
+
+
 def ledger_incremental(tables: Tables, segment: str = SEGMENT, cuts: tuple[dt.date, ...] = INCREMENTS) -> DataFrame:
     """The segment's ledger stored month by month in increments: before each of ``cuts``, and in the end, the
     orders placed and the lines shipped since the last one are added.  In ledger order."""
     path = fresh_dir(tables.spark, "ledger-months")
-    orders, lines = orders_of_segment(tables.orders, tables.customer, segment), tables.lineitem
+    orders, lines = _of_segment(tables, segment)
     bounds = [None, *cuts, None]
     for low, high in zip(bounds, bounds[1:]):
 
@@ -80,8 +93,12 @@ def ledger_incremental(tables: Tables, segment: str = SEGMENT, cuts: tuple[dt.da
     return in_ledger_order(read_ledger_months(tables.spark, path).drop(MONTH))
 
 
-def clustered(tables: Tables, buckets: int = BUCKETS) -> ClusteredTables:
-    """The tables with orders and lines stored in buckets of the order key."""
+def clustered(tables: Tables, buckets: int | None = None) -> ClusteredTables:
+    """The tables with orders and lines stored in buckets of the order key, as many as the lines' size asks for."""
+    if buckets is None:
+        most = int(tables.spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+        lines = f"{tables.path}/lineitem.{'parquet' if tables.format == 'parquet' else 'csv'}"
+        buckets = min(max(BUCKETS, buckets_for(stored_bytes(tables.spark, lines))), most)
     return write_clustered(tables, fresh_dir(tables.spark, "clustered"), buckets)
 
 

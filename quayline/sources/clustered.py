@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from quayline.sources.tables import Tables
 
 KEYS = {"orders": "o_orderkey", "lineitem": "l_orderkey"}
-# bytes of lines in a bucket, about
-BUCKET_BYTES = 256 << 20
+# stored bytes of lines in a bucket, about; in a task's memory they are some ten times as many
+BUCKET_BYTES = 16 << 20
 
 
 def buckets_for(input_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
